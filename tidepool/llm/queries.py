@@ -17,5 +17,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.embedding_dedup import dedup_embeddings
+
+    return dedup_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidepool.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op7_embedding_dedup, op9_best_fit_packing, op10_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {}
