@@ -115,7 +115,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     rng = np.random.default_rng(seed)
     table, weights, bias = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
     weights += rng.normal(0, 0.1, weights.shape)
-    bags = [(i.astype(np.int64), (c / c.sum()).astype(np.float64)) for i, c in zip(picked.buckets, picked.counts, strict=True)]
+    bags = [(np.asarray(i, np.int64), np.asarray(c, np.float64) / np.sum(c)) for i, c in zip(picked.buckets, picked.counts, strict=True)]
     held = np.arange(len(bags)) % 5 == 4 if len(bags) >= 50 else np.zeros(len(bags), bool)
     fit = np.flatnonzero(~held)
 

@@ -10,6 +10,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out():
+    """Rows kept from training."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import quality
+    from tidepool.llm._shared import written
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    stats = written(quality.document_statistics(docs), "statistics")
+    model = quality.train(stats, labels.where(~_held_out()).select("doc_id", F.col("quality").alias("label")))
+    return quality.score(stats, model).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~_held_out()))
+    return language_id.identify(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.decontamination import benchmark_overlaps
+
+    return benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.pseudonyms import pseudonymise_documents
+
+    # a key for this test; production passes its own
+    out = pseudonymise_documents(_table(spark, sf_dir, "documents"), b"key of the registered test query")
+    return out.select("doc_id", "text", F.size("found").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",").alias("kinds"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.substring_dedup import dedup_substrings
 
@@ -37,5 +87,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op7_embedding_dedup, op9_best_fit_packing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {}
