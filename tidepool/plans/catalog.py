@@ -1,4 +1,4 @@
-"""Registered queries over the driver tables, with the DuckDB SQL that gives the same rows."""
+"""Registered queries over the driver's tables, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidepool.plans.views import Tables, sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register f(Tables) -> DataFrame under its name."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return register
+
+
+from tidepool.plans import building, knowing, retrieving  # noqa: E402, F401
