@@ -1,7 +1,8 @@
 import random
 
 from pyspark.sql import functions as F
-from tidepool.llm.line_dedup import dedup_lines, index_keys, probe_keys, within_edits
+from tidepool.llm import line_dedup
+from tidepool.llm.line_dedup import dedup_lines, index_keys, probe_keys, removed_lines, within_edits
 
 
 def distance(a, b):
@@ -13,6 +14,17 @@ def distance(a, b):
     return row[-1]
 
 
+def close(a, b, edits):
+    """distance(a, b) <= edits, on the diagonals that can matter."""
+    row = {j: j for j in range(min(len(b), edits) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            new[j] = i if j == 0 else min(row.get(j, 99) + 1, new.get(j - 1, 99) + 1, row.get(j - 1, 99) + (x != b[j - 1]))
+        row = new
+    return row.get(len(b), 99) <= edits
+
+
 def edited(rng, s, n):
     s = list(s)
     for _ in range(n):
@@ -31,6 +43,7 @@ def test_edit_distance_and_segments(spark):
             rows.append((a, b, distance(a, b) <= edits))
         got = spark.createDataFrame(rows, "a string, b string, want boolean").select("a", "b", "want", within_edits(F.col("a"), F.col("b"), edits).alias("got"), F.arrays_overlap(index_keys(F.col("a"), edits), probe_keys(F.col("b"), edits)).alias("met"))
         for r in got.collect():
+            assert abs(len(r.a) - len(r.b)) > edits or close(r.a, r.b, edits) == r.want
             assert r.got == r.want, (edits, r)
             assert r.met or not r.want or len(r.a) > len(r.b) or len(r.a) <= edits, (edits, r)
 
@@ -44,7 +57,7 @@ def brute(rows, edits, least):
                 first.setdefault(x, (i, p))
     order, gone = sorted(first, key=first.get), set()
     for k, x in enumerate(order):
-        if any(abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in order[:k]):
+        if any(abs(len(x) - len(y)) <= edits and close(x, y, edits) for y in order[:k]):
             gone.add(x)
     out = {}
     for i, t in rows:
@@ -53,7 +66,7 @@ def brute(rows, edits, least):
     return out
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     pool = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(20, 50))) for _ in range(40)]
     rows = []
@@ -63,6 +76,9 @@ def test_matches_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit(1)).repartition(3)
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in dedup_lines(docs, min_chars=24).collect()}
     assert got == brute(rows, 2, 24)
+    monkeypatch.setattr(line_dedup, "BROADCAST_NUMBERS", 0)  # by a shuffle
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text, r.lines) for r in dedup_lines(docs, min_chars=24, carry=("lines",)).collect()}
+    assert got == {k: (*v, 1) for k, v in brute(rows, 2, 24).items()}
     line = "a line that is long enough to be judged, it is"
     odd = spark.createDataFrame([(None, line), (1, line), (1, line)], "doc_id long, text string")
     assert sorted((r.doc_id or 9, r.n_removed) for r in dedup_lines(odd).collect()) == [(1, 0), (1, 0), (9, 1)]
@@ -71,5 +87,5 @@ def test_matches_brute_force(spark):
 
 def test_no_python_and_one_shuffle_of_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = removed_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -7,10 +7,16 @@ length difference and the segment's place allow, and what meets is verified with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm._shared import written
+
 MAX_EDITS, MIN_CHARS = 2, 40
+#: Line numbers to remove (4 bytes each) up to this many are sent to every executor; more meet the texts in a shuffle.
+BROADCAST_NUMBERS = 10_000_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -43,36 +49,59 @@ def probe_keys(line: Column, edits: int) -> Column:
     return F.array(*out)
 
 
+def _stripped(a: Column, b: Column, blocks: int = 16) -> tuple[Column, Column]:
+    """Both strings without what they share at their ends, to a sixteenth of the length; that changes no distance."""
+    n, m = F.length(a), F.length(b)
+    short = F.least(n, m)
+    size = F.floor(short / blocks).cast("int")
+    lead = [(F.substring(a, 1, size * k) == F.substring(b, 1, size * k)).cast("int") for k in range(1, blocks + 1)]
+    tail = [(F.substring(a, n - size * k + 1, size * k) == F.substring(b, m - size * k + 1, size * k)).cast("int") for k in range(1, blocks + 1)]
+    p = size * sum(lead[1:], lead[0])
+    q = F.least(size * sum(tail[1:], tail[0]), short - p)
+    return F.substring(a, p + 1, n - p - q), F.substring(b, p + 1, m - p - q)
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is at most `edits`: bit k of a word is row j - edits + k of column j, so a
     column is a few operations on one long whatever the strings' length."""
     full = (1 << (2 * edits + 1)) - 1
-    n, m = F.length(a), F.length(b)
-    x, y = F.split(a, ""), F.split(b, "")
-    bit = lambda j, k: F.when(F.get(x, j - edits + k) == F.get(y, j), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-    equal = lambda j: sum((bit(j, k) for k in range(1, 2 * edits + 1)), bit(j, 0))
-    matches = F.transform(F.sequence(F.lit(0), m - 1), equal)
-
-    def step(s, e):
-        p, q = s["p"], s["q"]
-        zero = ((((e.bitwiseAND(p)) + p).bitwiseXOR(p)).bitwiseOR(e).bitwiseOR(q)).bitwiseAND(F.lit(full))
-        plus = q.bitwiseOR(F.bitwise_not(zero.bitwiseOR(p)).bitwiseAND(F.lit(full)))
-        minus = zero.bitwiseAND(p)
-        down = F.shiftright(zero, 1)
-        return F.struct(
-            minus.bitwiseOR(F.bitwise_not(down.bitwiseOR(plus)).bitwiseAND(F.lit(full))).alias("p"),
-            down.bitwiseAND(plus).alias("q"),
-            (s["d"] + F.lit(1) - F.shiftright(zero, 2 * edits)).alias("d"),
-        )
-
-    start = F.struct(F.lit((full << edits) & full).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(edits).cast("long").alias("d"))
-    low = (n - m + edits).cast("int")
-    beyond = F.lit((1 << (2 * edits)) - 1).cast("long") - (F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1)
-    distance = F.aggregate(matches, start, step, lambda s: s["d"] - F.bit_count(s["p"].bitwiseAND(beyond)) + F.bit_count(s["q"].bitwiseAND(beyond)))
-    return F.when(F.abs(n - m) > edits, F.lit(False)).when((n == 0) | (m == 0), F.lit(True)).otherwise(distance <= edits)
-
-
-def _blocks_alive(a: Column, b: Column, edits: int, blocks: int = 8) -> Column:
+
+    def distance(pair):
+        x, y = pair["x"], pair["y"]
+        n, m = F.size(x), F.size(y)
+        bit = lambda j, k: F.when(F.get(x, j - edits + k) == F.get(y, j), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+        equal = lambda j: sum((bit(j, k) for k in range(1, 2 * edits + 1)), bit(j, 0))
+        matches = F.transform(F.sequence(F.lit(0), m - 1), equal)
+
+        def step(s, e):
+            p, q = s["p"], s["q"]
+            zero = ((((e.bitwiseAND(p)) + p).bitwiseXOR(p)).bitwiseOR(e).bitwiseOR(q)).bitwiseAND(F.lit(full))
+
+            def after(z):
+                plus = q.bitwiseOR(F.bitwise_not(z.bitwiseOR(p)).bitwiseAND(F.lit(full)))
+                down = F.shiftright(z, 1)
+                vertical = z.bitwiseAND(p).bitwiseOR(F.bitwise_not(down.bitwiseOR(plus)).bitwiseAND(F.lit(full)))
+                return F.struct(vertical.alias("p"), down.bitwiseAND(plus).alias("q"), (s["d"] + F.lit(1) - F.shiftright(z, 2 * edits)).alias("d"))
+
+            return _once(zero, after)
+
+        start = F.struct(F.lit((full << edits) & full).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(edits).cast("long").alias("d"))
+        beyond = F.lit((1 << (2 * edits)) - 1).cast("long") - (F.call_function("shiftleft", F.lit(1).cast("long"), (n - m + edits).cast("int")) - 1)
+        end = lambda s: s["d"] - F.bit_count(s["p"].bitwiseAND(beyond)) + F.bit_count(s["q"].bitwiseAND(beyond))
+        return F.when((n == 0) | (m == 0), F.lit(0).cast("long")).otherwise(F.aggregate(matches, start, step, end))
+
+    chars = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    both = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    of_pair = _once(both(*_stripped(a, b)), lambda s: _once(both(*_stripped(s["x"], s["y"])), lambda t: _once(both(chars(t["x"]), chars(t["y"])), distance)))
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(of_pair <= edits)
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once, as a lambda's argument is."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _blocks_alive(a: Column, b: Column, edits: int, blocks: int = 16) -> Column:
     """Necessary for within_edits: an edit can damage one of `blocks` blocks of a only, the others stand in b near their place."""
     size = F.floor(F.length(a) / blocks).cast("int")
     found = []
@@ -83,25 +112,16 @@ def _blocks_alive(a: Column, b: Column, edits: int, blocks: int = 8) -> Column:
     return sum(found[1:], found[0]) >= blocks - edits
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Remove repeats of lines from documents: doc_id, n_lines, n_removed, kept_text of every row.
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(rid, th, removed): the numbers (from 0) of the lines to remove, for each document that has some; see dedup_lines.
 
-    Lines (split at \\n) of at least min_chars characters are judged, in order of document id and line. A line is removed if
-    the same line stands earlier, or if a line first seen earlier is within max_edits edits of it. Shorter lines are kept.
-
-    Null text: no lines, kept_text null; empty text: one line, kept. A null id sorts after all others. Rows with one id and
-    one text get the same result; rows with one id and different texts are ordered by a hash. Other columns are ignored; an
-    empty table gives no rows. min_chars must be at least 8 * (max_edits + 1) for the segments to tell lines apart.
+    rid is the id (nulls as the largest number), th a hash of the text.
     """
     if min_chars < 8 * (max_edits + 1):
         raise ValueError("min_chars must be at least 8 * (max_edits + 1)")
-    text = F.col(text_col)
-    base = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"),
-        F.hash(F.coalesce(text, F.lit(""))).alias("th"),
-        F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>")).alias("lines"),
-    )
     doc = ["rid", "th"]
+    # one exchange of the texts by document serves all the joins below
+    base = docs.select(*_identity(id_col, text_col), F.coalesce(F.split(text_col, "\n", -1), F.array().cast("array<string>")).alias("lines"))
     judged = base.select(*doc, F.posexplode("lines").alias("pos", "line")).where(F.length("line") >= min_chars)
     first = judged.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct(*doc, "pos")).alias("f"))
     firsts = first.select("f.*").groupBy(*doc).agg(F.collect_list("pos").alias("firsts"))
@@ -122,15 +142,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = pairs.where(_blocks_alive(F.col("line1"), F.col("line2"), max_edits)).where(within_edits(F.col("line1"), F.col("line2"), max_edits))
     th, pos = part(2)
     near = same.select(F.col("r2").alias("rid"), th.alias("th"), pos.alias("pos")).distinct().groupBy(*doc).agg(F.collect_list("pos").alias("near"))
-
     none = F.array().cast("array<int>")
-    kept = base.join(firsts, doc, "left").join(near, doc, "left").select("rid", "lines", F.array_except(F.coalesce("firsts", none), F.coalesce("near", none)).alias("kept"))
-    short = F.filter(F.transform("lines", lambda x, i: F.when(F.length(x) < min_chars, i)), lambda i: i.isNotNull())
-    kept = kept.withColumn("kept", F.array_sort(F.concat("kept", short)))
-    n = F.size("lines")
-    return kept.select(
-        F.nullif("rid", F.lit(_NULL_ID)).alias("doc_id"),
-        n.cast("long").alias("n_lines"),
-        (n - F.size("kept")).cast("long").alias("n_removed"),
-        F.when(n > 0, F.array_join(F.transform("kept", lambda p: F.get("lines", p)), "\n")).alias("kept_text"),
-    )
+    long = F.filter(F.transform("lines", lambda x, i: F.when(F.length(x) >= min_chars, i)), lambda i: i.isNotNull())
+    gone = F.array_except(long, F.array_except(F.coalesce("firsts", none), F.coalesce("near", none)))
+    return base.join(firsts, doc, "left").join(near, doc, "left").select(*doc, gone.alias("removed")).where(F.size("removed") > 0)
+
+
+def _identity(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"), F.hash(F.coalesce(text_col, F.lit(""))).alias("th")]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Remove repeats of lines from documents: doc_id, n_lines, n_removed, kept_text of every row, and the columns in `carry`.
+
+    Lines (split at \\n) of at least min_chars characters are judged, in order of document id and line. A line is removed if
+    the same line stands earlier, or if a line first seen earlier is within max_edits edits of it. Shorter lines are kept.
+
+    Null text: no lines, kept_text null; empty text: one line, kept. A null id sorts after all others. Rows with one id and
+    one text get the same result; rows with one id and different texts are ordered by a hash. Other columns are ignored; an
+    empty table gives no rows. min_chars must be at least 8 * (max_edits + 1) for the segments to tell lines apart.
+    """
+    removed = written(removed_lines(docs, id_col, text_col, max_edits, min_chars).dropDuplicates(["rid", "th"]), "removed")
+    numbers = removed.agg(F.coalesce(F.sum(F.size("removed") + 8), F.lit(0))).first()[0]
+    removed = F.broadcast(removed) if numbers <= BROADCAST_NUMBERS else removed
+    own = docs.select(F.col(id_col).alias("doc_id"), *carry, *_identity(id_col, text_col), F.col(text_col).alias("_text"))
+    cut = own.join(removed, ["rid", "th"], "left")
+    keep = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda p: F.get(lines, p)), "\n")
+    kept = _once(F.split("_text", "\n", -1), keep)
+    n = F.when(F.col("_text").isNull(), 0).otherwise(F.regexp_count("_text", F.lit("\n")) + 1)
+    return cut.select("doc_id", *carry, n.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("removed").isNull(), F.col("_text")).otherwise(kept).alias("kept_text"))
