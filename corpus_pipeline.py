@@ -19,6 +19,8 @@ from tidepool.llm._shared import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Stages on word shingles take five words; 90 % of them in common makes two documents copies of one.
 SHINGLE, PERCENT = 5, 90
+#: Ids to leave out (16 bytes each) up to this many are sent to every executor.
+BROADCAST_IDS = 2_000_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +34,27 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated lines; documents of which nothing is left go."""
-    cut = line_dedup.dedup_lines(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"), F.col("n_lines").alias("_lines"))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    joined = docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("text", text)
-    return joined.where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = line_dedup.dedup_lines(docs, carry=("lang", "source")).where(F.trim("kept_text") != "")
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class of near copies."""
     classes = jaccard_join.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
-    kept = classes.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _without(docs, classes.where("not doc_id <=> component_id").select("doc_id"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark passage."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    found = decontamination.benchmark_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is not one of ids; a bounded number of ids is sent to every executor, more meet them in a shuffle."""
+    ids = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,18 +11,26 @@ def words(t):
     return [x for x in re.split(r"[^0-9a-zà-ÿ]+", (t or "").lower()) if x]
 
 
+def masked(w):
+    """Seed tokens of every mask -> places."""
+    out = {}
+    for m in MASKS:
+        for p in range(len(w) - max(m)):
+            out.setdefault((m, *(w[p + k] for k in m)), []).append(p)
+    return out
+
+
 def brute(docs, items):
-    """Every diagonal of every pair."""
-    out = set()
+    """Every diagonal of every pair that has a seed in common."""
+    out, known = set(), [(i, words(u), masked(words(u))) for i, u in items]
     for d, t in docs:
         a = words(t)
-        for i, u in items:
-            b = words(u)
-            for shift in range(-len(b), len(a) + 1):
+        own = masked(a)
+        for i, b, seeds in known:
+            for shift in {p - q for s in own.keys() & seeds.keys() for p in own[s] for q in seeds[s]}:
                 same = [a[k + shift] == b[k] for k in range(len(b)) if 0 <= k + shift < len(a)]
-                seeds = [all(same[s + k] for k in m) for m in MASKS for s in range(len(same) - max(m))]
                 width, need = min(16, len(same)), -(-min(16, len(b)) * 8 // 10)
-                if any(seeds) and any(sum(same[s : s + width]) >= need for s in range(len(same) - width + 1)):
+                if any(sum(same[s : s + width]) >= need for s in range(len(same) - width + 1)):
                     out.add((d, i))
     return out
 
