@@ -14,8 +14,8 @@ def test_corpus_inbox_and_headers(spark):
     assert got == {"n.md": ("hi", None), "bad.md": (None, "not UTF-8")}
     assert tuple(registry.inbox_counts(files).first()) == (3, 1) and registry.failed_inbox(files, 5).count() == 1
     body, privacy = registry.provenance(F.col("t"))
-    rows = spark.createDataFrame([("source: a\nprivacy: internal\n\nprivacy: private\n\nbody",), ("body",)], "t string").select(body.alias("b"), privacy.alias("p")).collect()
-    assert [(r.b, r.p) for r in rows] == [("body", "private"), ("body", None)]
+    rows = spark.createDataFrame([("source_ref: a\nprivacy: provider-allowed\n\nprivacy: local-only\n\nbody",), ("body",)], "t string").select(body.alias("b"), privacy.alias("p")).collect()
+    assert [(r.b, r.p) for r in rows] == [("body", "local-only"), ("body", None)]
     kinds = spark.createDataFrame([(None, "project", [], None), (None, "entity", ["x", "person"], "org"), ("place", "entity", [], None), (None, "entity", [], "org")], "e string, p string, t array<string>, o string")
     assert [r[0] for r in kinds.select(registry.entity_type(F.col("e"), F.col("p"), F.col("t"), F.col("o"))).collect()] == ["project", "person", "place", "org"]
 

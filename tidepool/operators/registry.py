@@ -9,9 +9,9 @@ from tidepool.functions import text as T
 from tidepool.operators import facts as facts_ops
 from tidepool.operators import links as links_ops
 
-#: Private marks, most restrictive first, and the header keys that may stand before a text.
-PRIVACY = ("local-only", "private", "internal", "shareable")
-HEADER_KEYS = ("source", "source_ref", "source_agent", "source_context", "privacy")
+#: The header keys that may stand before a text, and the one privacy mark that permits sharing.
+HEADER_KEYS = ("source_agent", "source_context", "source_channel", "source_ref", "privacy")
+SHARED = "provider-allowed"
 #: Page type -> entity type.
 ENTITY_TYPE = {"project": "project", "concept": "concept", "event": "event", "experience": "experience", "conversation": "conversation"}
 
@@ -42,14 +42,14 @@ def failed_inbox(files: DataFrame, n: int) -> DataFrame:
 
 
 def provenance(text: Column, depth: int = 4) -> tuple[Column, Column]:
-    """(text without its header lines, most restrictive privacy or null) over up to `depth` stacked headers."""
-    line = rf"\A(?:(?:{'|'.join(HEADER_KEYS)}): [^\n]*\n)+\n*"
+    """(text without its header lines, privacy mark or null) over up to `depth` stacked headers; any mark but the sharing one wins."""
+    line = rf"\A(?:(?:{'|'.join(HEADER_KEYS)}):[^\n]*\n)+\n*"
     body, head = text, F.lit("")
     for _ in range(depth):
         head = F.concat(head, F.regexp_extract(body, line, 0))
         body = F.regexp_replace(body, line, "")
-    marks = F.regexp_extract_all(head, F.lit(r"privacy: ([^\n]*)"), F.lit(1))
-    return body, F.coalesce(*(F.when(F.array_contains(marks, p), F.lit(p)) for p in PRIVACY))
+    marks = F.transform(F.regexp_extract_all(head, F.lit(r"privacy:([^\n]*)"), F.lit(1)), lambda x: F.trim(x))
+    return body, F.coalesce(F.get(F.filter(marks, lambda x: x != SHARED), F.lit(0)), F.get(marks, F.lit(0)))
 
 
 def entity_type(explicit: Column, page_type: Column, tags: Column, existing: Column) -> Column:

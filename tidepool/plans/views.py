@@ -98,7 +98,7 @@ class Tables:
 
     def ledger(self) -> DataFrame:
         k = F.col("event_type")
-        kind = F.when(k == "click", "human_chat").when(k == "view", "ai_chat").when(k == "purchase", "page_edited").when(k == "signup", "capture").otherwise("odd")
+        kind = F.when(k == "click", "human_chat").when(k == "view", "ai_chat").when(k == "purchase", "page_edited").when(k == "signup", "note_appended").otherwise("odd")
         return self.table("events").select(F.lpad(F.col("event_id").cast("string"), 26, "0").alias("id"), kind.alias("kind"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("page_slug"), (F.col("event_id") % 120 / 100.0).alias("confidence"), F.col("props"), F.lit(None).cast("string").alias("_corrupt"), "event_id", "event_type", "user_id")
 
     def questions(self) -> DataFrame:
@@ -134,7 +134,7 @@ VIEWS = {
  lateral (select regexp_replace(lower(trim(c.predicate)), '[\\s-]+', '_', 'g') as key) x left join predicates on predicates.alias = x.key""",
     "kb_backlinks": """select 'order-' || l_orderkey as from_page, 'part-' || l_partkey as to_entity, case when l_returnflag = 'A' then 'mentions' else 'involves' end as relation, min(l_linenumber) as line_number from lineitem group by 1, 2, 3""",
     "kb_files": """select doc_id, source || '/' || doc_id as file_path, list_extract(['md','txt','pdf','jsonl'], (doc_id % 4 + 1)::int) as kind, sha256(text) as file_hash, source as job_id, list_extract(['pending','extracted','ingested','failed','skipped'], (doc_id % 5 + 1)::int) as status, length(text) as size, doc_id % 10 = 0 as aborted, text from documents where text is not null""",
-    "kb_ledger": """select lpad(event_id::varchar, 26, '0') as id, case event_type when 'click' then 'human_chat' when 'view' then 'ai_chat' when 'purchase' then 'page_edited' when 'signup' then 'capture' else 'odd' end as kind, 'user-' || user_id as page_slug, (event_id % 120) / 100.0 as confidence, event_id, event_type, user_id from events""",
+    "kb_ledger": """select lpad(event_id::varchar, 26, '0') as id, case event_type when 'click' then 'human_chat' when 'view' then 'ai_chat' when 'purchase' then 'page_edited' when 'signup' then 'note_appended' else 'odd' end as kind, 'user-' || user_id as page_slug, (event_id % 120) / 100.0 as confidence, event_id, event_type, user_id from events""",
     "kb_asked": """select c_custkey as query_id, 'list what ' || upper(c_name) || ' did in ' || (c_custkey // 50 % 7 + 1995) as query from customer where c_custkey % 50 = 0 union all select n_nationkey + 100000000, 'who lives in ' || n_name from nation""",
     "kb_md": """select doc_id, (select string_agg(case when i % 5 = 0 and l <> '' then '# ' || l else l end, chr(10) order by i) from (select unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i)) as text from documents where text is not null""",
 }

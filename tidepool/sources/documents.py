@@ -10,7 +10,8 @@ from tidepool.functions import text as T
 
 WHOLE, PART = 8000, 8000
 KINDS = {"md": "md", "txt": "txt", "pdf": "pdf", "jsonl": "jsonl"}
-EVENT_KINDS = ("laundry_ingested", "bulk_imported", "human_chat", "ai_chat", "page_edited", "entity_merged", "review_applied", "reindexed", "procedure_run", "capture")
+#: The kinds of ledger events.
+EVENT_KINDS = ("raw_imported", "bulk_imported", "laundry_ingested", "note_appended", "ai_chat", "human_chat", "review_decided", "page_edited", "rebuild", "reindexed")
 EVENT = t.StructType(
     [
         t.StructField("id", t.StringType()),

@@ -51,7 +51,7 @@ def captures(notes: DataFrame) -> DataFrame:
 
 def with_context(text: Column, source: Column) -> Column:
     """A source header line, unless the text has one."""
-    return F.when(text.rlike(r"\A(?:source|source_ref|context): "), text).otherwise(F.concat(F.lit("source: "), source, F.lit("\n"), text))
+    return F.when(text.rlike(r"\A(?:source_agent|source_context|source_channel|source_ref):"), text).otherwise(F.concat(F.lit("source_agent: "), source, F.lit("\n"), text))
 
 
 def audit_event(counts: DataFrame, operation: str, event_id: str, at: str) -> DataFrame:
