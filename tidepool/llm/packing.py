@@ -21,7 +21,7 @@ from tidepool.llm._shared import written
 from tidepool.llm._words import text_buffers
 
 SEQUENCE, END_ID = 2048, 0
-#: Distinct words that a task remembers the ids of before it starts over.
+#: Distinct words (about 200 bytes each) that a Python worker remembers the ids of, over all its tasks, before it starts over.
 REMEMBERED = 1_000_000
 
 
@@ -44,11 +44,20 @@ class WordIds(dict):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
 
+_KNOWN: dict[str, WordIds] = {}
+
+
+def _known(path: str) -> WordIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
+
 def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        known = WordIds(path)
+        known = _known(path)
         for b in batches:
             data, offsets = text_buffers(b.column(1))
             out = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
