@@ -41,7 +41,7 @@ def test_edit_distance_and_segments(spark):
             a = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 60)))
             b = edited(rng, a, rng.randrange(0, edits + 3)) if rng.random() < 0.9 else a[::-1]
             rows.append((a, b, distance(a, b) <= edits))
-        got = spark.createDataFrame(rows, "a string, b string, want boolean").select("a", "b", "want", within_edits(F.col("a"), F.col("b"), edits).alias("got"), F.arrays_overlap(index_keys(F.col("a"), edits), probe_keys(F.col("b"), edits)).alias("met"))
+        got = spark.createDataFrame(rows, "a string, b string, want boolean").select("a", "b", "want", within_edits(F.col("a"), F.col("b"), edits).alias("got"), F.arrays_overlap(index_keys(F.col("a"), F.length("a"), edits), probe_keys(F.col("b"), F.length("b"), edits)).alias("met"))
         for r in got.collect():
             assert abs(len(r.a) - len(r.b)) > edits or close(r.a, r.b, edits) == r.want
             assert r.got == r.want, (edits, r)

@@ -32,16 +32,15 @@ def _key(line: Column, length: Column, start: Column, size: Column, i: int) -> C
     return F.xxhash64(F.lit(i), length, F.substring(line, start, size))
 
 
-def index_keys(line: Column, edits: int) -> Column:
-    length = F.length(line)
+def index_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*(_key(line, length, *_segment(length, i, edits), i) for i in range(edits + 1)))
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(line: Column, full: Column, edits: int) -> Column:
     """Keys of every indexed segment of lines up to `edits` shorter that a match can leave whole in this line."""
     out = []
     for less in range(edits + 1):
-        length = F.length(line) - less
+        length = full - less
         for i in range(edits + 1):
             start, size = _segment(length, i, edits)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
@@ -49,16 +48,18 @@ def probe_keys(line: Column, edits: int) -> Column:
     return F.array(*out)
 
 
-def _stripped(a: Column, b: Column, blocks: int = 16) -> tuple[Column, Column]:
-    """Both strings without what they share at their ends, to a sixteenth of the length; that changes no distance."""
+def _stripped(a: Column, b: Column, blocks: int = 16) -> Column:
+    """(x, y): both strings without what they share at their ends, to a sixteenth of the length; that changes no distance."""
     n, m = F.length(a), F.length(b)
     short = F.least(n, m)
-    size = F.floor(short / blocks).cast("int")
-    lead = [(F.substring(a, 1, size * k) == F.substring(b, 1, size * k)).cast("int") for k in range(1, blocks + 1)]
-    tail = [(F.substring(a, n - size * k + 1, size * k) == F.substring(b, m - size * k + 1, size * k)).cast("int") for k in range(1, blocks + 1)]
-    p = size * sum(lead[1:], lead[0])
-    q = F.least(size * sum(tail[1:], tail[0]), short - p)
-    return F.substring(a, p + 1, n - p - q), F.substring(b, p + 1, m - p - q)
+
+    def cut(size):
+        lead = [(F.substring(a, 1, size * k) == F.substring(b, 1, size * k)).cast("int") for k in range(1, blocks + 1)]
+        tail = [(F.substring(a, n - size * k + 1, size * k) == F.substring(b, m - size * k + 1, size * k)).cast("int") for k in range(1, blocks + 1)]
+        inner = lambda p, q: F.struct(F.substring(a, p + 1, n - p - q).alias("x"), F.substring(b, p + 1, m - p - q).alias("y"))
+        return _once(size * sum(lead[1:], lead[0]), lambda p: _once(F.least(size * sum(tail[1:], tail[0]), short - p), lambda q: inner(p, q)))
+
+    return _once(F.floor(short / blocks).cast("int"), cut)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -92,7 +93,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     chars = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
     both = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    of_pair = _once(both(*_stripped(a, b)), lambda s: _once(both(*_stripped(s["x"], s["y"])), lambda t: _once(both(chars(t["x"]), chars(t["y"])), distance)))
+    of_pair = _once(_stripped(a, b), lambda s: _once(_stripped(s["x"], s["y"]), lambda t: _once(both(chars(t["x"]), chars(t["y"])), distance)))
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(of_pair <= edits)
 
 
@@ -126,12 +127,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = judged.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct(*doc, "pos")).alias("f"))
     firsts = first.select("f.*").groupBy(*doc).agg(F.collect_list("pos").alias("firsts"))
     distinct = base.join(firsts, doc).select(*doc, F.explode(F.transform("firsts", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
-    distinct = distinct.select(*doc, F.col("x.pos").alias("pos"), F.col("x.line").alias("line"))
     # one long for text hash and place keeps the rows of the join small
-    place = (F.shiftleft(F.col("th").cast("long"), 32) + F.col("pos")).alias("place")
-    index = distinct.select(F.col("rid").alias("r1"), place.alias("p1"), F.explode(index_keys(F.col("line"), max_edits)).alias("k"))
-    probe = distinct.select(F.col("rid").alias("r2"), place.alias("p2"), F.explode(probe_keys(F.col("line"), max_edits)).alias("k"))
-    met = index.join(probe, "k").where((F.col("r1") != F.col("r2")) | (F.col("p1") != F.col("p2")))
+    place, line = F.shiftleft(F.col("th").cast("long"), 32) + F.col("x.pos"), F.col("x.line")
+    distinct = distinct.select("rid", place.alias("place"), line.alias("line"), F.length(line).alias("length"))
+    sided = lambda n, keys: distinct.select(F.col("rid").alias(f"r{n}"), F.col("place").alias(f"p{n}"), F.explode(keys(F.col("line"), F.col("length"), max_edits)).alias(f"k{n}"))
+    met = sided(1, index_keys).join(sided(2, probe_keys), (F.col("k1") == F.col("k2")) & ((F.col("r1") != F.col("r2")) | (F.col("p1") != F.col("p2"))))
     swap = (F.col("r1") > F.col("r2")) | ((F.col("r1") == F.col("r2")) & (F.col("p1") > F.col("p2")))
     pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
     pairs = met.select(pick("r1", "r2", "r1"), pick("p1", "p2", "p1"), pick("r2", "r1", "r2"), pick("p2", "p1", "p2")).distinct()
