@@ -51,7 +51,7 @@ def word_buckets(w: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarr
 
 
 def _bags(batches):
-    """Buckets with counts of each text: at most one entry a bucket however long the text is."""
+    """Buckets with counts of each text as bytes, which stay small on the driver: at most one entry a bucket however long the text is."""
     for b in batches:
         buckets, counts = [], []
         for w in batch_words(b.column(1), lower=True):
@@ -64,9 +64,9 @@ def _bags(batches):
                 flat = np.repeat(begin[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) if len(own) else own
                 np.add.at(bag, found[flat], np.repeat(n, size))
                 has = np.flatnonzero(bag)
-                buckets.append(has.astype(np.int32))
-                counts.append(bag[has].astype(np.float32))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "buckets", "counts"])
+                buckets.append(has.astype("<i4").tobytes())
+                counts.append(bag[has].astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "buckets", "counts"])
 
 
 @dataclass
@@ -106,7 +106,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """Fit on at most `sample` labelled texts (those with the smallest hashes of text). One in five of them sets the
     temperature (least log loss) and the rejection limit (which a thousandth of true texts fall below, 0.5 at most)."""
     picked = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    picked = picked.orderBy(F.xxhash64("text"), "lang").limit(sample).mapInArrow(_bags, "lang string, buckets array<int>, counts array<float>").toPandas()
+    picked = picked.orderBy(F.xxhash64("text"), "lang").limit(sample).mapInArrow(_bags, "lang string, buckets binary, counts binary").toPandas()
     picked = picked[picked.buckets.map(len) > 0].reset_index(drop=True)
     if picked.empty:
         raise ValueError("no labelled text to learn from")
@@ -115,7 +115,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     rng = np.random.default_rng(seed)
     table, weights, bias = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
     weights += rng.normal(0, 0.1, weights.shape)
-    bags = [(np.asarray(i, np.int64), np.asarray(c, np.float64) / np.sum(c)) for i, c in zip(picked.buckets, picked.counts, strict=True)]
+    bags = [(np.frombuffer(i, "<i4"), np.frombuffer(c, "<f4") / np.frombuffer(c, "<f4").sum()) for i, c in zip(picked.buckets, picked.counts, strict=True)]
     held = np.arange(len(bags)) % 5 == 4 if len(bags) >= 50 else np.zeros(len(bags), bool)
     fit = np.flatnonzero(~held)
 
