@@ -26,6 +26,8 @@ BAND, TINY = 1.5, 3
 #: Shingles of a group that one task holds; larger groups are compared block by block.
 BLOCK = 1_500_000
 LEAF, PIVOTS = 64, 4
+#: Group members up to this number (24 bytes each) are sent to every executor to pick their texts; more meet them in a shuffle.
+BROADCAST_MEMBERS = 1_000_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -211,7 +213,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     members = written(classes.join(groups, "s1").select(F.col("rep").alias("rid"), "s1", "grp", "n"), "members")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    sets = members.select("rid", "s1", "grp").join(known.select("rid", "text"), "rid").select("rid", "s1", "grp", "text").mapInArrow(_sets(shingle), "rep long, grp long, shingles binary")
+    wanted = members.select("rid", "s1", "grp")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_MEMBERS else wanted
+    sets = wanted.join(known.select("rid", "text"), "rid").select("rid", "s1", "grp", "text").mapInArrow(_sets(shingle), "rep long, grp long, shingles binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = sets.join(blocks, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "grp", "shingles", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
