@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm._shared import written
+
 MASKS = ((0, 1, 2, 4, 5), (0, 4, 5, 6, 7))
 WINDOW, SHARE = 16, 0.8
 #: Seeds of the benchmark up to this number (24 bytes each) are sent to every executor; more are joined by a shuffle.
@@ -47,13 +49,16 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     no rows.
     """
     key = ["rid", "th"]
-    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), tokens(F.col(text_col)).alias("words"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    known = texts.select(*key, tokens(F.col("text")).alias("words"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(_NULL_ID)).alias("item"), tokens(F.col(item_text)).alias("words")).distinct()
     index = _seed_rows(items.withColumn("ih", F.xxhash64("words")), ["item", "ih"], "q")
     if index.count() <= BROADCAST_SEEDS:
         index = F.broadcast(index)
-    hits = _seed_rows(known, key, "p").join(index, "seed").select(*key, "item", "ih", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    pairs = hits.join(items.select("item", F.xxhash64("words").alias("ih"), F.col("words").alias("want")), ["item", "ih"]).join(known, key)
+    # written, so that Spark knows how many there are and whether the texts need a shuffle to meet them
+    hits = written(_seed_rows(known, key, "p").join(index, "seed").select(*key, "item", "ih", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
+    pairs = hits.join(texts.dropna(subset=["text"]), key).join(items.select("item", F.xxhash64("words").alias("ih"), F.col("words").alias("want")), ["item", "ih"])
+    pairs = pairs.select(*key, "item", "shift", "want", tokens(F.col("text")).alias("words"))
     low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("want"), F.size("words") - F.col("shift"))
     same = F.transform(F.sequence(low, high - 1), lambda i: (F.get("want", i) == F.get("words", i + F.col("shift"))).cast("int"))
     pairs = pairs.select("rid", "item", F.size("want").alias("n_tokens"), (low + F.col("shift")).alias("start"), same.alias("same"))
