@@ -104,6 +104,7 @@ def _window_rows(window: int):
             f0, f1 = (spans.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if len(lists) and lists[0]:
                 lists = lists - lists[0]
+            parts = []
             for w in batch_words(b.column(2)):
                 out = [[], [], []]
                 for d in range(w.docs):
@@ -115,7 +116,17 @@ def _window_rows(window: int):
                         out[2].append(s)
                 if out[0]:
                     at, row, s = (np.concatenate(x) for x in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(Spans(w.hash, base).hash(at, at + window).view(np.int64)) for base in (_OTHER, _OTHER * 3 % (1 << 64))] + [pa.array(rid[row]), pa.array(th[row]), pa.array(s.astype(np.int32))], names=["w1", "w2", "rid", "th", "s"])
+                    w1, w2 = (Spans(w.hash, base).hash(at, at + window) for base in (_OTHER, _OTHER * 3 % (1 << 64)))
+                    parts.append((w1, w2, rid[row], th[row], s))
+            if not parts:
+                continue
+            w1, w2, r, t, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((s, t, r, w2, w1))
+            w1, w2, r, t, s = (x[order] for x in (w1, w2, r, t, s))
+            lead = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+            lead = np.repeat(lead, np.diff(np.append(lead, len(s))))
+            late = (r != r[lead]) | (t != t[lead]) | (s != s[lead])  # this batch has an earlier one
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(r), pa.array(t), pa.array(s.astype(np.int32)), pa.array(late)], names=["w1", "w2", "rid", "th", "s", "late"])
 
     return run
 
@@ -170,10 +181,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     of_doc = lambda df: df.groupBy(F.col("rid").alias("_rid"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("s0", "s1")).alias("_spans"))
     check = of_doc(found.where(F.col("st") == _CHECK))
-    windows = written(known.select("_rid", "_th", text_col).join(check, ["_rid", "_th"]).select("_rid", "_th", text_col, "_spans").mapInArrow(_window_rows(window), "w1 long, w2 long, rid long, th long, s int"), "windows")
+    windows = written(known.select("_rid", "_th", text_col).join(check, ["_rid", "_th"]).select("_rid", "_th", text_col, "_spans").mapInArrow(_window_rows(window), "w1 long, w2 long, rid long, th long, s int, late boolean"), "windows")
     where = F.struct("rid", "th", "s")
-    firsts = windows.groupBy("w1", "w2").agg(F.min(where).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("w1", "w2", "_first")
-    late = windows.join(firsts, ["w1", "w2"]).where(where > F.col("_first")).select("rid", "th", F.col("s").alias("s0"), F.col("s").alias("s1"))
+    open_ = windows.where("not late")
+    firsts = open_.groupBy("w1", "w2").agg(F.min(where).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("w1", "w2", "_first")
+    late = open_.join(firsts, ["w1", "w2"]).where(where > F.col("_first")).select("rid", "th", "s").unionByName(windows.where("late").select("rid", "th", "s"))
+    late = late.select("rid", "th", F.col("s").alias("s0"), F.col("s").alias("s1"))
     cuts = of_doc(found.where(F.col("st") == _COPY).select("rid", "th", "s0", "s1").unionByName(late))
     names = [id_col, text_col]
     joined = known.join(cuts, ["_rid", "_th"], "left").select(*names, "_spans")
