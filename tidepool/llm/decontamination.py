@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._shared import written
+from tidepool.llm._shared import once, written
 
 MASKS = ((0, 1, 2, 4, 5), (0, 4, 5, 6, 7))
 WINDOW, SHARE = 16, 0.8
@@ -58,14 +58,21 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     # written, so that Spark knows how many there are and whether the texts need a shuffle to meet them
     hits = written(_seed_rows(known, key, "p").join(index, "seed").select(*key, "item", "ih", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
     pairs = hits.join(texts.dropna(subset=["text"]), key).join(items.select("item", F.xxhash64("words").alias("ih"), F.col("words").alias("want")), ["item", "ih"])
-    pairs = pairs.select(*key, "item", "shift", "want", tokens(F.col("text")).alias("words"))
-    low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("want"), F.size("words") - F.col("shift"))
-    same = F.transform(F.sequence(low, high - 1), lambda i: (F.get("want", i) == F.get("words", i + F.col("shift"))).cast("int"))
-    pairs = pairs.select("rid", "item", F.size("want").alias("n_tokens"), (low + F.col("shift")).alias("start"), same.alias("same"))
-    width = F.least(F.lit(window), F.size("same"))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - width), lambda s: F.aggregate(F.slice("same", s + 1, width), F.lit(0), lambda x, y: x + y)))
-    pairs = pairs.where(best >= F.ceil(F.lit(share) * F.least(F.lit(window), F.col("n_tokens"))))
-    pairs = pairs.withColumn("n_matched", F.aggregate("same", F.lit(0), lambda x, y: x + y))
+    shift, want = F.col("shift"), F.col("want")
+
+    def compared(words: Column) -> Column:
+        low, high = F.greatest(F.lit(0), -shift), F.least(F.size(want), F.size(words) - shift)
+        same = F.transform(F.sequence(low, high - 1), lambda i: (F.get(want, i) == F.get(words, i + shift)).cast("int"))
+        return once(same, lambda x: F.struct((low + shift).alias("start"), F.aggregate(x, F.lit(0), lambda u, v: u + v).alias("n_matched"), densest(x).alias("best")))
+
+    def densest(same: Column) -> Column:
+        width = F.least(F.lit(window), F.size(same))
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.size(same) - width), lambda s: F.aggregate(F.slice(same, s + 1, width), F.lit(0), lambda x, y: x + y)))
+
+    # a lambda's argument is evaluated once, so a text is cut into tokens once for a hit
+    pairs = pairs.select("rid", "item", F.size(want).alias("n_tokens"), once(tokens(F.col("text")), compared).alias("c"))
+    pairs = pairs.select("rid", "item", "n_tokens", F.col("c.start").alias("start"), F.col("c.n_matched").alias("n_matched"), F.col("c.best").alias("best"))
+    pairs = pairs.where(F.col("best") >= F.ceil(F.lit(share) * F.least(F.lit(window), F.col("n_tokens"))))
     # numbers only, so the largest can be kept before the shuffle
     best = pairs.groupBy("rid", "item").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"), F.min("start").alias("start"))
     return best.select(F.nullif("rid", F.lit(_NULL_ID)).alias("doc_id"), F.nullif("item", F.lit(_NULL_ID)).alias("item_id"), F.col("n_matched").cast("long").alias("n_matched"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("start").cast("long").alias("start"))
