@@ -17,8 +17,8 @@ from tidepool.llm import decontamination, jaccard_join, language_id, line_dedup,
 from tidepool.llm._shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Stages on word shingles take five words; 90 % of them in common makes two documents copies of one.
-SHINGLE, PERCENT = 5, 90
+#: Stages on word shingles take five words; 80 % of them in common makes two documents copies of one.
+SHINGLE, PERCENT = 5, 80
 #: Ids to leave out (16 bytes each) up to this many are sent to every executor.
 BROADCAST_IDS = 2_000_000
 
