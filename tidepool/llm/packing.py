@@ -93,14 +93,19 @@ def plan_places(counts: dict[int, int], length: int) -> list[tuple[int, int, int
     for size in sorted(counts, reverse=True):
         left, rank = counts[size], 0
         for room in range(size, length):
+            # a sequence stays the best fit until the size fits no more, so it takes all that go in
+            each = room // size
             while left and open_[room]:
                 first, n = open_[room].popleft()
-                take = min(n, left)
-                out.append((size, rank, take, first, length - room))
-                open_[room - size].append((first, take))
-                if take < n:
-                    open_[room].appendleft((first + take, n - take))
-                rank, left = rank + take, left - take
+                for n_here, fill in ((min(n, left // each), each), (1, left) if left < each else (0, 0)):
+                    if n_here and fill:
+                        for k in range(fill):
+                            out.append((size, rank, n_here, first, length - room + k * size))
+                            rank += n_here
+                        open_[room - fill * size].append((first, n_here))
+                        first, n, left = first + n_here, n - n_here, left - n_here * fill
+                if n:
+                    open_[room].appendleft((first, n))
         each = length // size
         for n, fill in ((left // each, each), (1, left % each)):
             if n and fill:
