@@ -5,7 +5,8 @@ All stages but the last return the columns of documents (doc_id, text, lang, sou
 last returns the packed pieces. n_chars follows the text where a stage changes it.
 
 Rows without text are rejected by the first stage. Each stage works on all rows that the one before kept; an empty table
-passes through as one. Rows that repeat a doc_id with the same text are the same document for the stages that keep one.
+passes through as one. Rows that repeat a doc_id with the same text are the same document for the stages that keep one; rows that
+share an id (or have none) but not the text are different documents, and each goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import decontamination, jaccard_join, language_id, line_dedup, packing
-from tidepool.llm._shared import written
+from tidepool.llm._shared import ROW_KEY, row_key, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Stages on word shingles take five words; 80 % of them in common makes two documents copies of one.
 SHINGLE, PERCENT = 5, 80
-#: Ids to leave out (16 bytes each) up to this many are sent to every executor.
+#: Keys of rows to leave out (32 bytes each) up to this many are sent to every executor.
 BROADCAST_IDS = 2_000_000
 
 
@@ -39,22 +40,22 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near copies."""
-    classes = jaccard_join.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
-    return _without(docs, classes.where("not doc_id <=> component_id").select("doc_id"))
+    """Keep the document with the smallest id (and text hashes, where ids repeat) of each class of near copies."""
+    classes = jaccard_join.jaccard_classes(docs, shingle=SHINGLE, percent=PERCENT)
+    return _without(docs, classes.where(F.struct(*ROW_KEY) != F.col("first")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark passage."""
-    found = decontamination.benchmark_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id"))
+    return _without(docs, decontamination.overlapping_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not one of ids; a bounded number of ids is sent to every executor, more meet them in a shuffle."""
-    ids = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose key is not one of rows; a bounded number of keys is sent to every executor, more meet them in a shuffle."""
+    gone = written(rows.select(*(F.col(c).alias(f"_{c}") for c in ROW_KEY)).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    same = [c == F.col(f"_{k}") for k, c in zip(ROW_KEY, row_key("doc_id", "text"), strict=True)]
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,16 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: A row's key: its id (nulls as the largest number) and two hashes of its text, so that rows that share an id are told apart.
+ROW_KEY = ("rid", "h1", "h2")
+NULL_ID = (1 << 63) - 1
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rid"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def _cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()

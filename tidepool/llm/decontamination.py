@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._shared import once, written
+from tidepool.llm._shared import NULL_ID, ROW_KEY, once, row_key, written
 
 MASKS = ((0, 1, 2, 4, 5), (0, 4, 5, 6, 7))
 WINDOW, SHARE = 16, 0.8
 #: Seeds of the benchmark up to this number (24 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_SEEDS = 2_000_000
-_NULL_ID = (1 << 63) - 1
 
 
 def tokens(text: Column) -> Column:
@@ -48,10 +47,23 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     compared too (a null id comes back as null); repeated rows give one pair. Other columns are ignored; empty tables give
     no rows.
     """
-    key = ["rid", "th"]
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    pairs = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share)
+    # numbers only, so the largest can be kept before the shuffle
+    best = pairs.groupBy("rid", "item").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"), F.min("start").alias("start"))
+    return best.select(F.nullif("rid", F.lit(NULL_ID)).alias("doc_id"), F.nullif("item", F.lit(NULL_ID)).alias("item_id"), F.col("n_matched").cast("long").alias("n_matched"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("start").cast("long").alias("start"))
+
+
+def overlapping_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """rid, h1, h2: the keys of the rows of docs that overlap with the benchmark, each once."""
+    return _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share).select(*ROW_KEY).distinct()
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, share: float) -> DataFrame:
+    """The row key, item, n_tokens, start and n_matched of each diagonal that counts."""
+    key = list(ROW_KEY)
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     known = texts.select(*key, tokens(F.col("text")).alias("words"))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(_NULL_ID)).alias("item"), tokens(F.col(item_text)).alias("words")).distinct()
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(NULL_ID)).alias("item"), tokens(F.col(item_text)).alias("words")).distinct()
     index = _seed_rows(items.withColumn("ih", F.xxhash64("words")), ["item", "ih"], "q")
     if index.count() <= BROADCAST_SEEDS:
         index = F.broadcast(index)
@@ -70,15 +82,12 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         return F.array_max(F.transform(F.sequence(F.lit(0), F.size(same) - width), lambda s: F.aggregate(F.slice(same, s + 1, width), F.lit(0), lambda x, y: x + y)))
 
     # a lambda's argument is evaluated once, so a text is cut into tokens once for a hit
-    pairs = pairs.select("rid", "item", F.size(want).alias("n_tokens"), once(tokens(F.col("text")), compared).alias("c"))
-    pairs = pairs.select("rid", "item", "n_tokens", F.col("c.start").alias("start"), F.col("c.n_matched").alias("n_matched"), F.col("c.best").alias("best"))
-    pairs = pairs.where(F.col("best") >= F.ceil(F.lit(share) * F.least(F.lit(window), F.col("n_tokens"))))
-    # numbers only, so the largest can be kept before the shuffle
-    best = pairs.groupBy("rid", "item").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"), F.min("start").alias("start"))
-    return best.select(F.nullif("rid", F.lit(_NULL_ID)).alias("doc_id"), F.nullif("item", F.lit(_NULL_ID)).alias("item_id"), F.col("n_matched").cast("long").alias("n_matched"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("start").cast("long").alias("start"))
+    pairs = pairs.select(*key, "item", F.size(want).alias("n_tokens"), once(tokens(F.col("text")), compared).alias("c"))
+    pairs = pairs.select(*key, "item", "n_tokens", F.col("c.start").alias("start"), F.col("c.n_matched").alias("n_matched"), F.col("c.best").alias("best"))
+    return pairs.where(F.col("best") >= F.ceil(F.lit(share) * F.least(F.lit(window), F.col("n_tokens"))))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose id has no overlap with the benchmark."""
-    bad = benchmark_overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs, with all their columns, that have no overlap with the benchmark."""
+    bad = overlapping_rows(docs, benchmark, id_col, text_col, **options).select(F.struct(*ROW_KEY).alias("_bad"))
+    return docs.join(bad, F.struct(*row_key(id_col, text_col)) == F.col("_bad"), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._shared import connected_components, written
+from tidepool.llm._shared import NULL_ID, ROW_KEY, connected_components, row_key, written
 from tidepool.llm._words import Spans, Words, batch_words, mix
 
 SHINGLE, PERCENT = 3, 90
@@ -26,9 +26,8 @@ BAND, TINY = 1.5, 3
 #: Shingles of a group that one task holds; larger groups are compared block by block.
 BLOCK = 1_500_000
 LEAF, PIVOTS = 64, 4
-#: Group members up to this number (24 bytes each) are sent to every executor to pick their texts; more meet them in a shuffle.
+#: Group members up to this number (48 bytes each) are sent to every executor to pick their texts; more meet them in a shuffle.
 BROADCAST_MEMBERS = 1_000_000
-_NULL_ID = (1 << 63) - 1
 
 
 def _bands(percent: int, upto: int) -> list[tuple[int, int, int]]:
@@ -69,7 +68,7 @@ def _profiles(shingle: int, percent: int):
         bands = _bands(percent, 1000)
         for b in batches:
             n, s1, s2, keys = [], [], [], []
-            for w in batch_words(b.column(2), lower=True):
+            for w in batch_words(b.column(4), lower=True):
                 for v in shingle_sets(w, shingle):
                     m = mix(v * np.uint64(0xE7037ED1A0B428DB))
                     n.append(len(v))
@@ -88,7 +87,7 @@ def _profiles(shingle: int, percent: int):
                     keys.append(np.concatenate(own) if own else v)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "rid", "n", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", *ROW_KEY, "n", "s1", "s2", "keys"])
 
     return run
 
@@ -97,12 +96,14 @@ def _sets(shingle: int):
     """The sets of the documents that stand for their class."""
 
     def run(batches):
+        seen = set()
         for b in batches:
-            s1, row = b.column(1).to_numpy(), 0
+            reps, s1, row = b.column(0).to_pylist(), b.column(1).to_numpy(), 0
             keep, sets = [], []
             for w in batch_words(b.column(3), lower=True):
                 for v in shingle_sets(w, shingle):
-                    if mix(v * np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64) == s1[row].astype(np.uint64):
+                    if reps[row] not in seen and mix(v * np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64) == s1[row].astype(np.uint64):
+                        seen.add(reps[row])  # rows that repeat id and text
                         keep.append(row)
                         sets.append(v.tobytes())
                     row += 1
@@ -199,28 +200,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns doc_id, n_shingles, component_id (smallest id reachable by links, itself included), one row per input row.
 
     Null, empty and wordless texts have no shingles and link with nothing. Null ids sort after all others, and a class of
-    null ids only has a null component_id. Repeated rows are links of distance 0. Other columns are ignored; an empty
+    null ids only has a null component_id; rows that share an id but not the text are linked by their texts alone. Repeated rows are links of distance 0. Other columns are ignored; an empty
     table gives no rows. Percent must be at least 50.
     """
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"), F.col(text_col).alias("text"))
-    profile = written(known.mapInArrow(_profiles(shingle, percent), "doc_id long, rid long, n long, s1 long, s2 long, keys array<long>"), "profiles")
-    # copies of one set are one member from here on
-    classes = written(profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("rep")), "classes")
+    classes = jaccard_classes(docs, id_col, text_col, shingle, percent)
+    return classes.select("doc_id", "n_shingles", F.nullif("first.rid", F.lit(NULL_ID)).alias("component_id"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, rid, h1, h2 (the row's key), n_shingles, first: the smallest row key of the class, of every row; see jaccard_components.
+
+    Rows that share an id but not the text, null ids included, are different members.
+    """
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
+    profile = written(known.mapInArrow(_profiles(shingle, percent), "doc_id long, rid long, h1 long, h2 long, n long, s1 long, s2 long, keys array<long>"), "profiles")
+    # copies of one set are one member from here on, under a number of its own
+    classes = profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(*ROW_KEY)).alias("first"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     parts = profile.select(F.explode("keys").alias("k"), "s1")
     shared = written(parts.groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("k", "lo"), "shared")
     groups = connected_components(parts.join(shared, "k").where("s1 <> lo").select("s1", "lo"), "s1", "lo")
     groups = written(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("s1"), F.col("component").alias("grp")), "groups")
 
-    members = written(classes.join(groups, "s1").select(F.col("rep").alias("rid"), "s1", "grp", "n"), "members")
+    members = written(classes.join(groups, "s1").select("rep", "first.*", "s1", "grp", "n"), "members")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    wanted = members.select("rid", "s1", "grp")
+    wanted = members.select("rep", *ROW_KEY, "s1", "grp")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_MEMBERS else wanted
-    sets = wanted.join(known.select("rid", "text"), "rid").select("rid", "s1", "grp", "text").mapInArrow(_sets(shingle), "rep long, grp long, shingles binary")
+    sets = wanted.join(known.select(*ROW_KEY, "text"), list(ROW_KEY)).select("rep", "s1", "grp", "text").mapInArrow(_sets(shingle), "rep long, grp long, shingles binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = sets.join(blocks, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "grp", "shingles", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     links = dealt.groupBy("grp", "x", "y").applyInArrow(_join_group(percent), "a long, b long")
 
-    labels = classes.join(connected_components(links, "a", "b").withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    found = written(connected_components(links, "a", "b").withColumnRenamed("node", "rep"), "components")
+    found = found.unionByName(found.select(F.col("component").alias("rep"), "component").distinct())
+    least = found.join(classes, "rep").groupBy("component").agg(F.min("first").alias("least"))
+    labels = classes.join(found.join(least, "component").select("rep", "least"), "rep", "left").select("s1", "s2", "n", F.coalesce("least", "first").alias("first"))
     out = profile.drop("keys").join(labels, ["s1", "s2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "rid"), F.lit(_NULL_ID)).alias("component_id"))
+    return out.select("doc_id", *ROW_KEY, F.col("n").alias("n_shingles"), F.coalesce("first", F.struct(*ROW_KEY)).alias("first"))
