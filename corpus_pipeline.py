@@ -34,8 +34,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated lines; documents of which nothing is left go."""
-    cut = line_dedup.dedup_lines(docs, carry=("lang", "source")).where(F.trim("kept_text") != "")
+    """Remove repeated lines, short ones where they repeat exactly; documents of which only blanks are left go."""
+    cut = line_dedup.dedup_lines(docs, carry=("lang", "source"), exact_chars=1).where(F.col("kept_text").rlike(r"\S"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

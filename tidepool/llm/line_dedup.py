@@ -113,7 +113,7 @@ def _blocks_alive(a: Column, b: Column, edits: int, blocks: int = 16) -> Column:
     return sum(found[1:], found[0]) >= blocks - edits
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(rid, th, removed): the numbers (from 0) of the lines to remove, for each document that has some; see dedup_lines.
 
     rid is the id (nulls as the largest number), th a hash of the text.
@@ -123,13 +123,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc = ["rid", "th"]
     # one exchange of the texts by document serves all the joins below
     base = docs.select(*_identity(id_col, text_col), F.coalesce(F.split(text_col, "\n", -1), F.array().cast("array<string>")).alias("lines"))
-    judged = base.select(*doc, F.posexplode("lines").alias("pos", "line")).where(F.length("line") >= min_chars)
+    least = min_chars if exact_chars is None else min(min_chars, exact_chars)
+    counts = lambda x: (F.length(x) >= min_chars) | ((F.length(x) >= least) & x.rlike(r"\S")) if least < min_chars else F.length(x) >= min_chars
+    judged = base.select(*doc, F.posexplode("lines").alias("pos", "line")).where(counts(F.col("line")))
     first = judged.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct(*doc, "pos")).alias("f"))
     firsts = first.select("f.*").groupBy(*doc).agg(F.collect_list("pos").alias("firsts"))
     distinct = base.join(firsts, doc).select(*doc, F.explode(F.transform("firsts", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
     # one long for text hash and place keeps the rows of the join small
     place, line = F.shiftleft(F.col("th").cast("long"), 32) + F.col("x.pos"), F.col("x.line")
-    distinct = distinct.select("rid", place.alias("place"), line.alias("line"), F.length(line).alias("length"))
+    distinct = distinct.where(F.length(line) >= min_chars).select("rid", place.alias("place"), line.alias("line"), F.length(line).alias("length"))
     sided = lambda n, keys: distinct.select(F.col("rid").alias(f"r{n}"), F.col("place").alias(f"p{n}"), F.explode(keys(F.col("line"), F.col("length"), max_edits)).alias(f"k{n}"))
     met = sided(1, index_keys).join(sided(2, probe_keys), (F.col("k1") == F.col("k2")) & ((F.col("r1") != F.col("r2")) | (F.col("p1") != F.col("p2"))))
     swap = (F.col("r1") > F.col("r2")) | ((F.col("r1") == F.col("r2")) & (F.col("p1") > F.col("p2")))
@@ -143,8 +145,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     th, pos = part(2)
     near = same.select(F.col("r2").alias("rid"), th.alias("th"), pos.alias("pos")).distinct().groupBy(*doc).agg(F.collect_list("pos").alias("near"))
     none = F.array().cast("array<int>")
-    long = F.filter(F.transform("lines", lambda x, i: F.when(F.length(x) >= min_chars, i)), lambda i: i.isNotNull())
-    gone = F.array_except(long, F.array_except(F.coalesce("firsts", none), F.coalesce("near", none)))
+    seen = F.filter(F.transform("lines", lambda x, i: F.when(counts(x), i)), lambda i: i.isNotNull())
+    gone = F.array_except(seen, F.array_except(F.coalesce("firsts", none), F.coalesce("near", none)))
     return base.join(firsts, doc, "left").join(near, doc, "left").select(*doc, gone.alias("removed")).where(F.size("removed") > 0)
 
 
@@ -152,17 +154,18 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"), F.hash(F.coalesce(text_col, F.lit(""))).alias("th")]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = (), exact_chars: int | None = None) -> DataFrame:
     """Remove repeats of lines from documents: doc_id, n_lines, n_removed, kept_text of every row, and the columns in `carry`.
 
     Lines (split at \\n) of at least min_chars characters are judged, in order of document id and line. A line is removed if
-    the same line stands earlier, or if a line first seen earlier is within max_edits edits of it. Shorter lines are kept.
+    the same line stands earlier, or if a line first seen earlier is within max_edits edits of it. Shorter lines are
+    kept, but with exact_chars those of so many characters and not blank go where the same line stands earlier (1: all).
 
     Null text: no lines, kept_text null; empty text: one line, kept. A null id sorts after all others. Rows with one id and
     one text get the same result; rows with one id and different texts are ordered by a hash. Other columns are ignored; an
     empty table gives no rows. min_chars must be at least 8 * (max_edits + 1) for the segments to tell lines apart.
     """
-    removed = written(removed_lines(docs, id_col, text_col, max_edits, min_chars).dropDuplicates(["rid", "th"]), "removed")
+    removed = written(removed_lines(docs, id_col, text_col, max_edits, min_chars, exact_chars).dropDuplicates(["rid", "th"]), "removed")
     numbers = removed.agg(F.coalesce(F.sum(F.size("removed") + 8), F.lit(0))).first()[0]
     removed = F.broadcast(removed) if numbers <= BROADCAST_NUMBERS else removed
     own = docs.select(F.col(id_col).alias("doc_id"), *carry, *_identity(id_col, text_col), F.col(text_col).alias("_text"))

@@ -18,7 +18,7 @@ def _held_out():
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.line_dedup import dedup_lines
 
-    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    out = dedup_lines(_table(spark, sf_dir, "documents"), exact_chars=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
