@@ -47,7 +47,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark passage."""
-    return _without(docs, decontamination.overlapping_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _without(docs, decontamination.overlapping_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_length=True))
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions alone.
 
 A seed is a hash of the tokens that a fixed mask selects from a run of tokens; ignored places may hold anything. The two
-masks together survive every choice of three substitutions in sixteen tokens. Seeds of the training texts meet those of
+masks together survive every choice of three substitutions in sixteen tokens; items of fewer tokens are cut into one part
+more than the substitutions they may have, of which one is left whole. Seeds of the training texts meet those of
 the benchmark, and around each hit the two texts are compared token by token on the hit's diagonal.
 """
 
@@ -33,42 +34,74 @@ def seeds(words: str) -> Column:
     return F.array(*(of(n, m) for n, m in enumerate(MASKS)))
 
 
-def _seed_rows(df: DataFrame, keys: list[str], place: str) -> DataFrame:
-    return df.select(*keys, F.explode(seeds("words")).alias("own")).select(*keys, F.posexplode("own").alias(place, "seed"))
+def spans(words: str, lengths: list[int]) -> list[Column]:
+    """For each length the hashes of all runs of so many words, by place."""
 
+    def of(n: int) -> Column:
+        last = F.size(words) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(-1), F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    return [of(n) for n in lengths]
+
+
+def _short_seeds(items: DataFrame, window: int, share: float) -> DataFrame:
+    """item, ih, whole, q, n, seed: items shorter than the window cut into one part more than the substitutions that the
+    share admits, so that one part is left whole; whole: the item is one part."""
+    n = F.size("words")
+    parts = (n - F.ceil(F.lit(share) * n) + 1).cast("int")
+    at = lambda i: F.floor(i * n / parts).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(at(i).alias("q"), (at(i + 1) - at(i)).alias("n")))
+    rows = items.where((n > 0) & (n < window)).select("item", "ih", "words", (parts == 1).alias("whole"), F.explode(cut).alias("x"))
+    return rows.select("item", "ih", "whole", "x.q", "x.n", F.xxhash64(F.lit(-1), F.slice("words", F.col("x.q") + 1, F.col("x.n"))).alias("seed"))
+
+
+def _seed_rows(df: DataFrame, keys: list[str], place: str, lengths: list[int]) -> DataFrame:
+    own = F.concat(seeds("words"), F.array(*spans("words", lengths))) if lengths else seeds("words")
+    return df.select(*keys, F.explode(own).alias("own")).select(*keys, F.posexplode("own").alias(place, "seed"))
+
+
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, any_length: bool = False) -> DataFrame:
     """Pairs of a document and a benchmark item of which `window` tokens in a row agree in place by at least `share`.
 
     Items with fewer tokens than the window are their own window. Returns doc_id, item_id, n_matched (tokens of the item
     found in place on the best diagonal), n_tokens (of the item), start (token of the document where the overlap begins).
 
-    Null and empty texts and items with fewer than six tokens overlap with nothing. Rows of either table with a null id are
+    With any_length every item shorter than the window is found that the share admits, single tokens included. Without it
+    such items are found only where a mask survives, and those with fewer than six tokens never. Null and empty texts
+    overlap with nothing. Rows of either table with a null id are
     compared too (a null id comes back as null); repeated rows give one pair. Other columns are ignored; empty tables give
     no rows.
     """
-    pairs = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share)
+    pairs = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share, any_length)
     # numbers only, so the largest can be kept before the shuffle
     best = pairs.groupBy("rid", "item").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"), F.min("start").alias("start"))
     return best.select(F.nullif("rid", F.lit(NULL_ID)).alias("doc_id"), F.nullif("item", F.lit(NULL_ID)).alias("item_id"), F.col("n_matched").cast("long").alias("n_matched"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("start").cast("long").alias("start"))
 
 
-def overlapping_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def overlapping_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, any_length: bool = False) -> DataFrame:
     """rid, h1, h2: the keys of the rows of docs that overlap with the benchmark, each once."""
-    return _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share).select(*ROW_KEY).distinct()
+    return _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share, any_length).select(*ROW_KEY).distinct()
 
 
-def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, share: float) -> DataFrame:
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, share: float, any_length: bool) -> DataFrame:
     """The row key, item, n_tokens, start and n_matched of each diagonal that counts."""
     key = list(ROW_KEY)
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     known = texts.select(*key, tokens(F.col("text")).alias("words"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(NULL_ID)).alias("item"), tokens(F.col(item_text)).alias("words")).distinct()
-    index = _seed_rows(items.withColumn("ih", F.xxhash64("words")), ["item", "ih"], "q")
+    indexed = items.withColumn("ih", F.xxhash64("words"))
+    index, lengths = _seed_rows(indexed, ["item", "ih"], "q", []).withColumn("whole", F.lit(False)), []
+    if any_length:
+        short = _short_seeds(indexed, window, share)
+        lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
+        index = index.unionByName(short.select("item", "ih", "q", "seed", "whole"))
     if index.count() <= BROADCAST_SEEDS:
         index = F.broadcast(index)
+    shift = F.col("p") - F.col("q")
+    met = _seed_rows(known, key, "p", lengths).join(index, "seed").select(*key, "item", "ih", shift.alias("shift"), F.when(~F.col("whole"), shift).alias("own"))
+    # of an item that is one part, every hit is a full one, so the first will do
     # written, so that Spark knows how many there are and whether the texts need a shuffle to meet them
-    hits = written(_seed_rows(known, key, "p").join(index, "seed").select(*key, "item", "ih", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
+    hits = written(met.groupBy(*key, "item", "ih", "own").agg(F.min("shift").alias("shift")).drop("own").distinct() if lengths else met.drop("own").distinct(), "hits")
     pairs = hits.join(texts.dropna(subset=["text"]), key).join(items.select("item", F.xxhash64("words").alias("ih"), F.col("words").alias("want")), ["item", "ih"])
     shift, want = F.col("shift"), F.col("want")
 

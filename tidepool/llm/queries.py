@@ -49,7 +49,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.decontamination import benchmark_overlaps
 
-    return benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), any_length=True)
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
