@@ -151,21 +151,52 @@ RULES: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)", _card),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.(-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)", _phone),
 )
+#: Kinds of digit groups, of which a check that fails on the longest match may hold for fewer: what a group is, what a value begins with.
+GROUPED = {"card": (re.compile(r"\d+"), re.compile(r"\d")), "iban": (re.compile(r"[A-Z0-9]+"), re.compile(r"[A-Z]{2}\d{2}"))}
+#: Groups as cards are printed; these go before other runs of groups that pass the check by chance.
+_PRINTED = re.compile(r"(?:\d{13,19}|\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}[ -]?\d{6}[ -]?\d{4,5})")
+_DIGITS = re.compile(r"\d+(?:[ -]\d+)*")
 _COMPILED = [(k, re.compile(p), f) for k, p, f in RULES]
 _MAYBE = re.compile(r"[0-9@]|(?i:token|secret|password|api_key)|sk-|xox")
 
 
+def _parts(kind: str, text: str, first: int, last: int) -> list[tuple[int, int]]:
+    """A match and the runs of whole groups that start in it: cards as printed first, then the match, then by start, the
+    longest of each start first. A card may end beyond the match, which other digits before it have cut short."""
+    group, begin = GROUPED[kind]
+    end = _DIGITS.match(text, first, last + 38).end() if kind == "card" else last
+    groups = [m.span() for m in group.finditer(text, first, end)]
+    runs = {(first, last)}
+    for k, (a, _) in enumerate(groups):
+        if a < last and begin.match(text, a):
+            runs.update((a, d) for _, d in groups[k:] if d - a < 38 and (kind != "card" or not text[d : d + 1].isdigit()))
+    return sorted(runs, key=lambda x: (kind == "card" and not _PRINTED.fullmatch(text, *x), x != (first, last), x[0], -x[1]))
+
+
+def _values(kind: str, pattern: re.Pattern, change: Callable[[str, bytes], str | None], text: str, key: bytes, taken: list[tuple[int, int, str, str]]):
+    """First place, end, kind and pseudonym of each value of a kind outside the places that are taken."""
+    free = lambda x, y: all(y <= a or x >= b for a, b, _, _ in taken)
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.end()
+        for x, y in _parts(kind, text, *m.span()) if kind in GROUPED else [m.span()]:
+            new = change(text[x:y], key) if free(x, y) else None
+            if new is not None:
+                yield x, y, kind, new
+                at = y
+                break
+        else:
+            if kind in GROUPED:  # a value may begin at the next group
+                at = GROUPED[kind][0].match(text, m.start()).end()
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, start and end (of the new text) of each."""
     if not _MAYBE.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, change in _COMPILED:
-        for m in pattern.finditer(text):
-            if all(m.end() <= a or m.start() >= b for a, b, _, _ in taken):
-                new = change(m[0], key)
-                if new is not None:
-                    taken.append((m.start(), m.end(), kind, new))
+        taken += list(_values(kind, pattern, change, text, key, taken))
     out, spans, at, size = [], [], 0, 0
     for a, b, kind, new in sorted(taken):
         out += [text[at:a], new]
