@@ -51,10 +51,12 @@ def word_buckets(w: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarr
 
 
 def _bags(batches):
-    """Buckets with counts of each text as bytes, which stay small on the driver: at most one entry a bucket however long the text is."""
+    """(h, lang, text) -> h, lang, buckets with counts of each text as bytes: at most one entry a bucket however long the text is."""
+    seen = set()
     for b in batches:
-        buckets, counts = [], []
-        for w in batch_words(b.column(1), lower=True):
+        rows = [k for k, x in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) if not (x in seen or seen.add(x))]
+        b, buckets, counts = b.take(pa.array(rows, pa.int64())), [], []
+        for w in batch_words(b.column(2), lower=True):
             inverse, found, ends = word_buckets(w)
             begin = np.append(0, ends[:-1]) if len(ends) else ends
             for d in range(w.docs):
@@ -66,7 +68,25 @@ def _bags(batches):
                 has = np.flatnonzero(bag)
                 buckets.append(has.astype("<i4").tobytes())
                 counts.append(bag[has].astype("<f4").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "buckets", "counts"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["h", "lang", "buckets", "counts"])
+
+
+def _sample(labelled: DataFrame, text_col: str, lang_col: str, sample: int):
+    """Bags of the `sample` different labelled texts with the smallest hashes, in that order.
+
+    Hashes below a bound that leaves about twice as many are picked first, without a text; then only those texts are read.
+    """
+    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    share = 2 * sample / max(1, known.count())
+    while True:
+        below = known if share >= 1 else known.where(F.col("h") < F.lit(int(share * 2**64) - 2**63))
+        keys = below.groupBy("h", "lang").agg(F.lit(1)).orderBy("h", "lang").limit(sample).select("h", "lang").collect()
+        if len(keys) == sample or share >= 1:
+            break
+        share *= 4
+    picked = known.where(F.col("h") <= keys[-1].h) if keys else known.limit(0)
+    bags = picked.mapInArrow(_bags, "h long, lang string, buckets binary, counts binary").dropDuplicates(["h", "lang"]).toPandas()
+    return bags.sort_values(["h", "lang"]).head(sample)
 
 
 @dataclass
@@ -77,13 +97,13 @@ class LanguageModel:
     temperature: float
     reject_below: float
 
-    def scorer(self):
-        """(id, text) batches -> language, probability."""
+    def scorer(self, keep: list[int]):
+        """Batches whose last column is the text -> the columns in `keep`, language, probability."""
 
         def run(batches):
             for b in batches:
                 best, score = [], []
-                for w in batch_words(b.column(1), lower=True):
+                for w in batch_words(b.column(b.num_columns - 1), lower=True):
                     inverse, found, ends = word_buckets(w)
                     sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.table[found], 0, dtype=np.float64)])
                     begin = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else ends
@@ -97,19 +117,19 @@ class LanguageModel:
                     best.append(p.argmax(1))
                     score.append(p.max(1))
                 names = np.array(self.languages, object)[np.concatenate(best)] if best else []
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=["doc_id", "text", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(names, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*(b.schema.names[k] for k in keep), "_lang", "_score"])
 
         return run
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, epochs: int = 6, rate: float = 4.0, seed: int = 7) -> LanguageModel:
     """Fit on at most `sample` labelled texts (those with the smallest hashes of text). One in five of them sets the
-    temperature (least log loss) and the rejection limit (which a thousandth of true texts fall below, 0.5 at most)."""
-    picked = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    picked = picked.orderBy(F.xxhash64("text"), "lang").limit(sample).mapInArrow(_bags, "lang string, buckets binary, counts binary").toPandas()
+    temperature (least log loss) and the rejection limit (which a thousandth of true texts fall below, 0.5 at most).
+    Where no labelled text holds a word, the model has no language; see identify."""
+    picked = _sample(labelled, text_col, lang_col, sample)
     picked = picked[picked.buckets.map(len) > 0].reset_index(drop=True)
     if picked.empty:
-        raise ValueError("no labelled text to learn from")
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     languages = sorted(picked.lang.unique())
     y = picked.lang.map(languages.index).to_numpy()
     rng = np.random.default_rng(seed)
@@ -147,14 +167,23 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return LanguageModel(languages, (table @ weights).astype(np.float32), bias, float(temperature), float(min(0.5, np.quantile(right, 0.001))))
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, lang_pred, score (0 to 1) and accepted of every row.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, the columns in `carry` (None: the text), lang_pred, score (0 to 1) and accepted of every row.
 
     Null texts and texts without a letter are `und` with score 0 and not accepted; others are accepted if their score is
-    at least the model's rejection limit. Repeated rows and null ids are scored like all others; other columns are
-    ignored; an empty table gives no rows.
+    at least the model's rejection limit. A model that had no text to learn from says `und` with score 0 to all and accepts
+    every text with a letter. Texts are read whole, whatever their length. Repeated rows and null ids are scored like all
+    others; other columns are ignored, and those in `carry` may have any name; an empty table gives no rows.
     """
-    kind = dict(docs.dtypes)[id_col]
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(model.scorer(), f"doc_id {kind}, text string, lang_pred string, score double")
-    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return scored.select("doc_id", "text", F.when(known, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, F.col("score")).otherwise(0.0).alias("score")).withColumn("accepted", known & (F.col("score") >= model.reject_below))
+    known, carry = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)), (text_col,) if carry is None else carry
+    # the text goes to Python once, as the last column
+    names = {c: f"c{k}" for k, c in enumerate(carry) if c != text_col} | {text_col: "text"}
+    rows = docs.select(F.col(id_col).alias("id"), known.alias("known"), *(F.col(c).alias(n) for c, n in names.items()))
+    keep = [k for k, n in enumerate(rows.columns) if n != "text" or text_col in carry]
+    if model.languages:
+        kinds = dict(rows.dtypes)
+        rows = rows.mapInArrow(model.scorer(keep), ", ".join(f"{rows.columns[k]} {kinds[rows.columns[k]]}" for k in keep) + ", _lang string, _score double")
+    else:
+        rows = rows.withColumns({"_lang": F.lit(UNKNOWN), "_score": F.lit(0.0)})
+    lang, score = F.when(F.col("known"), F.col("_lang")).otherwise(UNKNOWN), F.when(F.col("known"), F.col("_score")).otherwise(0.0)
+    return rows.select(F.col("id").alias("doc_id"), *(F.col(names[c]).alias(c) for c in carry), lang.alias("lang_pred"), score.alias("score"), (F.col("known") & (F.col("_score") >= model.reject_below)).alias("accepted"))

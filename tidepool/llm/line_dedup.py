@@ -2,7 +2,9 @@
 
 Each distinct line is cut into max_edits + 1 segments; two lines within max_edits edits share one of them at nearly the
 same place. The segments of every line are indexed with its length, every line probes with the substrings that the
-length difference and the segment's place allow, and what meets is verified with a banded bit-parallel edit distance.
+length difference and the segment's place allow. What meets must first agree in the parity of its letter counts, which an
+edit changes by two at most and which is computed once for each distinct line; the rest is verified with a banded
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -12,12 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._shared import written
+from tidepool.llm._shared import NULL_ID, once, written
 
 MAX_EDITS, MIN_CHARS = 2, 40
 #: Line numbers to remove (4 bytes each) up to this many are sent to every executor; more meet the texts in a shuffle.
 BROADCAST_NUMBERS = 10_000_000
-_NULL_ID = (1 << 63) - 1
+#: Lines that met another one (24 bytes each in the table of a broadcast join) up to this number pick their texts on every executor.
+BROADCAST_LINES = 1_000_000
+#: Letters whose counts' parities are compared; any would do, frequent ones tell more lines apart.
+LETTERS = "etaoinsrhldcumfg"
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -36,18 +41,27 @@ def index_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*(_key(line, length, *_segment(length, i, edits), i) for i in range(edits + 1)))
 
 
-def probe_keys(line: Column, full: Column, edits: int) -> Column:
-    """Keys of every indexed segment of lines up to `edits` shorter that a match can leave whole in this line."""
+def probe_keys(line: Column, full: Column, edits: int, own: bool = True) -> Column:
+    """Keys of every indexed segment of lines up to `edits` shorter that a match can leave whole in this line; without
+    `own`, those that are not the line's index keys too."""
     out = []
     for less in range(edits + 1):
         length = full - less
         for i in range(edits + 1):
             start, size = _segment(length, i, edits)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                out.append(_key(line, length, start + shift, size, i))
+                if own or less or shift:
+                    out.append(_key(line, length, start + shift, size, i))
     return F.array(*out)
 
 
+def letter_parity(line: Column) -> Column:
+    """A bit for each of LETTERS: whether the line holds it an odd number of times. Two lines within k edits differ in 2 k bits at most."""
+    n = F.octet_length(line)
+    bits = [((n - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 2) * (1 << k) for k, c in enumerate(LETTERS)]
+    return sum(bits[1:], bits[0])
+
+
 def _stripped(a: Column, b: Column, blocks: int = 16) -> Column:
     """(x, y): both strings without what they share at their ends, to a sixteenth of the length; that changes no distance."""
     n, m = F.length(a), F.length(b)
@@ -57,9 +71,9 @@ def _stripped(a: Column, b: Column, blocks: int = 16) -> Column:
         lead = [(F.substring(a, 1, size * k) == F.substring(b, 1, size * k)).cast("int") for k in range(1, blocks + 1)]
         tail = [(F.substring(a, n - size * k + 1, size * k) == F.substring(b, m - size * k + 1, size * k)).cast("int") for k in range(1, blocks + 1)]
         inner = lambda p, q: F.struct(F.substring(a, p + 1, n - p - q).alias("x"), F.substring(b, p + 1, m - p - q).alias("y"))
-        return _once(size * sum(lead[1:], lead[0]), lambda p: _once(F.least(size * sum(tail[1:], tail[0]), short - p), lambda q: inner(p, q)))
+        return once(size * sum(lead[1:], lead[0]), lambda p: once(F.least(size * sum(tail[1:], tail[0]), short - p), lambda q: inner(p, q)))
 
-    return _once(F.floor(short / blocks).cast("int"), cut)
+    return once(F.floor(short / blocks).cast("int"), cut)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -84,7 +98,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
                 vertical = z.bitwiseAND(p).bitwiseOR(F.bitwise_not(down.bitwiseOR(plus)).bitwiseAND(F.lit(full)))
                 return F.struct(vertical.alias("p"), down.bitwiseAND(plus).alias("q"), (s["d"] + F.lit(1) - F.shiftright(z, 2 * edits)).alias("d"))
 
-            return _once(zero, after)
+            return once(zero, after)
 
         start = F.struct(F.lit((full << edits) & full).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(edits).cast("long").alias("d"))
         beyond = F.lit((1 << (2 * edits)) - 1).cast("long") - (F.call_function("shiftleft", F.lit(1).cast("long"), (n - m + edits).cast("int")) - 1)
@@ -93,15 +107,10 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     chars = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
     both = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    of_pair = _once(_stripped(a, b), lambda s: _once(_stripped(s["x"], s["y"]), lambda t: _once(both(chars(t["x"]), chars(t["y"])), distance)))
+    of_pair = once(_stripped(a, b), lambda s: once(_stripped(s["x"], s["y"]), lambda t: once(both(chars(t["x"]), chars(t["y"])), distance)))
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(of_pair <= edits)
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value evaluated once, as a lambda's argument is."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _blocks_alive(a: Column, b: Column, edits: int, blocks: int = 16) -> Column:
     """Necessary for within_edits: an edit can damage one of `blocks` blocks of a only, the others stand in b near their place."""
     size = F.floor(F.length(a) / blocks).cast("int")
@@ -121,37 +130,47 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if min_chars < 8 * (max_edits + 1):
         raise ValueError("min_chars must be at least 8 * (max_edits + 1)")
     doc = ["rid", "th"]
-    # one exchange of the texts by document serves all the joins below
-    base = docs.select(*_identity(id_col, text_col), F.coalesce(F.split(text_col, "\n", -1), F.array().cast("array<string>")).alias("lines"))
+    known = docs.select(*_identity(id_col, text_col), F.col(text_col).alias("text"))
+    if not known.groupBy(*doc).count().where("count > 1").isEmpty():  # rows that repeat id and text are one document here
+        known = known.groupBy(*doc).agg(F.first("text").alias("text"))
+    lines = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
+    base = known.select(*doc, lines.alias("lines"))
     least = min_chars if exact_chars is None else min(min_chars, exact_chars)
     counts = lambda x: (F.length(x) >= min_chars) | ((F.length(x) >= least) & x.rlike(r"\S")) if least < min_chars else F.length(x) >= min_chars
     judged = base.select(*doc, F.posexplode("lines").alias("pos", "line")).where(counts(F.col("line")))
     first = judged.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct(*doc, "pos")).alias("f"))
-    firsts = first.select("f.*").groupBy(*doc).agg(F.collect_list("pos").alias("firsts"))
-    distinct = base.join(firsts, doc).select(*doc, F.explode(F.transform("firsts", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
-    # one long for text hash and place keeps the rows of the join small
-    place, line = F.shiftleft(F.col("th").cast("long"), 32) + F.col("x.pos"), F.col("x.line")
-    distinct = distinct.where(F.length(line) >= min_chars).select("rid", place.alias("place"), line.alias("line"), F.length(line).alias("length"))
-    sided = lambda n, keys: distinct.select(F.col("rid").alias(f"r{n}"), F.col("place").alias(f"p{n}"), F.explode(keys(F.col("line"), F.col("length"), max_edits)).alias(f"k{n}"))
-    met = sided(1, index_keys).join(sided(2, probe_keys), (F.col("k1") == F.col("k2")) & ((F.col("r1") != F.col("r2")) | (F.col("p1") != F.col("p2"))))
-    swap = (F.col("r1") > F.col("r2")) | ((F.col("r1") == F.col("r2")) & (F.col("p1") > F.col("p2")))
-    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    pairs = met.select(pick("r1", "r2", "r1"), pick("p1", "p2", "p1"), pick("r2", "r1", "r2"), pick("p2", "p1", "p2")).distinct()
-    part = lambda n: (F.shiftright(f"p{n}", 32).cast("int"), F.col(f"p{n}").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    for n in (1, 2):
-        th, pos = part(n)
-        pairs = pairs.withColumn("rid", F.col(f"r{n}")).withColumn("th", th).join(base, doc).withColumn(f"line{n}", F.get("lines", pos)).drop("rid", "th", "lines")
-    same = pairs.where(_blocks_alive(F.col("line1"), F.col("line2"), max_edits)).where(within_edits(F.col("line1"), F.col("line2"), max_edits))
-    th, pos = part(2)
-    near = same.select(F.col("r2").alias("rid"), th.alias("th"), pos.alias("pos")).distinct().groupBy(*doc).agg(F.collect_list("pos").alias("near"))
+    firsts = written(first.select("f.*").groupBy(*doc).agg(F.collect_list("pos").alias("firsts")), "firsts")
+    near = _near_lines(base.join(firsts, doc), max_edits, min_chars).groupBy(*doc).agg(F.collect_list("pos").alias("near"))
     none = F.array().cast("array<int>")
     seen = F.filter(F.transform("lines", lambda x, i: F.when(counts(x), i)), lambda i: i.isNotNull())
-    gone = F.array_except(seen, F.array_except(F.coalesce("firsts", none), F.coalesce("near", none)))
-    return base.join(firsts, doc, "left").join(near, doc, "left").select(*doc, gone.alias("removed")).where(F.size("removed") > 0)
+    gone = F.array_except("seen", F.array_except(F.coalesce("firsts", none), F.coalesce("near", none)))
+    return base.select(*doc, seen.alias("seen")).join(firsts, doc, "left").join(near, doc, "left").select(*doc, gone.alias("removed")).where(F.size("removed") > 0)
+
+
+def _near_lines(firsts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """rid, th, pos of the lines within max_edits edits of one that is first seen earlier. firsts: rid, th, lines, firsts (places)."""
+    place = ["rid", "th", "pos"]
+    distinct = firsts.select("rid", "th", F.explode(F.transform("firsts", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x")).select("rid", "th", "x.*")
+    # a line is one number in the join of keys
+    distinct = written(distinct.where(F.length("line") >= min_chars).select(F.monotonically_increasing_id().alias("lid"), *place, "line", letter_parity(F.col("line")).alias("sig")), "lines")
+    line = F.col("line")
+    sided = lambda n, keys: distinct.select(F.col("lid").alias(f"l{n}"), F.col("sig").alias(f"s{n}"), F.explode(keys).alias(f"k{n}"))
+    index, probe = (lambda n: sided(n, index_keys(line, F.length(line), max_edits))), sided(2, probe_keys(line, F.length(line), max_edits, own=False))
+    meet = (F.col("k1") == F.col("k2")) & (F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= 2 * max_edits)
+    pair = (F.least("l1", "l2").alias("l1"), F.greatest("l1", "l2").alias("l2"))
+    # lines of one length meet in the index itself, so a line probes only with the keys that it does not have there
+    met = index(1).join(index(2), meet & (F.col("l1") < F.col("l2"))).select(*pair).unionByName(index(1).join(probe, meet & (F.col("l1") != F.col("l2"))).select(*pair))
+    pairs = written(met.distinct(), "pairs")
+    wanted = written(pairs.select(F.explode(F.array("l1", "l2")).alias("lid")).distinct(), "wanted")
+    texts = distinct.drop("sig").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted, "lid")
+    side = lambda n: texts.select(F.col("lid").alias(f"l{n}"), F.struct(*place).alias(f"at{n}"), F.col("line").alias(f"line{n}"))
+    pairs = pairs.join(side(1), "l1").join(side(2), "l2")
+    same = pairs.where(_blocks_alive(F.col("line1"), F.col("line2"), max_edits)).where(within_edits(F.col("line1"), F.col("line2"), max_edits))
+    return same.select(F.greatest("at1", "at2").alias("later")).select("later.*").distinct()
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("rid"), F.hash(F.coalesce(text_col, F.lit(""))).alias("th")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rid"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th")]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = (), exact_chars: int | None = None) -> DataFrame:
@@ -161,16 +180,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the same line stands earlier, or if a line first seen earlier is within max_edits edits of it. Shorter lines are
     kept, but with exact_chars those of so many characters and not blank go where the same line stands earlier (1: all).
 
-    Null text: no lines, kept_text null; empty text: one line, kept. A null id sorts after all others. Rows with one id and
-    one text get the same result; rows with one id and different texts are ordered by a hash. Other columns are ignored; an
-    empty table gives no rows. min_chars must be at least 8 * (max_edits + 1) for the segments to tell lines apart.
+    Null text: no lines, kept_text null; empty text: one line, kept. Texts and lines may have any length. A null id sorts after
+    all others. Rows with one id and one text are one document and get the same result; rows with one id and different
+    texts are ordered by a hash of the text. Other columns are ignored, and those in `carry` may have any name; an empty
+    table gives no rows. min_chars must be at least 8 * (max_edits + 1) for the segments to tell lines apart.
     """
-    removed = written(removed_lines(docs, id_col, text_col, max_edits, min_chars, exact_chars).dropDuplicates(["rid", "th"]), "removed")
+    removed = written(removed_lines(docs, id_col, text_col, max_edits, min_chars, exact_chars), "removed")
     numbers = removed.agg(F.coalesce(F.sum(F.size("removed") + 8), F.lit(0))).first()[0]
     removed = F.broadcast(removed) if numbers <= BROADCAST_NUMBERS else removed
-    own = docs.select(F.col(id_col).alias("doc_id"), *carry, *_identity(id_col, text_col), F.col(text_col).alias("_text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry"), *_identity(id_col, text_col), F.col(text_col).alias("text"))
     cut = own.join(removed, ["rid", "th"], "left")
     keep = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda p: F.get(lines, p)), "\n")
-    kept = _once(F.split("_text", "\n", -1), keep)
-    n = F.when(F.col("_text").isNull(), 0).otherwise(F.regexp_count("_text", F.lit("\n")) + 1)
-    return cut.select("doc_id", *carry, n.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("removed").isNull(), F.col("_text")).otherwise(kept).alias("kept_text"))
+    kept = once(F.split("text", "\n", -1), keep)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
+    out = (n.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+    return cut.select("doc_id", *(F.col("carry").getField(c).alias(c) for c in carry), *out)

@@ -103,14 +103,17 @@ class QualityModel:
 def train(stats: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.05) -> QualityModel:
     """Fit on all labelled rows: stats (doc_id, stats) joined to labels (doc_id, label 0 or 1); null labels are ignored.
 
-    shrink: weight of the covariance of all rows in each class's; ridge: weight of its diagonal in the result.
+    shrink: weight of the covariance of all rows in each class's; ridge: weight of its diagonal in the result. With fewer
+    than two labelled texts of a class (or none at all) there is no covariance, and every text's score is the share of label 1
+    with one text added to each class. Ids that are null match no label; several labels of an id count each.
     """
     k = len(STATISTICS)
     rows = stats.join(labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int")), "doc_id").select("stats", "label").mapInArrow(_class_sums, "label int, sums array<double>")
     parts = rows.select("label", F.posexplode("sums")).groupBy("label", "pos").agg(F.sum("col").alias("v")).toPandas()
     total = [parts[parts.label == c].sort_values("pos").v.to_numpy().reshape(k + 1, k + 1) if (parts.label == c).any() else np.zeros((k + 1, k + 1)) for c in (0, 1)]
     if min(t[0, 0] for t in total) < 2:
-        raise ValueError("each class needs two labelled texts at least")
+        count = np.array([t[0, 0] for t in total]) + 1
+        return QualityModel(np.zeros((2, k)), [np.zeros((k, k))] * 2, np.log(count / count.sum()))
     count, means = np.array([t[0, 0] for t in total]), np.array([t[0, 1:] / t[0, 0] for t in total])
     own = [t[1:, 1:] / t[0, 0] - np.outer(m, m) for t, m in zip(total, means, strict=True)]
     pooled = (count[0] * own[0] + count[1] * own[1]) / count.sum()
@@ -124,7 +127,8 @@ def train(stats: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float
 def score(stats: DataFrame, model: QualityModel, accept: float = ACCEPT) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= accept) of every row of stats.
 
-    Null and empty texts have zero statistics and are scored as those. Repeated rows are scored each; an empty table gives
+    Null and empty texts have zero statistics and are scored as those; texts are read whole, whatever their length. Repeated
+    rows and null ids are scored each; a score of exactly `accept` is label 1; other columns are ignored; an empty table gives
     no rows.
     """
     return stats.select("doc_id", "stats").mapInArrow(model.scorer(), f"doc_id {dict(stats.dtypes)['doc_id']}, score double").withColumn("predicted", (F.col("score") >= accept).cast("int"))

@@ -43,7 +43,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~_held_out()))
-    return language_id.identify(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "accepted")
+    return language_id.identify(docs, model, carry=()).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
