@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidepool.llm import jaccard_join
-from tidepool.llm.jaccard_join import jaccard_components, link_sets
+from tidepool.llm.jaccard_join import histogram, jaccard_components, least_difference
 
 
 def sets_of(text, k):
@@ -56,34 +56,51 @@ def test_matches_brute_force(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
-def test_blocks_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3000)
-    rows = near_copies(random.Random(9), 300)
+def test_blocks_and_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_MEMBERS", 0)
+    rows = near_copies(random.Random(9), 200)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()}
     assert got == brute(rows, 3, 90)
 
 
-def test_regions_lose_no_link(monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+def test_families_around_the_limit(spark, monkeypatch):
+    """Families whose members are partly linked to a pivot, partly in its window and partly beyond, so that regions join again."""
+    rounds = []
+    links = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda *a: rounds.append(links(*a)) or rounds[-1])
+    rng, rows = random.Random(3), []
+    for f in range(6):
+        base = [f"f{f}w{i}" for i in range(80)]
+        for _ in range(40):
+            w = list(base)
+            for p in rng.sample(range(80), rng.randrange(0, 5)):
+                w[p] = f"v{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, shingle=5, percent=80).collect()}
+    assert got == brute(rows, 5, 80)
+    assert len(rounds[0][1]) > 1 and rounds[0][1][1]["linked"] > 0
+
+
+def test_pivots_decide_the_links_of_the_documents(spark, monkeypatch):
+    rounds = []
+    links = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda *a: rounds.append(links(*a)) or rounds[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    classes = jaccard_components(docs).groupBy("component_id").count().where("count > 1").count()
+    done = rounds[0][1]
+    assert classes > 100 and done[0]["pivots"] > 100 and done[0]["linked"] > 10
+
+
+def test_bounds_of_histograms():
     rng = np.random.default_rng(3)
-    centres = [rng.choice(4000, 100, replace=False) for _ in range(12)]
-    sets = [np.unique(np.append(c[rng.random(100) > 0.04], rng.choice(4000, 2))).astype(np.uint64) for c in centres for _ in range(30)]
-    a, b = link_sets(np.arange(len(sets)), sets, 90)
-    up = list(range(len(sets)))
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for x, y in zip(a, b, strict=True):
-        up[top(y)] = top(x)
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
-                assert top(i) == top(j)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.append(x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64) * np.uint64(2)))
+        assert least_difference(histogram(x), histogram(y)) <= len(np.setxor1d(x, y))
+    assert least_difference(histogram(x), histogram(x)) == 0
 
 
 def test_odd_tables(spark):

@@ -1,42 +1,51 @@
 """N-gram Jaccard join: an exact metric-space join, and the classes that its links form.
 
-The distance of two documents is 1 - |intersection| / |union| of their shingle sets, a metric. Unrelated texts are all
-at a distance near 1 from any pivot, so pivots taken from the whole corpus separate nothing. The corpus is therefore
-first divided, without loss, into groups that can hold a link at all: two linked sets of at most b shingles differ in
-at most d = 2 b (1 - t) / (1 + t) of them, so of more than d parts of the hash space at least one is equal in both.
-Sets are compared under the number of parts of their size band, and sets near the upper end of a band also under the
-next one, which is the window of the triangle inequality on sizes. Groups that share a part are joined up, and inside
-each group pivots from the group form Voronoi regions, sets within 2 r of a border are in both regions, and regions are
-divided again until they are small or no longer divide; there all pairs are compared.
+The distance of two documents is 1 - |intersection| / |union| of their shingle sets, a metric; linked are documents within r.
+Unrelated texts are all at a distance near 1 from any pivot, so pivots taken from the whole corpus separate nothing. A
+filter without loss comes first: two linked sets of at most b shingles differ in at most d = 2 b (1 - t) / (1 + t) of them,
+so of more than d parts of the hash space at least one is equal in both. Documents with an equal part share a cell, and
+cells are what the join divides:
+
+- Some members of a cell are its pivots. A pivot's region holds the members within 2 r of it: those within r, which it links,
+  and those in the window between r and 2 r, which may be linked to the former by the triangle inequality.
+- Members within r of no pivot, those in windows among them, are the cell that is left; it is divided again, with more pivots.
+  A linked pair is in one region, if one of them is within r of a pivot, or both are left.
+- In a region, members in the window meet those within r, some of the window in each round, until none is of another class.
+- Cells and regions whose members are of one class are done. Pivots and window members leave once they have met all that
+  they have to, so this ends.
+
+Every step is a Spark job over (cell, document) rows. Distances are exact; a histogram of each set over the hash space, whose
+L1 distance is at most that of the sets, spares most texts the comparison.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm._shared import NULL_ID, ROW_KEY, connected_components, row_key, written
 from tidepool.llm._words import Spans, Words, batch_words, mix
 
 SHINGLE, PERCENT = 3, 90
-#: Ratio of a size band's ends; parts with fewer shingles than TINY are passed over where enough others are left.
-BAND, TINY = 1.5, 3
-#: Shingles of a group that one task holds; larger groups are compared block by block.
-BLOCK = 1_500_000
-LEAF, PIVOTS = 64, 4
-#: Group members up to this number (48 bytes each) are sent to every executor to pick their texts; more meet them in a shuffle.
-BROADCAST_MEMBERS = 1_000_000
-
-
-def _bands(percent: int, upto: int) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, parts) of each band until `upto` is inside the one before the last."""
+#: Ratio of a size band's ends, and the share of parts above the least number, so that parts of few shingles can be passed over.
+BAND, SLACK = 1.3, 0.1
+#: Pivots of a cell in the first round; each later round has so many times more.
+PIVOTS, MORE = 1, 4
+#: Members of a pivot's region that one task compares with it.
+BLOCK = 5_000
+#: Members up to this number (48 bytes each) are sent to every executor to pick their texts; more meet them in a shuffle.
+BROADCAST_MEMBERS = 500_000
+
+
+def _bands(percent: int, upto: int) -> list[tuple[int, int, int, int]]:
+    """(smallest size, largest size, largest difference, parts) of each band until one is too large to be compared with `upto`."""
     out, low = [], 1
     while not out or out[-1][0] <= upto * 100 // percent + 1:
         high = max(low, int(low * BAND))
         differ = 2 * high * (100 - percent) // (100 + percent)
-        out.append((low, high, (differ + 1) + (differ + 1) // 10))
+        out.append((low, high, differ, differ + 2 + int((differ + 1) * SLACK)))
         low = high + 1
     return out
 
@@ -53,144 +62,170 @@ def shingle_sets(w: Words, shingle: int):
             yield spans.hash(np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64)
 
 
-def _part_keys(v: np.ndarray, sums: np.ndarray, band: int, low: int, high: int, parts: int, percent: int) -> np.ndarray:
+def _part_keys(v: np.ndarray, sums: np.ndarray, band: int, differ: int, parts: int) -> np.ndarray:
+    """Keys of the parts, without those of fewest shingles: of two sets that differ in `differ` shingles at least parts - differ parts
+    are equal, so the one that passes over more of them still leaves one, and what it keeps the other keeps too."""
     part = ((v >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     count = np.bincount(part.astype(np.int64), minlength=parts)
     end = np.cumsum(count)
     keys = mix(sums[end] - sums[end - count] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)))
-    tiny = count < TINY
-    differ = 2 * high * (100 - percent) // (100 + percent)
-    return keys[~tiny] if tiny.sum() < parts - differ else keys
+    return keys[count >= np.partition(count, parts - differ - 1)[parts - differ - 1]]
+
+
+def set_sums(v: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Mixed shingles and two sums of them that name the set."""
+    m = mix(v * np.uint64(0xE7037ED1A0B428DB))
+    return m, int(m.sum(dtype=np.uint64)), int(mix(m + np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64))
+
+
+def histogram(v: np.ndarray) -> np.ndarray:
+    """Counts of a set over equal parts of the hash space, the power of two below the number of shingles."""
+    cells = 1 << max(2, len(v).bit_length() - 1)
+    return np.minimum(np.bincount((v >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the number of shingles that are in one of two sets only, from their histograms."""
+    if len(x) < len(y):
+        x, y = y, x
+    if x.max() == 255 or y.max() == 255:
+        return 0
+    return int(np.abs(x.reshape(len(y), -1).sum(1, dtype=np.int64) - y).sum())
 
 
 def _profiles(shingle: int, percent: int):
+    """Row key, size and sums of each set; keys and histogram of those that the task has not seen before."""
+
     def run(batches):
-        bands = _bands(percent, 1000)
+        bands, seen = _bands(percent, 1000), set()
         for b in batches:
-            n, s1, s2, keys = [], [], [], []
+            n, s1, s2, keys, counts = [], [], [], [], []
             for w in batch_words(b.column(4), lower=True):
                 for v in shingle_sets(w, shingle):
-                    m = mix(v * np.uint64(0xE7037ED1A0B428DB))
+                    m, x, y = set_sums(v)
                     n.append(len(v))
-                    s1.append(int(m.sum(dtype=np.uint64)))
-                    s2.append(int(mix(m + np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64)))
-                    own = []
-                    if len(v):
-                        if len(v) > bands[-2][1]:
+                    s1.append(x)
+                    s2.append(y)
+                    own, cells = [], None
+                    if len(v) and x not in seen:
+                        seen.add(x)
+                        cells = histogram(v).tobytes()
+                        if len(v) * 100 >= bands[-1][0] * percent:
                             bands = _bands(percent, 2 * len(v))
                         sums = np.zeros(len(v) + 1, np.uint64)
                         np.cumsum(m, out=sums[1:])
-                        k = next(i for i, x in enumerate(bands) if x[1] >= len(v))
-                        own.append(_part_keys(v, sums, k, *bands[k], percent))
-                        if len(v) * 100 >= bands[k + 1][0] * percent:
-                            own.append(_part_keys(v, sums, k + 1, *bands[k + 1], percent))
-                    keys.append(np.concatenate(own) if own else v)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                        k = next(i for i, z in enumerate(bands) if z[1] >= len(v))
+                        own.append(_part_keys(v, sums, k, *bands[k][2:]))
+                        while len(v) * 100 >= bands[k + 1][0] * percent:
+                            k += 1
+                            own.append(_part_keys(v, sums, k, *bands[k][2:]))
+                    keys.append(np.concatenate(own) if own else np.zeros(0, np.uint64))
+                    counts.append(cells)
+            offsets = np.concatenate([[0], np.cumsum([len(z) for z in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", *ROW_KEY, "n", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), *(pa.array(np.array(z, np.uint64).view(np.int64)) for z in (s1, s2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts, pa.binary())], names=["doc_id", *ROW_KEY, "n", "s1", "s2", "keys", "cells"])
+
+    return run
+
+
+def _possible(percent: int):
+    """(p, x, divides, sizes, histograms) -> p, x, divides of the pairs that may have `percent` in common."""
+
+    def run(batches):
+        for b in batches:
+            n, m = b.column(3).to_numpy(), b.column(4).to_numpy()
+            most, keep = (100 - percent) * (n + m) // (100 + percent), []
+            for i in np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m)).tolist():
+                if least_difference(np.frombuffer(b.column(5)[i].as_buffer(), np.uint8), np.frombuffer(b.column(6)[i].as_buffer(), np.uint8)) <= most[i]:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in range(3)], names=["p", "x", "divides"])
 
     return run
 
 
-def _sets(shingle: int):
-    """The sets of the documents that stand for their class."""
+def _compared(shingle: int, percent: int, wide: int):
+    """(p, x, divides, text) by p, the pivot's own row first -> p, x, divides, linked of the members with at least `wide` percent in common with it."""
 
     def run(batches):
-        seen = set()
+        pivot, own = None, None
         for b in batches:
-            reps, s1, row = b.column(0).to_pylist(), b.column(1).to_numpy(), 0
-            keep, sets = [], []
+            p, x, row, out = b.column(0).to_numpy(), b.column(1).to_numpy(), 0, ([], [])
             for w in batch_words(b.column(3), lower=True):
                 for v in shingle_sets(w, shingle):
-                    if reps[row] not in seen and mix(v * np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64) == s1[row].astype(np.uint64):
-                        seen.add(reps[row])  # rows that repeat id and text
-                        keep.append(row)
-                        sets.append(v.tobytes())
+                    if p[row] == x[row]:
+                        pivot, own = p[row], v
+                    else:
+                        assert pivot == p[row]
+                        at = np.searchsorted(own, v)
+                        both = int((own[np.minimum(at, len(own) - 1)] == v).sum())
+                        union = len(v) + len(own) - both
+                        if 100 * both >= wide * union:
+                            out[0].append(row)
+                            out[1].append(100 * both >= percent * union)
                     row += 1
-            part = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.binary())], names=["rep", "grp", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(out[0], pa.int64())) for k in range(3)), pa.array(out[1], pa.bool_())], names=["p", "x", "divides", "linked"])
 
     return run
 
 
-class _Space:
-    """Shingle sets as rows of indices; overlaps of one row with others."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.size = np.array([len(x) for x in sets])
-        self.percent = percent
-        values, index = np.unique(np.concatenate(sets), return_inverse=True)
-        self.rows = np.split(index, np.cumsum(self.size)[:-1])
-        self.mark = np.zeros(len(values), np.int32)
-
-    def overlap(self, i: int, others: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        self.mark[self.rows[i]] = 1
-        out = np.add.reduceat(self.mark[flat], at)
-        self.mark[self.rows[i]] = 0
-        return out
-
-    def flat(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([self.rows[i] for i in cell]), np.concatenate([[0], np.cumsum(self.size[cell])[:-1]])
-
-    def pairs(self, cell: np.ndarray):
-        """(i, js) of all linked pairs of a cell, each found from its earlier member."""
-        flat, at = self.flat(cell)
-        for k in range(len(cell) - 1):
-            i, rest, start = cell[k], cell[k + 1 :], at[k + 1]
-            both = self.overlap(i, rest, flat[start:], at[k + 1 :] - start)
-            hit = 100 * both >= self.percent * (self.size[i] + self.size[rest] - both)
-            if hit.any():
-                yield i, rest[hit]
-
-    def regions(self, cell: np.ndarray):
-        """Cells that together hold every linked pair of `cell`."""
-        if len(cell) <= LEAF:
-            yield cell
-            return
-        flat, at = self.flat(cell)
-        pivots = cell[np.linspace(0, len(cell) - 1, PIVOTS).astype(int)]
-        both = np.array([self.overlap(p, cell, flat, at) for p in pivots])
-        d = 1 - both / (self.size[pivots][:, None] + self.size[cell] - both)
-        near = d.min(0)
-        parts = [cell[x <= near + 2 * (1 - self.percent / 100) + 1e-9] for x in d]
-        if max(map(len, parts)) > 0.8 * len(cell):
-            yield cell
-            return
-        for x in parts:
-            if len(x):
-                yield from self.regions(x)
-
-
-def link_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Links that connect what all links within the metric radius connect, a spanning forest of them."""
-    space, up = _Space(sets, percent), np.arange(len(ids))
-
-    def top(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    a, b = [], []
-    for cell in space.regions(np.arange(len(ids))):
-        for i, js in space.pairs(cell):
-            for j in js.tolist():
-                x, y = top(i), top(j)
-                if x != y:
-                    up[y] = x
-                    a.append(int(ids[i]))
-                    b.append(int(ids[j]))
-    return a, b
-
-
-def _join_group(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        reps, first = np.unique(table.column("rep").to_numpy(), return_index=True)
-        raw = table.column("shingles").to_pylist()
-        a, b = link_sets(reps, [np.frombuffer(raw[i], np.uint64) for i in first], percent) if len(reps) > 1 else ([], [])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _cells(profile: DataFrame) -> DataFrame:
+    """cell, x, of the parts that different sets share."""
+    cell = Window.partitionBy("cell")
+    parts = profile.select(F.explode("keys").alias("cell"), F.col("s1").alias("x"))
+    shared = parts.withColumn("lo", F.min("x").over(cell)).withColumn("hi", F.max("x").over(cell)).where("lo <> hi")
+    return shared.select("cell", "x").distinct()
 
-    return run
+
+def _distances(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """p, x, divides, linked of the pairs (p, x, divides) within twice the distance of a link."""
+    wide, sizes = max(0, 2 * percent - 100), members.select("s1", "n", "cells")
+    sized = lambda c: sizes.select(F.col("s1").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
+    possible = pairs.join(sized("p"), "p").join(sized("x"), "x").select("p", "x", "divides", "n_p", "n_x", "c_p", "c_x").mapInArrow(_possible(wide), "p long, x long, divides boolean")
+    possible = written(possible, "possible")
+    blocks = possible.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = possible.join(blocks, "p").select("p", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"), "x", "divides")
+    own = blocks.select("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("p").alias("x"), F.lit(False).alias("divides"))
+    rows = dealt.unionByName(own).join(members.select(F.col("s1").alias("x"), "text"), "x")
+    rows = rows.repartition("p", "block").sortWithinPartitions("p", "block", F.col("p") != F.col("x"))
+    return rows.select("p", "x", "divides", "text").mapInArrow(_compared(shingle, percent, wide), "p long, x long, divides boolean, linked boolean")
+
+
+_CELL, _NEAR, _WINDOW = 0, 1, 2
+
+
+def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[dict[str, int]]]:
+    """(node, component) of all members that are linked to a smaller one, directly or not; and what each round did.
+
+    Rows (cell, x, kind, class) are open: kind tells members of a cell from those near a region's pivot and in its window.
+    """
+    spark = cells.sparkSession
+    open_ = cells.withColumn("kind", F.lit(_CELL)).withColumn("class", F.col("x"))
+    component, rounds, pivots = spark.createDataFrame([], "node long, component long"), [], PIVOTS
+    while True:
+        nth = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
+        chosen = open_.where(F.col("kind") != _NEAR).withColumn("nth", nth).where(F.col("nth") <= pivots).select("cell", F.col("x").alias("p"), F.col("class").alias("p_class"))
+        met = open_.where(F.col("kind") != _WINDOW).join(chosen, "cell")
+        pairs = met.where("class <> p_class").groupBy("p", "x").agg(F.max(F.col("kind") == _CELL).alias("divides"))
+        judged = written(_distances(pairs, members, shingle, percent), "judged")
+        linked = judged.where("linked").select("p", "x")
+        rounds.append(judged.agg(F.countDistinct("p").alias("pivots"), F.count("*").alias("within"), F.count_if("linked").alias("linked")).first().asDict())
+        edges = component.unionByName(linked.select(F.col("x").alias("node"), F.col("p").alias("component")))
+        component = written(connected_components(edges, "node", "component"), "component")
+        # pivots leave, and what is within r of one leaves the cell for the pivot's region
+        gone = met.where(F.col("kind") == _CELL).join(linked, ["p", "x"]).select("cell", "x").unionByName(chosen.select("cell", F.col("p").alias("x"))).distinct()
+        rest = open_.select("cell", "x", "kind").join(gone, ["cell", "x"], "left_anti")
+        region = judged.where("divides").select(F.xxhash64("p", F.lit(len(rounds))).alias("cell"), "x", F.when(F.col("linked"), _NEAR).otherwise(_WINDOW).alias("kind"))
+        left = rest.unionByName(region).join(component.withColumnRenamed("node", "x"), "x", "left").select("cell", "x", "kind", F.coalesce("component", "x").alias("class"))
+        left = written(left, "left")
+        near = F.max(F.when(F.col("kind") == _NEAR, F.col("class")))
+        of_cell = left.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("kind").alias("least"), F.max("kind").alias("most"), near.alias("near_class"))
+        of_cell = of_cell.where((F.col("lo") != F.col("hi")) & ((F.col("most") == _CELL) | ((F.col("least") == _NEAR) & (F.col("most") == _WINDOW)))).select("cell", "near_class")
+        # a window member of the region's class has nothing left to show
+        open_ = left.join(of_cell, "cell").where((F.col("kind") != _WINDOW) | (F.col("class") != F.col("near_class"))).select("cell", "x", "kind", "class")
+        open_ = written(open_, "open")
+        if open_.isEmpty():
+            return component, rounds
+        pivots *= MORE
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -200,8 +235,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns doc_id, n_shingles, component_id (smallest id reachable by links, itself included), one row per input row.
 
     Null, empty and wordless texts have no shingles and link with nothing. Null ids sort after all others, and a class of
-    null ids only has a null component_id; rows that share an id but not the text are linked by their texts alone. Repeated rows are links of distance 0. Other columns are ignored; an empty
-    table gives no rows. Percent must be at least 50.
+    null ids only has a null component_id; rows that share an id but not the text are linked by their texts alone. Repeated
+    rows are links of distance 0. Texts are read whole, whatever their length. Other columns are ignored; an empty table gives
+    no rows. Percent must be at least 50.
     """
     classes = jaccard_classes(docs, id_col, text_col, shingle, percent)
     return classes.select("doc_id", "n_shingles", F.nullif("first.rid", F.lit(NULL_ID)).alias("component_id"))
@@ -213,28 +249,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id but not the text, null ids included, are different members.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
-    profile = written(known.mapInArrow(_profiles(shingle, percent), "doc_id long, rid long, h1 long, h2 long, n long, s1 long, s2 long, keys array<long>"), "profiles")
-    # copies of one set are one member from here on, under a number of its own
-    classes = profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(*ROW_KEY)).alias("first"))
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    parts = profile.select(F.explode("keys").alias("k"), "s1")
-    shared = written(parts.groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("k", "lo"), "shared")
-    groups = connected_components(parts.join(shared, "k").where("s1 <> lo").select("s1", "lo"), "s1", "lo")
-    groups = written(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("s1"), F.col("component").alias("grp")), "groups")
-
-    members = written(classes.join(groups, "s1").select("rep", "first.*", "s1", "grp", "n"), "members")
-    blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    wanted = members.select("rep", *ROW_KEY, "s1", "grp")
+    profile = written(known.mapInArrow(_profiles(shingle, percent), "doc_id long, rid long, h1 long, h2 long, n long, s1 long, s2 long, keys array<long>, cells binary"), "profiles")
+    cells = written(_cells(profile), "cells")
+    members = cells.select(F.col("x").alias("s1")).distinct().join(profile.where("cells is not null").select("s1", "n", "cells", *ROW_KEY), "s1").dropDuplicates(["s1"])
+    members = written(members, "members")
+    wanted = members.drop("n", "cells")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_MEMBERS else wanted
-    sets = wanted.join(known.select(*ROW_KEY, "text"), list(ROW_KEY)).select("rep", "s1", "grp", "text").mapInArrow(_sets(shingle), "rep long, grp long, shingles binary")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = sets.join(blocks, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "grp", "shingles", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    links = dealt.groupBy("grp", "x", "y").applyInArrow(_join_group(percent), "a long, b long")
-
-    found = written(connected_components(links, "a", "b").withColumnRenamed("node", "rep"), "components")
-    found = found.unionByName(found.select(F.col("component").alias("rep"), "component").distinct())
-    least = found.join(classes, "rep").groupBy("component").agg(F.min("first").alias("least"))
-    labels = classes.join(found.join(least, "component").select("rep", "least"), "rep", "left").select("s1", "s2", "n", F.coalesce("least", "first").alias("first"))
-    out = profile.drop("keys").join(labels, ["s1", "s2", "n"], "left")
+    texts = wanted.join(known.select(*ROW_KEY, "text"), list(ROW_KEY)).select("s1", "text").dropDuplicates(["s1"])
+    members = written(members.drop(*ROW_KEY).join(texts, "s1"), "texts")
+    component, _ = _links(cells, members, shingle, percent)
+
+    # the sums of equal sets are equal, so every row finds its class by them
+    sets = profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(*ROW_KEY)).alias("own"))
+    sets = sets.join(component.withColumnRenamed("node", "s1"), "s1", "left").withColumn("class", F.coalesce("component", "s1"))
+    sets = written(sets.select("s1", "s2", "n", "own", "class"), "sets")
+    labels = sets.join(sets.groupBy("class").agg(F.min("own").alias("first")), "class").select("s1", "s2", "n", "first")
+    out = profile.drop("keys", "cells").join(labels, ["s1", "s2", "n"], "left")
     return out.select("doc_id", *ROW_KEY, F.col("n").alias("n_shingles"), F.coalesce("first", F.struct(*ROW_KEY)).alias("first"))
