@@ -3,7 +3,8 @@
 Words are lower-cased and freed of marks at both ends; a shingle is five of them. Windows hold two strides of shingles
 and each starts where the one before is half over, so any run of a template's shingles lies inside one window. Bands and
 rows are set for each template size so that a window with the least containment that counts misses with a probability
-below MISS. Every retrieved place is then compared shingle by shingle.
+below MISS. A window's minimum can be a template's only if the window holds that shingle, so bands are worked out for windows
+that hold a shingle of some template. Every retrieved place is then compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -17,15 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm._words import Spans, Words, mix, pieces, words
+from tidepool.llm.licenses import LICENSES
 
 SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-5
-#: Statements that the test tables hold; production runs pass full license texts as well.
-TEMPLATES = {
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-}
+#: Leading bits of a shingle by which those of no template are passed over.
+SIEVE = 20
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -61,7 +58,7 @@ class _Size:
     shingles: list[np.ndarray]
     salts: np.ndarray
     table: list[dict[int, list[int]]]
-    sieve: list[np.ndarray]
+    every: np.ndarray  # shingles of all these templates
 
 
 def _template_shingles(text: str, shingle: int) -> np.ndarray:
@@ -73,9 +70,9 @@ def _template_shingles(text: str, shingle: int) -> np.ndarray:
     return np.unique(Spans(w.hash).hash(at, at + shingle))
 
 
-def _sizes(templates: dict[str, str], shingle: int, containment: float) -> list[_Size]:
-    groups: dict[int, list[str]] = {}
-    sets = {k: _template_shingles(t, shingle) for k, t in templates.items()}
+def _sizes(templates: dict[str, str | tuple[str, ...]], shingle: int, containment: float) -> list[_Size]:
+    groups: dict[int, list[tuple[str, int]]] = {}
+    sets = {(k, n): _template_shingles(t, shingle) for k, own in templates.items() for n, t in enumerate((own,) if isinstance(own, str) else own)}
     for k, v in sets.items():
         groups.setdefault(2 ** max(1, math.ceil(math.log2(len(v)))), []).append(k)
     out = []
@@ -87,19 +84,17 @@ def _sizes(templates: dict[str, str], shingle: int, containment: float) -> list[
         table: list[dict[int, list[int]]] = [{} for _ in range(bands)]
         for t, k in enumerate(names):
             for b in range(bands):
-                value = np.uint64(0)
-                for s in salts[b]:
-                    value = value * np.uint64(31) + _light(sets[k], s).min()
-                table[b].setdefault(int(value), []).append(t)
-        sieve = []
-        for x in table:
-            s = np.zeros(1 << 16, bool)
-            s[[v >> 48 for v in x]] = True
-            sieve.append(s)
-        out.append(_Size(stride, rows, bands, names, [sets[k] for k in names], salts, table, sieve))
+                table[b].setdefault(int(_band(np.array([_light(sets[k], s).min() for s in salts[b]]))), []).append(t)
+        out.append(_Size(stride, rows, bands, [k for k, _ in names], [sets[k] for k in names], salts, table, np.unique(np.concatenate([sets[k] for k in names]))))
     return out
 
 
+def _band(least: np.ndarray) -> np.ndarray:
+    """One value of the minima of a band's rows (first axis)."""
+    weight = np.uint64(31) ** np.arange(len(least), dtype=np.uint64)
+    return (least * weight.reshape(-1, *[1] * (least.ndim - 1))).sum(0, dtype=np.uint64)
+
+
 def _light(x: np.ndarray, salt: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
         y = x * salt
@@ -107,7 +102,7 @@ def _light(x: np.ndarray, salt: np.uint64) -> np.ndarray:
         return y * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _scan(w: Words, sizes: list[_Size], shingle: int, containment: float):
+def _scan(w: Words, sizes: list[_Size], sieve: np.ndarray, shingle: int, containment: float):
     """(document, name, first word, last word, share of the template) of each match in a piece."""
     n = len(w.hash) - shingle + 1
     if n <= 0:
@@ -115,19 +110,25 @@ def _scan(w: Words, sizes: list[_Size], shingle: int, containment: float):
     at = np.arange(n)
     grams, doc = Spans(w.hash).hash(at, at + shingle), w.doc()
     whole = doc[:n] == doc[shingle - 1 :]
+    some = np.flatnonzero(sieve[(grams >> np.uint64(64 - SIEVE)).astype(np.int64)])
     for z in sizes:
+        held = some[np.isin(grams[some], z.every)] if len(some) else some
+        if not len(held):
+            continue
         blocks = -(-n // z.stride) + 1
-        hits: set[tuple[int, int]] = set()
         padded = np.full(blocks * z.stride, grams[0])
         padded[:n] = grams
+        padded = padded.reshape(blocks, z.stride)
+        # windows of two blocks that hold a shingle of a template
+        at_block = np.unique(held // z.stride)
+        windows = np.unique(np.concatenate([at_block, np.maximum(at_block - 1, 0)]))
+        windows = windows[windows < blocks - 1]
+        text = np.concatenate([padded[windows], padded[windows + 1]], axis=1)
+        hits: set[tuple[int, int]] = set()
         for b in range(z.bands):
-            value = np.zeros(blocks - 1, np.uint64)
-            for s in z.salts[b]:
-                low = _light(padded, s).reshape(blocks, z.stride).min(1)
-                with np.errstate(over="ignore"):
-                    value = value * np.uint64(31) + np.minimum(low[:-1], low[1:])
-            for i in np.flatnonzero(z.sieve[b][(value >> np.uint64(48)).astype(np.int64)]).tolist():
-                for t in z.table[b].get(int(value[i]), ()):
+            values = _band(np.array([_light(text, s).min(1) for s in z.salts[b]]))
+            for i, v in zip(windows.tolist(), values.tolist(), strict=True):
+                for t in z.table[b].get(v, ()):
                     hits.add((i, t))
         # neighbouring windows of a template are one region
         regions: list[list[int]] = []
@@ -153,14 +154,24 @@ def _scan(w: Words, sizes: list[_Size], shingle: int, containment: float):
                         run = run[1:]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+def _sieve(sizes: list[_Size]) -> np.ndarray:
+    """Which leading bits some template's shingle has."""
+    sieve = np.zeros(1 << SIEVE, bool)
+    for z in sizes:
+        sieve[(z.every >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
+    return sieve
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] = LICENSES, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """Places of templates in texts: doc_id, license, first_word, last_word (word numbers from 0), containment.
 
-    A match holds at least `containment` of the template's distinct shingles within a template's length. Null, empty and
-    short texts match nothing; repeated rows and null ids are scanned like all others; other columns are ignored; an empty
-    table gives no rows. Templates need `shingle` words at least.
+    templates: license -> its wording, or several; each wording is a template of its own. A match holds at least `containment` of
+    the template's distinct shingles within a template's length. Matches of different wordings may overlap, each is a row.
+    Null, empty and short texts match nothing; texts are scanned whole, whatever their length; repeated rows and null ids are
+    scanned like all others; other columns are ignored; an empty table gives no rows. Templates need `shingle` words at least.
     """
     sizes = _sizes(templates, shingle, containment)
+    sieve = _sieve(sizes)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -168,7 +179,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
             out = []
             for piece in pieces(b.column(1)):
                 w = bare_words(*piece)
-                out += [(w.first + d, *x) for d, *x in _scan(w, sizes, shingle, containment)]
+                out += [(w.first + d, *x) for d, *x in _scan(w, sizes, sieve, shingle, containment)]
             rows, names, lo, hi, share = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "license", "first_word", "last_word", "containment"])
 

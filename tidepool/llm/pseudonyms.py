@@ -17,26 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+#: Feistel rounds; characters that one network permutes at once.
+ROUNDS, PIECE = 8, 512
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date", "secret")
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size) by a balanced Feistel network with cycle walking."""
+    """A keyed permutation of range(size) by a balanced Feistel network with cycle walking; its round function is as wide as a half."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    mask, width = (1 << half) - 1, (half + 7) // 8
+    head = b"".join(len(x).to_bytes(4, "big") + x for x in (key, tweak.encode(), size.to_bytes((size.bit_length() + 7) // 8, "big")))
     while True:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
-            seen = f"{tweak}|{size}|{r}|{right}".encode()
-            left, right = right, left ^ (int.from_bytes(hashlib.blake2b(seen, key=key, digest_size=16).digest(), "big") & mask)
+            seen = hashlib.shake_256(head + bytes([r]) + right.to_bytes(width, "big")).digest(width)
+            left, right = right, left ^ (int.from_bytes(seen, "big") & mask)
         value = left << half | right
         if value < size:
             return value
 
 
-def _permute_characters(text: str, key: bytes, tweak: str) -> str:
-    """Digits, small and capital ASCII letters each within their kind; all else stays."""
+def _permute_piece(text: str, key: bytes, tweak: str) -> str:
     radix = [10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in text]
     value = 0
     zero = ["0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in text]
@@ -50,6 +51,20 @@ def _permute_characters(text: str, key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def _permute_characters(text: str, key: bytes, tweak: str) -> str:
+    """Digits, small and capital ASCII letters each within their kind; all else stays. Longer texts are permuted piece by piece,
+    forward and then backward, each piece under a digest of the pieces on one side of it, so that every piece depends on all."""
+    if len(text) <= PIECE:
+        return _permute_piece(text, key, tweak)
+    parts = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+    for order in (range(len(parts)), range(len(parts) - 1, -1, -1)):
+        seen = hashlib.blake2b(key=key, digest_size=16)
+        for i in order:
+            parts[i] = _permute_piece(parts[i], key, f"{tweak}|{order.step}|{i}|{seen.hexdigest()}")
+            seen.update(parts[i].encode())
+    return "".join(parts)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -210,8 +225,8 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id",
     """doc_id, text with pseudonyms, and found: array of (kind, first, last) spans of the new text, for every row.
 
     The same key gives the same pseudonym for the same value in every document and run. Null and empty texts stay as they
-    are with no spans; repeated rows and null ids are treated like all others; other columns are ignored; an empty table
-    gives no rows.
+    are with no spans; texts and values may have any length; where values overlap, the kind that stands first in RULES takes
+    the place. Repeated rows and null ids are treated like all others; other columns are ignored; an empty table gives no rows.
     """
     if not 16 <= len(key) <= 64:
         raise ValueError("key: 16 to 64 bytes")
