@@ -17,7 +17,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-CHUNK = 1 << 21
+#: Bytes of text that are worked on at once; the arrays of a piece take some fifty times as much.
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from tidepool.llm._words import text_buffers
 
 SEQUENCE, END_ID = 2048, 0
 #: Distinct words (about 200 bytes each) that a Python worker remembers the ids of, over all its tasks, before it starts over.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 class WordIds(dict):
