@@ -58,6 +58,7 @@ def test_matches_brute_force(spark, k, percent):
 
 def test_blocks_and_shuffles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "LEAF", 3)  # several rounds of pivots, then blocks
     monkeypatch.setattr(jaccard_join, "BROADCAST_MEMBERS", 0)
     rows = near_copies(random.Random(9), 200)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -65,10 +66,12 @@ def test_blocks_and_shuffles(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
-def test_families_around_the_limit(spark, monkeypatch):
+@pytest.mark.parametrize("leaf", [2000, 10])
+def test_families_around_the_limit(spark, monkeypatch, leaf):
     """Families whose members are partly linked to a pivot, partly in its window and partly beyond, so that regions join again."""
     rounds = []
     links = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
     monkeypatch.setattr(jaccard_join, "_links", lambda *a: rounds.append(links(*a)) or rounds[-1])
     rng, rows = random.Random(3), []
     for f in range(6):

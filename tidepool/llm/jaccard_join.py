@@ -8,11 +8,10 @@ cells are what the join divides:
 
 - Some members of a cell are its pivots. A pivot's region holds the members within 2 r of it: those within r, which it links,
   and those in the window between r and 2 r, which may be linked to the former by the triangle inequality.
-- Members within r of no pivot, those in windows among them, are the cell that is left; it is divided again, with more pivots.
-  A linked pair is in one region, if one of them is within r of a pivot, or both are left.
-- In a region, members in the window meet those within r, some of the window in each round, until none is of another class.
-- Cells and regions whose members are of one class are done. Pivots and window members leave once they have met all that
-  they have to, so this ends.
+- Members within r of no pivot, those in windows among them, are the cell that is left. A linked pair is in one region, if one of
+  them is within r of a pivot, or both are left. In a region only the window has to meet those within r.
+- Cells and regions whose members are of one class are done. Those of more than LEAF members are divided again, with more pivots;
+  in the others, and in those that pivots do not divide, members of different classes meet, in blocks of at most LEAF.
 
 Every step is a Spark job over (cell, document) rows. Distances are exact; a histogram of each set over the hash space, whose
 L1 distance is at most that of the sets, spares most texts the comparison.
@@ -31,8 +30,10 @@ from tidepool.llm._words import Spans, Words, batch_words, mix
 SHINGLE, PERCENT = 3, 90
 #: Ratio of a size band's ends, and the share of parts above the least number, so that parts of few shingles can be passed over.
 BAND, SLACK = 1.3, 0.1
-#: Pivots of a cell in the first round; each later round has so many times more.
-PIVOTS, MORE = 1, 4
+#: Pivots of a cell in the first round; each later round has so many times more. Rounds of pivots, at most.
+PIVOTS, MORE, ROUNDS = 1, 4, 4
+#: Members of a cell that one task compares with each other.
+LEAF = 2_000
 #: Members of a pivot's region that one task compares with it.
 BLOCK = 5_000
 #: Members up to this number (48 bytes each) are sent to every executor to pick their texts; more meet them in a shuffle.
@@ -176,9 +177,69 @@ def _cells(profile: DataFrame) -> DataFrame:
     return shared.select("cell", "x").distinct()
 
 
-def _distances(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """p, x, divides, linked of the pairs (p, x, divides) within twice the distance of a link."""
-    wide, sizes = max(0, 2 * percent - 100), members.select("s1", "n", "cells")
+def _leaf_pairs(percent: int):
+    """(cell, a, b, x, kind, class, n, cells) by cell and blocks a, b -> p, x of members of different classes that may be linked."""
+
+    def pairs(group):
+        x, kind, klass, n, side, cells = group
+        order = np.argsort(n, kind="stable")
+        x, kind, klass, n, side = (np.array(z)[order] for z in (x, kind, klass, n, side))
+        cells = [np.frombuffer(cells[i], np.uint8) for i in order]
+        width = min(map(len, cells))
+        exact = np.array([c.max() < 255 for c in cells])
+        h = np.array([c if len(c) == width else np.minimum(c.reshape(width, -1).sum(1, dtype=np.int64), 255) for c in cells], np.uint8)
+        exact &= h.max(1) < 255
+        for i in range(len(x) - 1):
+            end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+            if end <= i + 1:
+                continue
+            rest = slice(i + 1, end)
+            # two blocks meet each other only; two that lie near a pivot are linked by it, two of a window meet elsewhere
+            meet = (klass[rest] != klass[i]) & (side[rest] != side[i] if side[0] >= 0 else True) & ((kind[rest] == _CELL) | (kind[rest] != kind[i]))
+            if not meet.any():
+                continue
+            j = i + 1 + np.flatnonzero(meet)
+            low = (np.maximum(h[j], h[i]) - np.minimum(h[j], h[i])).sum(1, dtype=np.int64)
+            low[~(exact[j] & exact[i])] = 0
+            yield from ((x[i], y) for y in x[j[low <= (100 - percent) * (n[j] + n[i]) // (100 + percent)]])
+
+    def run(batches):
+        key, group = None, None
+        for b in batches:
+            out = []
+            for c, u, v, own, x, kind, klass, n, cells in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+                if (c, u, v) != key:
+                    if group and len(group[0]) > 1:
+                        out += pairs(group)
+                    key, group = (c, u, v), tuple([] for _ in range(6))
+                for z, value in zip(group, (x, kind, klass, n, own if u != v else -1, cells), strict=True):
+                    z.append(value)
+            yield _pairs_batch(out)
+        if group and len(group[0]) > 1:
+            yield _pairs_batch(list(pairs(group)))
+
+    return run
+
+
+def _pairs_batch(out: list) -> pa.RecordBatch:
+    p, x = zip(*out, strict=True) if out else ((), ())
+    p, x = np.array(p, np.int64), np.array(x, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, x)), pa.array(np.maximum(p, x))], names=["p", "x"])
+
+
+def _met_in_leaves(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """p, x of the members of open cells that may be linked and are not of one class yet."""
+    blocks = open_.groupBy("cell").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+    rows = open_.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "x", "kind", "class")
+    rows = rows.join(members.select(F.col("s1").alias("x"), "n", "cells"), "x").select("cell", "a", "b", "own", "x", "kind", "class", "n", "cells")
+    rows = rows.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
+    return rows.mapInArrow(_leaf_pairs(percent), "p long, x long").distinct()
+
+
+def _distances(pairs: DataFrame, members: DataFrame, shingle: int, percent: int, wide: int) -> DataFrame:
+    """p, x, divides, linked of the pairs (p, x, divides) that have at least `wide` percent in common."""
+    sizes = members.select("s1", "n", "cells")
     sized = lambda c: sizes.select(F.col("s1").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
     possible = pairs.join(sized("p"), "p").join(sized("x"), "x").select("p", "x", "divides", "n_p", "n_x", "c_p", "c_x").mapInArrow(_possible(wide), "p long, x long, divides boolean")
     possible = written(possible, "possible")
@@ -201,16 +262,20 @@ def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int) ->
     spark = cells.sparkSession
     open_ = cells.withColumn("kind", F.lit(_CELL)).withColumn("class", F.col("x"))
     component, rounds, pivots = spark.createDataFrame([], "node long, component long"), [], PIVOTS
-    while True:
+
+    def joined(judged):
+        rounds.append(judged.agg(F.countDistinct("p").alias("pivots"), F.count("*").alias("within"), F.count_if("linked").alias("linked")).first().asDict())
+        edges = component.unionByName(judged.where("linked").select(F.col("x").alias("node"), F.col("p").alias("component")))
+        return written(connected_components(edges, "node", "component"), "component")
+
+    while len(rounds) < ROUNDS:
         nth = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
         chosen = open_.where(F.col("kind") != _NEAR).withColumn("nth", nth).where(F.col("nth") <= pivots).select("cell", F.col("x").alias("p"), F.col("class").alias("p_class"))
         met = open_.where(F.col("kind") != _WINDOW).join(chosen, "cell")
         pairs = met.where("class <> p_class").groupBy("p", "x").agg(F.max(F.col("kind") == _CELL).alias("divides"))
-        judged = written(_distances(pairs, members, shingle, percent), "judged")
+        judged = written(_distances(pairs, members, shingle, percent, max(0, 2 * percent - 100)), "judged")
         linked = judged.where("linked").select("p", "x")
-        rounds.append(judged.agg(F.countDistinct("p").alias("pivots"), F.count("*").alias("within"), F.count_if("linked").alias("linked")).first().asDict())
-        edges = component.unionByName(linked.select(F.col("x").alias("node"), F.col("p").alias("component")))
-        component = written(connected_components(edges, "node", "component"), "component")
+        component = joined(judged)
         # pivots leave, and what is within r of one leaves the cell for the pivot's region
         gone = met.where(F.col("kind") == _CELL).join(linked, ["p", "x"]).select("cell", "x").unionByName(chosen.select("cell", F.col("p").alias("x"))).distinct()
         rest = open_.select("cell", "x", "kind").join(gone, ["cell", "x"], "left_anti")
@@ -223,9 +288,14 @@ def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int) ->
         # a window member of the region's class has nothing left to show
         open_ = left.join(of_cell, "cell").where((F.col("kind") != _WINDOW) | (F.col("class") != F.col("near_class"))).select("cell", "x", "kind", "class")
         open_ = written(open_, "open")
-        if open_.isEmpty():
+        largest = open_.groupBy("cell").count().agg(F.max("count")).first()[0]
+        if largest is None:
             return component, rounds
+        if largest <= LEAF:
+            break
         pivots *= MORE
+    found = _met_in_leaves(open_, members, percent).withColumn("divides", F.lit(False))
+    return joined(written(_distances(found, members, shingle, percent, percent), "judged")), rounds
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
