@@ -34,7 +34,7 @@ def test_batch(spark):
 
 def test_parts_and_items(spark):
     items = spark.createDataFrame([(1, "ab\ncd\nefghijklmnop\nq"), (2, "")], "item_id long, text string")
-    assert [r.text for r in ingest.parts(items, 6).orderBy("part").collect()] == ["ab\ncd\n", "efghij", "klmnop", "\nq"]
+    assert [r.text for r in ingest.parts(items, 6).orderBy("part").collect()] == ["ab\ncd", "\nefghi", "jklmno", "p\nq"]
     ledger = spark.createDataFrame([("a", "ai_chat", "x"), ("b", "bulk_imported", "x"), ("c", "ai_chat", None), ("d", "ai_chat", "x"), ("e", "ai_chat", "x")], "id string, kind string, raw_payload string")
     done = spark.createDataFrame([("d",)], "id string")
     assert [r.id for r in ingest.event_items(ledger, done, "a").collect()] == ["e"]

@@ -198,9 +198,10 @@ def test_sources(spark, tmp_path):
     assert (r.conversation_id, r.kind, r.content) == ("conversation-1", "ai_chat", "**user**: hi\n\n**bot**: yo")
     scratch = spark.createDataFrame([("x\n## 2026-01-01 - source: a\none\ntwo\n## 2026-01-02 - source: b\n\n## 2026-01-03 - source: a\nthree\n",)], "text string")
     assert [(r.source, r.text) for r in sources.scratch_entries(scratch).orderBy("pos").collect()] == [("a", "one\ntwo"), ("a", "three")]
-    page = spark.createDataFrame([("p", "---\nslug: a-b\n---\ntruth\n---\n- 2026-01-01 [event:E]: x\n---\n- doc-1\n"), ("q", "---\nslug: A b\n---\nt\n---\nbad\n")], "path string, text string")
-    good, bad = sources.parse_pages(page).orderBy("path").collect()
-    assert good.compiled_truth == "truth" and good.timeline == ["- 2026-01-01 [event:E]: x"] and good.sources == ["doc-1"] and good.errors == [] and bad.errors == ["slug", "timeline"]
+    page = spark.createDataFrame([("p", "---\ntype: concept\ntitle: A\nslug: a-b\n---\n# Compiled truth\n\ntruth\n---\n# Timeline\n\n- 2026-01-01 [event:E]: x\n---\n# Sources\n\n- doc-1\n"), ("q", "---\ntype: entity\ntitle: B\nslug: A b\n---\n# Compiled truth\nt\n---\n# Timeline\nbad\n"), ("r", "---\ntype: concept\ntitle: C\nslug: c\n---\ntruth\n---\n- 2026-01-01 [event:E]: x\n")], "path string, text string")
+    good, bad, bare = sources.parse_pages(page).orderBy("path").collect()
+    assert bare.errors == ["sections"]
+    assert good.compiled_truth == "truth" and good.timeline == ["- 2026-01-01 [event:E]: x"] and good.sources == ["doc-1"] and good.errors == [] and bad.errors == ["slug", "tier", "timeline"]
     review = spark.createDataFrame([("2026-01-01_001_fact_conflict", "---\nstatus: pending\n---\n```json\n{\"a\": 1}\n```\n- [x] Approve\n- [ ] Reject\n"), ("2026-01-01_002_x", "[x] approve\n[x] reject\n```json\n{\n```\n")], "review_id string, text string")
     a, b = sources.parse_reviews(review).orderBy("review_id").collect()
     assert (a.kind, a.status, a.action, a.errors) == ("fact_conflict", "pending", "approve", []) and b.errors == ["several decisions", "payload"]
@@ -210,11 +211,13 @@ def test_sources(spark, tmp_path):
 
 
 def test_ledger(spark, tmp_path):
-    good = '{"id": "01ARZ3NDEKTSV4RRFFQ69G5FAV", "kind": "ai_chat", "confidence": 0.5}'
-    (tmp_path / "l.jsonl").write_text("\n".join([good, "{broken", good.replace("0.5", "1.5"), good.replace("ai_chat", "zzz")]))
+    good = '{"id": "01ARZ3NDEKTSV4RRFFQ69G5FAV", "timestamp": "2024-01-02T03:04:05Z", "kind": "ai_chat", "confidence": 0.5}'
+    odd = [good.replace("0.5", "1.5"), good.replace("ai_chat", "zzz"), good.replace("2024-01-02T", "soon"), good.replace("}", ', "more": 1}'), good.replace("01ARZ", "01ARI")]
+    (tmp_path / "l.jsonl").write_text("\n".join([good, "", "{broken", *odd]))
     ok, bad = sources.read_ledger(spark, str(tmp_path))
-    assert ok.count() == 1 and sorted(e for r in bad.collect() for e in r.errors if e not in ("id",) or True)[0] == "broken"
-    assert bad.count() == 3
+    assert [r.id for r in ok.collect()] == ["01ARZ3NDEKTSV4RRFFQ69G5FAV"]
+    assert sorted(tuple(r.errors) for r in bad.collect() if "broken" not in r.errors) == [("confidence",), ("extra keys",), ("id",), ("kind",), ("timestamp",)]
+    assert bad.count() == 6
 
 
 def test_sinks_reviews_and_names(spark):

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
+from tidepool.operators.tables import counted
+
+STATUSES = ("raw", "tested", "stable")
+#: Numbers of runs of which one task folds at most as many at once.
+RUN_BLOCK = 10_000
 
 
 def prioritized(text: Column, query: Column) -> Column:
@@ -73,12 +78,40 @@ def next_state(s: Column, ok: Column, stable_at: int, unstable_at: int) -> Colum
     return F.struct(F.when(ok, up).otherwise(down).alias("status"), good.alias("good"), bad.alias("bad"))
 
 
-def procedure_states(runs: DataFrame, stable_at: int = 5, unstable_at: int = 2, keep: int = 10_000) -> DataFrame:
-    """slug, status, success_count, fail_count after all runs(slug, seq, ok) in order of seq."""
+def procedure_states(runs: DataFrame, stable_at: int = 5, unstable_at: int = 2) -> DataFrame:
+    """slug, status, success_count, fail_count after all runs(slug, seq, ok) in order of seq.
+
+    What a run does depends on the counts up to it, which windows give, and on the status before. Each run is thus a map of
+    the three statuses; maps of runs in a row are composed, first inside blocks of seq and then over the blocks, so that no
+    task folds all runs of a procedure at once.
+    """
+    numbered_ = runs.withColumn("_block", F.floor(F.col("seq") / RUN_BLOCK))
+    sizes = numbered_.groupBy("slug", "_block").agg(F.count_if("ok").alias("g"), F.count_if(~F.col("ok")).alias("b"))
+    upto = Window.partitionBy("slug").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("slug", "_block", F.coalesce(F.sum("g").over(upto), F.lit(0)).alias("g"), F.coalesce(F.sum("b").over(upto), F.lit(0)).alias("b"))
     order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "ok"))), lambda x: x["ok"])
-    start = F.struct(F.lit("raw").alias("status"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("bad"))
-    s = runs.groupBy("slug").agg(F.aggregate(order, start, lambda s, ok: next_state(s, ok, stable_at, unstable_at)).alias("s"))
-    return s.select("slug", "s.status", F.col("s.good").alias("success_count"), F.col("s.bad").alias("fail_count"))
+    blocks = numbered_.groupBy("slug", "_block").agg(order.alias("runs")).join(sizes, ["slug", "_block"])
+
+    def after(status):
+        start = F.struct(F.lit(status).alias("status"), F.col("g").cast("long").alias("good"), F.col("b").cast("long").alias("bad"))
+        return F.aggregate("runs", start, lambda s, ok: next_state(s, ok, stable_at, unstable_at))["status"]
+
+    maps = blocks.select("slug", "_block", *(after(x).alias(x) for x in STATUSES), F.size(F.filter("runs", lambda x: x)).cast("long").alias("good"), F.size(F.filter("runs", lambda x: ~x)).cast("long").alias("bad"))
+    rows = F.array_sort(F.collect_list(F.struct("_block", *STATUSES)))
+    last = F.aggregate(rows, F.lit(STATUSES[0]), lambda s, m: F.when(s == STATUSES[0], m[STATUSES[0]]).when(s == STATUSES[1], m[STATUSES[1]]).otherwise(m[STATUSES[2]]))
+    return maps.groupBy("slug").agg(last.alias("status"), F.sum("good").alias("success_count"), F.sum("bad").alias("fail_count"))
+
+
+def new_procedure(slug: Column, title: Column) -> Column:
+    """The fields of a procedure that is created: raw, without runs."""
+    return F.struct(F.lit("procedure").alias("type"), slug.alias("slug"), title.alias("title"), F.lit(STATUSES[0]).alias("status"), F.lit(0).alias("success_count"), F.lit(0).alias("fail_count"))
+
+
+def run_events(runs: DataFrame) -> DataFrame:
+    """Ledger rows of runs(id, timestamp, slug, ok, note): the metadata that recent_runs reads."""
+    result = F.when(F.col("ok"), "success").otherwise("failure")
+    meta = F.create_map(F.lit("operation"), F.lit("run"), F.lit("procedure"), F.col("slug"), F.lit("result"), result)
+    return runs.select("id", "timestamp", F.lit("page_edited").alias("kind"), F.col("note").alias("raw_payload"), F.array(F.col("slug")).alias("affected_pages"), meta.alias("metadata"))
 
 
 def numbered(rows: DataFrame, existing: DataFrame, by: str = "date", order: str = "key") -> DataFrame:
@@ -114,17 +147,47 @@ def review_outcomes(reviews: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of reviews that can be approved, with the fields of their payload.
+FACT_PAYLOAD = "subject string, predicate string, object string, object_type string, valid_from string, confidence double, replaces bigint"
+PAYLOADS = {
+    "fact_conflict": FACT_PAYLOAD,
+    "low_confidence": FACT_PAYLOAD,
+    "pending_fact": FACT_PAYLOAD,
+    "new_entity": "entity_id string, name string, type string",
+    "procedure_candidate": "suggested_slug string, title string, summary string, steps array<string>",
+    "tier_proposal": "entity_id string, proposed_tier int",
+    "summary": "page_slug string, summary string",
+}
+
+
 def apply_reviews(reviews: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
-    """Approved fact reviews as new facts and closings. Payload: subject, predicate, object, object_type, valid_from, confidence, replaces."""
-    fact = F.from_json("payload", "subject string, predicate string, object string, object_type string, valid_from string, confidence double, replaces bigint")
+    """What decided reviews change: facts (new, with ids), superseded, entities, procedures, tiers, summaries, decided, deferred.
+
+    reviews: review_id, kind, status, action, payload, errors; payloads as in PAYLOADS. A name without an entity_id gets
+    its slug. Reviews of other kinds can be rejected or put off, not approved.
+    """
     ready = reviews.where((F.col("status") == "pending") & (F.size("errors") == 0))
-    f = ready.where((F.col("action") == "approve") & F.col("kind").isin("fact_conflict", "low_confidence", "pending_fact")).select("review_id", fact.alias("f")).select("review_id", "f.*")
+    approved = ready.where(F.col("action") == "approve")
+
+    def of(*kinds):
+        rows = approved.where(F.col("kind").isin(*kinds))
+        return rows.select("review_id", F.from_json("payload", PAYLOADS[kinds[0]]).alias("f")).select("review_id", "f.*")
+
     start = facts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    ids = f.select("review_id", F.row_number().over(Window.orderBy("review_id")).alias("nth")).join(F.broadcast(start)).select("review_id", (F.col("start") + F.col("nth")).alias("id"))
-    added = f.join(ids, "review_id")
+    added = counted(of("fact_conflict", "low_confidence", "pending_fact"), "review_id").join(F.broadcast(start)).withColumn("id", F.col("start") + F.col("nth")).drop("start", "nth")
     closed = added.where("replaces is not null").select(F.col("replaces").alias("old_id"), F.col("id").alias("new_id"), F.col("valid_from").alias("valid_to"))
-    decided = ready.where("action in ('approve', 'reject')").select("review_id", F.col("action").alias("status"))
-    return {"facts": added.drop("replaces"), "superseded": closed, "decided": decided, "deferred": ready.where("action = 'defer'").select("review_id")}
+    steps = F.coalesce("steps", F.array().cast("array<string>"))
+    decided = ready.where((F.col("action") == "reject") | ((F.col("action") == "approve") & F.col("kind").isin(*PAYLOADS)))
+    return {
+        "facts": added.drop("replaces"),
+        "superseded": closed,
+        "entities": of("new_entity").select(F.coalesce("entity_id", T.slug(F.col("name"))).alias("id"), "type", F.col("name").alias("title")).where("id is not null").dropDuplicates(["id"]),
+        "procedures": of("procedure_candidate").select(F.coalesce("suggested_slug", T.slug(F.col("title"))).alias("slug"), "title", T.numbered_steps(F.coalesce("summary", F.lit("")), steps).alias("text")),
+        "tiers": of("tier_proposal").select("review_id", "entity_id", "proposed_tier"),
+        "summaries": of("summary").select("page_slug", "summary"),
+        "decided": decided.select("review_id", F.col("action").alias("status")),
+        "deferred": ready.where("action = 'defer'").select("review_id"),
+    }
 
 
 def recall_probe(prompts: DataFrame, max_chars: int = 96) -> DataFrame:

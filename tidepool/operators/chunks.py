@@ -36,19 +36,43 @@ def coverage(diff: DataFrame) -> DataFrame:
     return diff.agg(n["unchanged"].alias("current"), n["updated"].alias("stale"), n["added"].alias("missing"), n["orphan"].alias("orphaned"), F.when(expected == 0, 1.0).otherwise(F.round(n["unchanged"] / expected, 6)).alias("ratio"))
 
 
+def reindex_report(diff: DataFrame, new: DataFrame, private: DataFrame | None = None, usd: float = 0.02) -> DataFrame:
+    """scanned, added, updated, removed, unchanged, private, tokens, usd of a run in one row: tokens of what is embedded.
+
+    new: key and text of all chunks; private: page_slug of pages that were left out.
+    """
+    n = lambda a: F.count_if(F.col("action") == a)
+    todo = new.join(diff.where("action in ('added', 'updated')").select(*KEY), KEY, "left_semi").agg(F.coalesce(F.sum(T.approximate_tokens(F.col("text"))), F.lit(0)).alias("tokens"))
+    counts = diff.agg(F.count_if(F.col("action") != "orphan").alias("scanned"), n("added").alias("added"), n("updated").alias("updated"), n("orphan").alias("removed"), n("unchanged").alias("unchanged"))
+    held = diff.sparkSession.range(1).select(F.lit(0).cast("long").alias("private")) if private is None else private.agg(F.count("*").alias("private"))
+    return counts.join(F.broadcast(held)).join(F.broadcast(todo)).withColumn("usd", F.round(F.col("tokens") / 1e6 * usd, 6))
+
+
+def filtered(new: DataFrame, index: DataFrame, slugs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks and index rows of the given pages only; a run over them leaves all others as they are."""
+    return new.join(slugs.select("page_slug"), "page_slug", "left_semi"), index.join(slugs.select("page_slug"), "page_slug", "left_semi")
+
+
+def index_rows(index: DataFrame, page_slug: str) -> DataFrame:
+    """A page's chunks by kind and id."""
+    return index.where(F.col("page_slug") == page_slug).orderBy("chunk_kind", "chunk_id")
+
+
 def missing_pages(index: DataFrame, pages: DataFrame) -> DataFrame:
     return index.select("page_slug").distinct().join(pages.select("page_slug"), "page_slug", "left_anti")
 
 
-def reindexed(index: DataFrame, new: DataFrame, diff: DataFrame, embed: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """The index after a run: unchanged rows stay, added and updated chunks are embedded, orphans go.
+def reindexed(index: DataFrame, new: DataFrame, diff: DataFrame, embed: Callable[[pd.Series], pd.Series] | None = None, dimension: int | None = None) -> DataFrame:
+    """The index after a run: unchanged rows stay, added and updated chunks are embedded, orphans go; a chunk that could not be embedded
+    is not in the index, so the next run adds it.
 
     index: key, content_hash, embedding; embed takes a series of texts and returns a series of float lists. Only chunks whose
     text changed reach it.
     """
     kept = index.join(diff.where("action = 'unchanged'").select(*KEY), KEY, "left_semi").select(*KEY, "content_hash", "embedding")
     todo = new.join(diff.where("action in ('added', 'updated')").select(*KEY), KEY, "left_semi")
-    return kept.unionByName(todo.select(*KEY, "content_hash", embedding(F.col("text"), embed).alias("embedding")))
+    made = todo.select(*KEY, "content_hash", embedding(F.col("text"), embed, dimension).alias("embedding"))
+    return kept.unionByName(made.where("embedding is not null"))
 
 
 def hashed_embedding(text, dimension: int = 64):
@@ -58,9 +82,41 @@ def hashed_embedding(text, dimension: int = 64):
     return F.aggregate(signs, zero, lambda acc, s: F.transform(acc, lambda x, i: x + F.when(i == s["k"], s["v"]).otherwise(0.0))).cast("array<float>")
 
 
-def embedding(text, embed: Callable[[pd.Series], pd.Series] | None = None):
-    """The caller's embedding function as an Arrow UDF, or the hashed one."""
-    return hashed_embedding(text) if embed is None else F.pandas_udf(embed, "array<float>")(text)
+def embedding(text, embed: Callable[[pd.Series], pd.Series] | None = None, dimension: int | None = None, batch: int = 100, tries: int = 3):
+    """The caller's embedding function as an Arrow UDF, or the hashed one.
+
+    Texts go to the function in batches; a batch that fails is tried text by text, each up to `tries` times, and a text that
+    still fails, or whose vector has not `dimension` parts, has no embedding: a null, which the next run takes up again.
+    """
+    return hashed_embedding(text) if embed is None else F.pandas_udf(_in_batches(embed, dimension, batch, tries), "array<float>")(text)
+
+
+def _in_batches(embed: Callable[[pd.Series], pd.Series], dimension: int | None, batch: int, tries: int) -> Callable[[pd.Series], pd.Series]:
+    def fits(v):
+        return v if v is not None and (dimension is None or len(v) == dimension) else None
+
+    def one(text):
+        for _ in range(tries):
+            try:
+                return embed(pd.Series([text])).iloc[0]
+            except Exception:  # noqa: BLE001, S112 - whatever the caller's function raises counts as this text's failure
+                continue
+        return None
+
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for s in range(0, len(texts), batch):
+            part = texts.iloc[s : s + batch]
+            try:
+                got = list(embed(part))
+                if len(got) != len(part):
+                    raise ValueError("as many vectors as texts")
+            except Exception:  # noqa: BLE001
+                got = [one(x) for x in part]
+            out += [fits(v) for v in got]
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return run
 
 
 def wrong_dimension(index: DataFrame, dimension: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
+from tidepool.operators.tables import counted
 
 REJECT, ACCEPT, CREATE = 0.50, 0.80, 0.85
 TIER2_AT, TIER1_AT = 3, 8
@@ -53,14 +54,9 @@ def decide(candidates: DataFrame, existing: DataFrame, reject: float = REJECT, a
 
 
 def new_facts(decided: DataFrame, facts: DataFrame) -> DataFrame:
-    """Added candidates with ids that continue those of facts, in order of ord."""
+    """Added candidates with ids that continue those of facts, in order of ord, which may be a number or a struct."""
     start = facts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    added = decided.where("outcome = 'added'")
-    # ranks in two levels: within parts of ord, and the counts of the parts before
-    parts = added.withColumn("part", F.floor(F.col("ord") / 100_000))
-    before = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("ord"))
-    return parts.withColumn("nth", nth).join(before, "part").join(F.broadcast(start)).withColumn("id", F.col("start") + F.col("before") + F.col("nth")).drop("part", "nth", "before", "start")
+    return counted(decided.where("outcome = 'added'"), "ord").join(F.broadcast(start)).withColumn("id", F.col("start") + F.col("nth")).drop("nth", "start")
 
 
 def supersede(facts: DataFrame, replaced: DataFrame) -> DataFrame:
@@ -151,6 +147,11 @@ def add_aliases(aliases: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFram
     return aliases.unionByName(fresh.select(*aliases.columns)), clash
 
 
+def first_kept(*lists):
+    """The union of array columns with each value once, where it stands first; nulls are empty."""
+    return F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+
+
 def known_suppression(rows: DataFrame, pending: DataFrame, key: list[str], null_safe: list[str]) -> DataFrame:
     """Rows without a pending twin on a key of which some parts may be null; also unique among themselves."""
     p = pending.select(*(F.col(c).alias(f"_{c}") for c in [*key, *null_safe])).distinct()
@@ -158,22 +159,43 @@ def known_suppression(rows: DataFrame, pending: DataFrame, key: list[str], null_
     return rows.dropDuplicates([*key, *null_safe]).join(p, on, "left_anti")
 
 
-def summary_paragraphs(facts: DataFrame, titles: DataFrame, labels: set[str]) -> DataFrame:
+def summary_paragraphs(facts: DataFrame, titles: DataFrame, labels: set[str] | None = None, language: str = "source", context: DataFrame | None = None) -> DataFrame:
     """subject, summary: up to three newest distinct phrases of each topic, topics in a fixed order, and how many facts are left out.
 
-    titles: id, title of entities that objects of type entity may name; labels: predicates that can be phrased.
+    titles: id, title of entities that objects of type entity may name; labels: predicates that can be phrased (None: those with
+    a label). language: zh..., en..., or as the objects and context(subject, text) are. Subjects with facts that cannot be
+    phrased only get a sentence that says so.
     """
-    names = F.when(F.col("g") == 0, "Direction and decisions").when(F.col("g") == 1, "Progress").when(F.col("g") == 2, "Implementation").when(F.col("g") == 3, "Validation").otherwise("Versions")
+    known = {k: v[2] for k, v in T.PREDICATES.items()} | T.SUMMARY_LABELS
     f = active_facts(facts).withColumn("p", T.normalize_predicate(F.col("predicate"))).join(titles.select(F.col("id").alias("object"), F.col("title").alias("_title")), "object", "left")
-    value = F.when(F.col("object_type") == "entity", F.coalesce("_title", "object")).otherwise(F.col("object"))
-    phrase = F.rtrim(F.when(F.col("p") == "status", value).otherwise(F.concat(F.replace("p", F.lit("_"), F.lit(" ")), F.lit(": "), value)), F.lit("。."))
-    f = f.select("subject", "id", "asserted_at", F.when(F.col("p").isin(*labels), T.topic(F.col("p"))).alias("g"), phrase.alias("phrase"))
-    newest = f.where("g is not null").groupBy("subject", "g", "phrase").agg(F.max(F.struct("asserted_at", "id")).alias("at"))
+    f = f.withColumn("value", F.when(F.col("object_type") == "entity", F.coalesce("_title", "object")).otherwise(F.col("object")))
+    if language.strip().lower().startswith(("zh", "en")):
+        f = f.withColumn("zh", T.uses_chinese(F.col("object"), language))
+    else:
+        said = f.select("subject", F.col("object").alias("text"))
+        said = said if context is None else said.unionByName(context.select("subject", "text"))
+        f = f.join(said.groupBy("subject").agg(F.bool_or(T.uses_chinese(F.col("text"))).alias("zh")), "subject")
+    label, value, p = T.lookup(F.col("p"), known, F.col("p")), F.col("value"), F.col("p")
+    chinese = F.when(p == "decided", T.spaced(F.lit("已决定"), value)).when(p.isin(*T.JOINED_LABELS), T.spaced(label, value)).when(p.isin(*T.FRAMEWORKS), T.spaced(F.concat(label, F.lit("使用")), value)).when(p == "released_on", F.concat(F.lit("于 "), value, F.lit(" 发布"))).otherwise(F.concat(label, F.lit("为 "), value))
+    phrase = F.rtrim(F.when(p == "status", value).when(F.col("zh"), chinese).otherwise(F.concat(F.replace("p", F.lit("_"), F.lit(" ")), F.lit(": "), value)), F.lit("。."))
+    f = f.select("subject", "zh", "id", "asserted_at", F.when(p.isin(*(labels if labels is not None else known)), T.topic(p)).alias("g"), phrase.alias("phrase"))
+    newest = f.where("g is not null").groupBy("subject", "zh", "g", "phrase").agg(F.max(F.struct("asserted_at", "id")).alias("at"))
     nth = newest.withColumn("nth", F.row_number().over(Window.partitionBy("subject", "g").orderBy(F.desc("at.asserted_at"), F.desc("at.id"))))
-    lines = nth.where("nth <= 3").groupBy("subject", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "phrase"))), lambda x: x["phrase"]), "; ").alias("text"))
-    body = lines.groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", F.concat(names, F.lit(": "), "text", F.lit(".")).alias("line")))), lambda x: x["line"]), "\n\n").alias("body"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("nth", "phrase"))), lambda x: x["phrase"])
+    lines = nth.where("nth <= 3").groupBy("subject", "zh", "g").agg(F.array_join(shown, "; ").alias("en"), F.array_join(shown, "；").alias("cn"))
+    heading = lambda k: T.lookup(F.col("g").cast("string"), {str(i): x[k] for i, x in enumerate(T.TOPICS)}, F.lit(""))
+    line = F.when(F.col("zh"), F.concat(heading(1), F.lit("："), "cn", F.lit("。"))).otherwise(F.concat(heading(0), F.lit(": "), "en", F.lit(".")))
+    body = lines.groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("body"))
     # a fact beyond the third counts as left out unless its phrase is shown
-    shown = nth.where("nth <= 3").select("subject", "g", "phrase", F.lit(1).alias("shown"))
-    left = f.join(shown, ["subject", "g", "phrase"], "left").groupBy("subject").agg(F.count_if(F.col("shown").isNull()).alias("omitted"))
-    more = F.when(F.col("omitted") > 0, F.concat(F.lit("\n\n"), F.col("omitted").cast("string"), F.lit(" more facts are not listed in this local summary; see the timeline or request a provider draft."))).otherwise("")
-    return left.join(body, "subject").select("subject", F.concat("body", more).alias("summary"))
+    kept = nth.where("nth <= 3").select("subject", "g", "phrase", F.lit(1).alias("shown"))
+    left = f.join(kept, ["subject", "g", "phrase"], "left").groupBy("subject", "zh").agg(F.count_if(F.col("shown").isNull()).alias("omitted"), F.count("*").alias("facts"))
+    say = lambda texts, n: F.when(F.col("zh"), F.replace(F.lit(texts[1]), F.lit("{}"), n.cast("string"))).otherwise(F.replace(F.lit(texts[0]), F.lit("{}"), n.cast("string")))
+    more = F.when(F.col("omitted") > 0, F.concat(F.lit("\n\n"), say(T.OMITTED, F.col("omitted")))).otherwise("")
+    return left.join(body, "subject", "left").select("subject", F.when(F.col("body").isNull(), say(T.UNSUPPORTED, F.col("facts"))).otherwise(F.concat("body", more)).alias("summary"))
+
+
+def recent_said(timeline: DataFrame, n: int = 5) -> DataFrame:
+    """page_slug, summary: the last n distinct texts of a page's timeline, newest first, for pages without facts."""
+    last = timeline.groupBy("page_slug", "description").agg(F.max("pos").alias("pos")).where(F.trim("description") != "")
+    nth = last.withColumn("nth", F.row_number().over(Window.partitionBy("page_slug").orderBy(F.desc("pos")))).where(F.col("nth") <= n)
+    return nth.groupBy("page_slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "description"))), lambda x: x["description"]), "\n").alias("summary"))

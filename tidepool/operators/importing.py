@@ -56,6 +56,52 @@ def failures(states: DataFrame, n: int = 20) -> DataFrame:
     return ranked(states.where("status = 'failed'"), "job_id", F.asc("file_path"), top=n).select("job_id", "file_path", "error", "rank")
 
 
+def registered(files: DataFrame, job_id: str, seq: int = 0) -> DataFrame:
+    """Log rows of a job's files when it begins: all pending."""
+    return _logged(files.select("file_path"), job_id, seq, F.lit("pending"))
+
+
+def marked(outcomes: DataFrame, job_id: str, seq: int) -> DataFrame:
+    """Log rows of what became of files: outcomes(file_path, status, error)."""
+    return _logged(outcomes.select("file_path", "status", "error"), job_id, seq, F.col("status"), F.col("error"))
+
+
+def _logged(rows: DataFrame, job_id: str, seq: int, status: Column, error: Column | None = None) -> DataFrame:
+    return rows.select(F.lit(job_id).alias("job_id"), "file_path", F.lit(seq).cast("long").alias("seq"), status.alias("status"), (F.lit(None) if error is None else error).cast("string").alias("error"))
+
+
+def new_job(files: DataFrame, job_id: str, source_path: str, at: str) -> DataFrame:
+    """The row of a job over files(kind, size): running, with its totals and estimates."""
+    cost = cost_estimate(files).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("extract_tokens") + F.col("embed_tokens")), F.lit(0)).alias("estimated_tokens"), F.coalesce(F.round(F.sum("usd"), 6), F.lit(0.0)).alias("estimated_usd"))
+    return cost.select(F.lit(job_id).alias("job_id"), F.lit(source_path).alias("source_path"), F.lit(at).alias("started_at"), F.lit("running").alias("status"), "total", "estimated_tokens", "estimated_usd")
+
+
+def finished(jobs: DataFrame, log: DataFrame, at: str) -> DataFrame:
+    """Jobs with the counters and status that their log gives; those without an open file are finished at `at`."""
+    now = job_counters(current_states(log)).select("job_id", "processed", "failed", F.col("status").alias("_s"))
+    out = jobs.join(now, "job_id", "left").withColumn("status", F.coalesce("_s", "status"))
+    return out.withColumn("finished_at", F.when(F.col("status").isin("completed", "failed"), F.lit(at))).drop("_s")
+
+
+def resumed(files: DataFrame, log: DataFrame, job_id: str) -> DataFrame:
+    """Files of a job that are still to be done: pending ones, and those that failed."""
+    open_ = current_states(log).where((F.col("job_id") == job_id) & F.col("status").isin("pending", "failed"))
+    return files.join(open_.select("file_path"), "file_path", "left_semi")
+
+
+def job_files(log: DataFrame, job_id: str, statuses: list[str] | None = None) -> DataFrame:
+    """Files of a job and their states, by path."""
+    out = current_states(log).where(F.col("job_id") == job_id)
+    return (out.where(F.col("status").isin(statuses)) if statuses else out).orderBy("file_path")
+
+
+def dry_counts(files: DataFrame, earlier: DataFrame) -> DataFrame:
+    """files, documents, tokens, usd of what an import would do."""
+    fresh = new_files(files, earlier)
+    cost = cost_estimate(fresh).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.col("extract_tokens") + F.col("embed_tokens")), F.lit(0)).alias("tokens"), F.coalesce(F.round(F.sum("usd"), 6), F.lit(0.0)).alias("usd"))
+    return cost.join(F.broadcast(fresh.agg(F.coalesce(F.sum(estimated_documents(fresh)), F.lit(0)).alias("documents"))))
+
+
 def latest_unfinished(jobs: DataFrame) -> DataFrame:
     """The newest job that can be taken up again. jobs: job_id, seq, started_at, status, aborted."""
     return jobs.where(F.col("status").isin("running", "paused", "failed") & ~F.coalesce("aborted", F.lit(False))).orderBy(F.desc("started_at"), F.desc("seq")).limit(1)

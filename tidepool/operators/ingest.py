@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 from tidepool.operators import facts as facts_ops
+from tidepool.operators import links as links_ops
 
 ENTITY = "struct<name:string,type:string,confidence:double>"
 FACT = "struct<subject:string,predicate:string,object:string,object_type:string,valid_from:string,valid_to:string,confidence:double>"
@@ -34,18 +35,41 @@ def not_done(items: DataFrame, committed: DataFrame) -> DataFrame:
     return items.withColumn("key", operation_key(F.col("origin"), F.col("text"))).join(committed.select("key"), "key", "left_anti")
 
 
+def collected(inbox: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
+    """source, key, text of the items to work on: the inbox by path, then events by id, of all of them the first `limit`."""
+    rows = inbox.select(F.lit("inbox").alias("source"), F.col("path").alias("key"), "text").unionByName(events.select(F.lit("events").alias("source"), F.col("id").alias("key"), F.col("raw_payload").alias("text")))
+    out = rows.orderBy(F.col("source") != "inbox", "key")
+    return out if limit is None else out.limit(limit)
+
+
+def dry_counts(items: DataFrame) -> DataFrame:
+    """source, items: what a run would work on."""
+    return items.groupBy("source").agg(F.count("*").alias("items"))
+
+
+def advanced_cursor(ledger: DataFrame, unfinished: DataFrame) -> DataFrame:
+    """cursor: the last event id before the first unfinished one; the last of all where none is unfinished, null where all are later."""
+    stop = unfinished.agg(F.min("id").alias("stop"))
+    return ledger.select("id").join(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("id") < F.col("stop"))).agg(F.max("id").alias("cursor"))
+
+
 def parts(items: DataFrame, limit: int = 6000) -> DataFrame:
-    """item_id, part, text: texts cut before the limit at line ends where that leaves half a part, else at the limit."""
-    lines = F.split("text", "(?<=\n)")
-    pieces = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) <= limit, F.array(x)).otherwise(F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(limit)), lambda i: F.substring(x, i + 1, F.lit(limit))))))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+    """item_id, part, text: texts above the limit are cut before the last line end inside it, if that lies beyond half, else at the limit."""
+    text, half = F.col("text"), limit // 2
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
 
-    def add(s, x):
-        fits = F.length(s["now"]) + F.length(x) <= limit
-        return F.struct(F.when(fits, s["out"]).otherwise(F.array_append(s["out"], s["now"])).alias("out"), F.when(fits, F.concat(s["now"], x)).otherwise(x).alias("now"))
+    def step(s, _):
+        window = F.substring(text, s["at"] + 1, F.lit(limit))
+        last = F.lit(limit) - F.locate("\n", F.reverse(window))
+        size = F.when((last < limit) & (last > half), last).otherwise(limit)
+        more = F.length(text) - s["at"] > limit
+        return F.struct((s["at"] + F.when(more, size).otherwise(0)).alias("at"), F.when(more, F.array_append(s["cuts"], s["at"] + size)).otherwise(s["cuts"]).alias("cuts"))
 
-    cut = F.aggregate(pieces, start, add, lambda s: F.filter(F.array_append(s["out"], s["now"]), lambda x: x != ""))
-    return items.select("item_id", F.posexplode(cut).alias("part", "text"))
+    steps = F.sequence(F.lit(0), F.floor(F.length(text) / (half + 1)).cast("int"))
+    cuts = F.concat(F.array(F.lit(0)), F.aggregate(steps, start, step, lambda s: s["cuts"]))
+    rows = items.where(F.length(text) > 0).withColumn("cuts", cuts).select("item_id", "text", "cuts", F.posexplode("cuts").alias("part", "at"))
+    end = F.coalesce(F.get("cuts", F.col("part") + 1), F.length("text"))
+    return rows.select("item_id", "part", F.substring("text", F.col("at") + 1, end - F.col("at")).alias("text"))
 
 
 def extract(texts: DataFrame, fn: Callable[[str], str]) -> DataFrame:
@@ -90,42 +114,76 @@ def merged_procedures(signals: DataFrame) -> DataFrame:
     return _best(rows, ["item_id", "suggested_slug"])
 
 
-def focused(facts: DataFrame, entities: DataFrame, reject: float = facts_ops.REJECT) -> tuple[DataFrame, DataFrame]:
-    """(facts above the reject limit with paths and addresses as literals, entities that some fact names)."""
-    kept = facts.where(F.col("confidence") >= reject).withColumn("object_type", F.when((F.col("object_type") == "entity") & T.artifact_value(F.col("object")), "literal").otherwise(F.col("object_type")))
+def focused(facts: DataFrame, entities: DataFrame, reject: float = facts_ops.REJECT, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts above the reject limit with paths and addresses as literals, entities that some fact names).
+
+    registry: name, title of known entities; a path or address stays an entity where one of that name has a title that is none.
+    """
+    kept = facts.where(F.col("confidence") >= reject).withColumn("norm", T.normalize_name(F.col("object")))
+    artifact = (F.col("object_type") == "entity") & T.artifact_value(F.col("object"))
+    if registry is not None:
+        real = registry.where(~T.artifact_value(F.col("title"))).select(T.normalize_name(F.col("name")).alias("norm"), F.lit(True).alias("real")).distinct()
+        kept = kept.join(real, "norm", "left")
+        artifact = artifact & F.col("real").isNull()
+    kept = kept.withColumn("object_type", F.when(artifact, "literal").otherwise(F.col("object_type"))).select(*facts.columns)
     ends = kept.select("item_id", F.explode(F.array_compact(F.array("subject", F.when(F.col("object_type") == "entity", F.col("object"))))).alias("name")).select("item_id", T.normalize_name(F.col("name")).alias("norm")).distinct()
     return kept, entities.join(ends, ["item_id", "norm"], "left_semi")
 
 
 def ingest(signals: DataFrame, items: DataFrame, entities: DataFrame, aliases: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
-    """Changes that signals make: entities (new), decided, facts (new), pending (an end is not known), timeline, mentions.
+    """Changes that signals make: entities (new), decided, facts (new, with ids), pending (an end is not known), procedures, timeline,
+    mentions, links (that new timeline lines make) and reviews (kind, key, payload).
 
     signals: item_id, part, signal; items: item_id (in order), event_id, entry_date, source_ref. All facts of the batch see
     each other in order of item and place.
     """
-    kept, named = focused(merged_facts(signals), merged_entities(signals))
+    registry = entities.select(F.explode(F.array("id", "title")).alias("name"), "title").unionByName(aliases.join(entities.select(F.col("id").alias("entity_id"), "title"), "entity_id").select(F.col("alias").alias("name"), "title"))
+    kept, named = focused(merged_facts(signals), merged_entities(signals), registry=registry)
     names = named.select("item_id", "name", "norm", F.col("type").alias("hint_type"), "confidence")
-    resolved = facts_ops.resolve(names.select(F.struct("item_id", "norm", "hint_type").alias("mention_id"), "name", "hint_type", "confidence"), entities, aliases)
-    known = resolved.select(F.col("mention_id.item_id").alias("item_id"), F.col("mention_id.norm").alias("norm"), F.col("mention_id.hint_type").alias("type"), "name", "entity_id", "how")
+    resolved = facts_ops.resolve(names.select(F.struct("item_id", "norm", "hint_type", "confidence").alias("mention_id"), "name", "hint_type", "confidence"), entities, aliases)
+    known = resolved.select(F.col("mention_id.item_id").alias("item_id"), F.col("mention_id.norm").alias("norm"), F.col("mention_id.hint_type").alias("type"), F.col("mention_id.confidence").alias("confidence"), "name", "entity_id", "how")
     end = known.select("item_id", "norm", "entity_id")
     c = kept.withColumn("norm", T.normalize_name(F.col("subject"))).join(end.withColumnRenamed("entity_id", "subject_id"), ["item_id", "norm"], "left")
     c = c.withColumn("norm", F.when(F.col("object_type") == "entity", T.normalize_name(F.col("object")))).join(end.withColumnRenamed("entity_id", "object_id"), ["item_id", "norm"], "left")
     open_end = F.col("subject_id").isNull() | ((F.col("object_type") == "entity") & F.col("object_id").isNull())
+    origin = items.select("item_id", "event_id", "source_ref", "entry_date")
     ready = c.where(~open_end).select("item_id", "part", "pos", F.col("subject_id").alias("subject"), "predicate", F.coalesce("object_id", "object").alias("object"), "object_type", "valid_from", "valid_to", "confidence")
-    ready = ready.join(items.select("item_id", "event_id", "source_ref", "entry_date"), "item_id").withColumn("ord", F.struct("item_id", "part", "pos"))
+    ready = ready.join(origin, "item_id").withColumn("ord", F.struct("item_id", "part", "pos"))
     decided = facts_ops.decide(ready, facts_ops.active_facts(facts).select("subject", "predicate", "object"))
     touched = decided.where("outcome = 'added'").groupBy("subject", "event_id").agg(F.min("entry_date").alias("entry_date"))
     said = signals.groupBy("item_id").agg(F.min_by(F.col("signal.timeline_summary"), "part").alias("description")).join(items.select("item_id", "event_id"), "item_id")
+    timeline = touched.join(said.select("event_id", "description"), "event_id").select(F.col("subject").alias("page_slug"), "entry_date", "event_id", "description")
+    pending = c.where(open_end).select("item_id", "subject", "predicate", "object", "object_type", "valid_from", "valid_to", "confidence")
+    procedures = merged_procedures(signals).join(origin, "item_id").select("item_id", "suggested_slug", "title", "summary", "steps", "confidence", "event_id", "source_ref")
+    lines = timeline.groupBy("page_slug").agg(F.lit(None).cast("string").alias("page_type"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_date", "event_id", "description"))), lambda x: x["description"]), "\n").alias("text"))
+    kind = F.col("type") if "type" in entities.columns else F.lit(None).cast("string")
+    types = entities.select(F.col("id").alias("entity_id"), "title", kind.alias("entity_type"))
+    owned = types.select(F.col("title").alias("alias"), "entity_id", "entity_type").unionByName(aliases.join(types, "entity_id").select("alias", "entity_id", "entity_type"))
     return {
         "entities": known.where("how = 'created'").groupBy("entity_id").agg(F.min("type").alias("type"), F.min("name").alias("title")),
         "decided": decided,
-        "facts": decided.where("outcome = 'added'"),
-        "pending": c.where(open_end).select("item_id", "subject", "predicate", "object", "object_type", "valid_from", "valid_to", "confidence"),
-        "timeline": touched.join(said.select("event_id", "description"), "event_id").select(F.col("subject").alias("page_slug"), "entry_date", "event_id", "description"),
+        "facts": facts_ops.new_facts(decided, facts),
+        "pending": pending,
+        "procedures": procedures,
+        "timeline": timeline,
         "mentions": known.where("entity_id is not null").groupBy("entity_id").agg(F.count("*").alias("mentions")),
+        "links": links_ops.alias_links(links_ops.page_lines(lines), owned),
+        "reviews": reviews_of(decided, pending, known, procedures),
     }
 
 
+def reviews_of(decided: DataFrame, pending: DataFrame, resolved: DataFrame, procedures: DataFrame, accept: float = facts_ops.ACCEPT) -> DataFrame:
+    """kind, key, payload of what a person has to decide: facts of low confidence, conflicts, facts with an open end, names that
+    were not resolved, and procedures."""
+    fact = ["subject", "predicate", "object", "object_type", "valid_from", "valid_to", "confidence"]
+    rows = lambda df, kind, payload: df.select(F.lit(kind).alias("kind"), "item_id", F.to_json(F.struct(*payload)).alias("payload"))
+    out = rows(decided.where("outcome = 'low-confidence review'"), "low_confidence", fact)
+    out = out.unionByName(rows(decided.where("outcome = 'conflict review'"), "fact_conflict", fact)).unionByName(rows(pending, "pending_fact", fact))
+    out = out.unionByName(rows(resolved.where("how in ('unresolved', 'ambiguous')"), "new_entity", ["name", "type", "confidence"]))
+    out = out.unionByName(rows(procedures.where(F.col("confidence") >= accept), "procedure_candidate", ["suggested_slug", "title", "summary", "steps", "confidence"]))
+    return out.select("kind", F.sha2(F.concat_ws("\0", F.col("item_id").cast("string"), "kind", "payload"), 256).alias("key"), "payload")
+
+
 def stub_pages(timeline: DataFrame, entities: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages to create for touched entities without one; passing names wait for their second mention. entities: id, title, mention_count."""
     new = timeline.select(F.col("page_slug").alias("id")).distinct().join(pages.select(F.col("page_slug").alias("id")), "id", "left_anti").join(entities, "id")
@@ -133,6 +191,18 @@ def stub_pages(timeline: DataFrame, entities: DataFrame, pages: DataFrame) -> Da
     return new.where(due).select(F.col("id").alias("page_slug"), "title", F.lit(T.STUB).alias("text"))
 
 
+def touch(timeline: DataFrame, new: DataFrame, pages: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(timeline with the new lines, pages to create): a page gets one line for each event, however often it is touched.
+
+    timeline: page_slug, pos, entry_date, event_id, description; new has the same without pos.
+    """
+    from tidepool.sources.sinks import append_timeline
+
+    nth = F.row_number().over(Window.partitionBy("page_slug").orderBy("entry_date", "event_id")) - 1
+    fresh = new.dropDuplicates(["page_slug", "event_id"]).withColumn("pos", nth.cast("long"))
+    return append_timeline(timeline, fresh.select(*timeline.columns)), stub_pages(new, entities, pages)
+
+
 def new_procedures(candidates: DataFrame, pages: DataFrame, pending: DataFrame, accept: float = facts_ops.ACCEPT) -> DataFrame:
     """Procedure candidates with enough confidence that no page or review has by slug or title."""
     c = candidates.where((F.col("confidence") >= accept) & F.col("title").isNotNull()).withColumn("norm", T.normalize_name(F.col("title")))

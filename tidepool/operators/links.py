@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 
-EMAIL = r"(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w.-])"
-#: Aliases that are not one ASCII word are matched by containment; up to this number they are sent to every executor.
-BROADCAST_ALIASES = 200_000
+#: Aliases that are not one ASCII word are matched by containment; up to this number (some 200 bytes each) they are sent to every executor.
+BROADCAST_ALIASES = 100_000
 
 
 def page_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -17,23 +16,44 @@ def page_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
     return pages.select("page_slug", "page_type", F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).select("page_slug", "page_type", (F.col("pos") + 1).alias("line_number"), "line")
 
 
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of so many characters of a text."""
+    runs = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]  # noqa: B023
+    return F.array_distinct(F.concat(*runs))
+
+
+def contained_aliases(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+    """page_slug, page_type, line_number, entity_id, entity_type of aliases that stand in lines(..., bare) as they are written.
+
+    An alias is met by the piece of three characters (all of a shorter one) that the fewest aliases have, so what many share
+    pairs nothing; only keys of lines are joined, and the text of a line is fetched where its piece is met.
+    """
+    where = ["page_slug", "page_type", "line_number"]
+    known = aliases.select("alias", "entity_id", "entity_type").distinct()
+    sizes = [r["n"] for r in known.select(F.least(F.lit(3), F.length("alias")).alias("n")).distinct().collect()]  # three at most
+    pieces = known.select("alias", F.explode(_pieces(F.col("alias"), [3])).alias("piece")).unionByName(known.where(F.length("alias") < 3).select("alias", F.col("alias").alias("piece"))).distinct()
+    rare = pieces.join(pieces.groupBy("piece").agg(F.count("*").alias("n")), "piece").groupBy("alias").agg(F.min(F.struct("n", "piece")).alias("m")).select("alias", F.col("m.piece").alias("piece"))
+    met = known.join(rare, "alias")
+    met = F.broadcast(met) if met.count() <= BROADCAST_ALIASES else met
+    found = lines.select(*where, F.explode(_pieces(F.col("bare"), sorted(sizes)) if sizes else F.array().cast("array<string>")).alias("piece")).join(met, "piece")
+    return found.join(lines.select(*where, "bare"), where).where(F.contains("bare", F.col("alias"))).select(*where, "entity_id", "entity_type").distinct()
+
+
 def alias_links(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """from_page, to_entity, relation, line_number: the first line of each link that a page's text makes.
 
     aliases: alias, entity_id, entity_type. One-word ASCII aliases match whole words whatever the case: both sides are words,
-    so this is an equi-join. Others match as they are written, met by their first two characters. Links and e-mail addresses
-    hide what they hold, but [[id]] links count by themselves.
+    so this is an equi-join. Others, of any length but none, match as they are written: see contained_aliases. Links and
+    e-mail addresses hide what they hold, but [[id]] links count by themselves.
     """
-    bare = F.regexp_replace(F.regexp_replace("line", T.WIKILINK, " "), EMAIL, " ")
+    bare = F.regexp_replace(F.regexp_replace("line", T.WIKILINK, " "), T.EMAIL, " ")
     seen = lines.select("page_slug", "page_type", "line_number", bare.alias("bare"))
     words = aliases.where(F.col("alias").rlike("^[A-Za-z0-9]+$"))
     tokens = seen.select("page_slug", "page_type", "line_number", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit("([a-z0-9_]+)"), F.lit(1)))).alias("word"))
     # the first line of a page's word is enough, and is found before the shuffle
     tokens = tokens.groupBy("page_slug", "page_type", "word").agg(F.min("line_number").alias("line_number"))
     hits = tokens.join(words.select(F.lower("alias").alias("word"), "entity_id", "entity_type").distinct(), "word").drop("word")
-    other = aliases.where(~F.col("alias").rlike("^[A-Za-z0-9]+$") & (F.length("alias") >= 2)).select("alias", "entity_id", "entity_type", F.substring("alias", 1, 2).alias("pair"))
-    pairs = seen.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("bare") - 1)), lambda i: F.substring("bare", i, F.lit(2))))).alias("pair"))
-    held = pairs.join(other, "pair").where(F.contains("bare", F.col("alias"))).select("page_slug", "page_type", "line_number", "entity_id", "entity_type")
+    held = contained_aliases(seen, aliases.where(~F.col("alias").rlike("^[A-Za-z0-9]+$") & (F.length("alias") >= 1)))
     links = lines.select("page_slug", "page_type", "line_number", F.explode(T.wikilinks(F.col("line"), strip_anchor=False)).alias("entity_id")).withColumn("entity_type", F.lit(None).cast("string"))
     found = hits.select("page_slug", "page_type", "line_number", "entity_id", "entity_type").unionByName(held).withColumn("relation", T.relation(F.col("page_type"), F.coalesce("entity_type", F.lit(""))))
     found = found.unionByName(links.withColumn("relation", F.lit("mentions")))
@@ -63,6 +83,11 @@ def citation_gaps(pages: DataFrame, timeline: DataFrame) -> DataFrame:
     return said.join(cited, ["page_slug", "target"], "left_anti").groupBy("page_slug").agg(F.array_sort(F.collect_list("target")).alias("missing"))
 
 
+def backlinks_to(backlinks: DataFrame, entity_id: str) -> DataFrame:
+    """Links to one entity by page and relation."""
+    return backlinks.where(F.col("to_entity") == entity_id).orderBy("from_page", "relation")
+
+
 def pages_linking(pages: DataFrame, targets: DataFrame) -> DataFrame:
     links = pages.select("page_slug", F.explode(T.wikilinks(F.col("text"))).alias("target"))
     return links.join(targets, "target", "left_semi").select("page_slug").distinct()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import fnmatch
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 from tidepool.operators import facts as facts_ops
 from tidepool.operators import links as links_ops
+from tidepool.operators import registry
+from tidepool.operators.tables import cut
 
 PAGE_TYPES = ("entity", "project", "concept", "event", "experience", "conversation", "procedure")
 
@@ -23,7 +29,7 @@ def closed_pairs(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         step = now.alias("a").join(now.alias("b"), F.col("a.canonical") == F.col("b.loser"), "left")
         seen = F.coalesce("b.canonical", "a.canonical")
         now = step.select("a.loser", seen.alias("canonical"), (F.col("a.cycle") | F.coalesce(F.col("b.cycle"), F.lit(False)) | (seen == F.col("a.loser"))).alias("cycle"), F.col("b.loser").isNotNull().alias("moved"))
-        now = now.checkpoint()
+        now = cut(now)
         if now.where("moved and not cycle").isEmpty():
             break
         now = now.drop("moved")
@@ -56,6 +62,16 @@ def merge_entities(pairs: DataFrame, entities: DataFrame, aliases: DataFrame, fa
     return {"entities": counted, "aliases": new_aliases, "facts": new_facts, "backlinks": new_links, "cycles": closed.where("canonical is null").select("loser")}
 
 
+def merge_sources(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """page_slug, sources, aliases, tags of pages(page_slug, sources, aliases, tags) after a merge: unions that keep the first place, the
+    canonical page's values first, then those of the others by slug."""
+    lists = ["sources", "aliases", "tags"]
+    p = pages.select(F.col("page_slug").alias("old"), "page_slug", *lists).transform(lambda d: _remap(d, "page_slug", pairs))
+    order = F.struct((F.col("old") != F.col("page_slug")).alias("late"), "old", *lists)
+    own = p.groupBy("page_slug").agg(F.array_sort(F.collect_list(order)).alias("all"))  # the pages of one merge
+    return own.select("page_slug", *(F.array_distinct(F.flatten(F.filter(F.transform("all", lambda x: x[c]), lambda y: y.isNotNull()))).alias(c) for c in lists))  # noqa: B023
+
+
 def merge_timelines(timeline: DataFrame, pairs: DataFrame) -> DataFrame:
     """Entries of merged pages, one for each (page, date, event), canonical ones first, in order of date and event."""
     t = timeline.withColumn("prio", F.lit(0)).withColumn("old", F.col("page_slug")).transform(lambda d: _remap(d, "page_slug", pairs))
@@ -89,6 +105,11 @@ def dangling_references(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return facts.where("object_type = 'entity'").join(entities.select(F.col("id").alias("object")), "object", "left_anti")
 
 
+def chosen_facts(facts: DataFrame, ids: DataFrame, entities: DataFrame) -> DataFrame:
+    """Facts of the given ids and those whose object does not exist, each once."""
+    return facts.join(ids.select("id"), "id", "left_semi").unionByName(dangling_references(facts, entities).select(*facts.columns)).dropDuplicates(["id"])
+
+
 def literalize(facts: DataFrame, ids: DataFrame, fold_into: str | None = None) -> DataFrame:
     """id, old_object, new_object, new_type of facts whose object is one of ids: their title as a literal, or another entity."""
     f = facts.join(ids.select(F.col("id").alias("object"), F.col("title").alias("_title")), "object")
@@ -108,8 +129,12 @@ def missing_pages(entities: DataFrame, pages: DataFrame, facts: DataFrame) -> Da
     return entities.select("id", "title").join(pages.select(F.col("page_slug").alias("id")), "id", "left_anti").join(n, "id", "left").select("id", "title", F.coalesce("facts", F.lit(0)).alias("facts"))
 
 
-def title_collisions(entities: DataFrame) -> DataFrame:
-    """Normalised titles that several ids have: how many, and the smallest and largest id (members by joining back)."""
+def title_collisions(entities: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Normalised titles that several ids have, of entities and of pages(page_slug, title): how many, and the smallest and largest id
+    (members by joining back)."""
+    entities = entities.select("id", "title")
+    if pages is not None:
+        entities = entities.unionByName(pages.select(F.col("page_slug").alias("id"), "title"))
     return entities.groupBy(T.normalize_name(F.col("title")).alias("norm_title")).agg(F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("ids > 1")
 
 
@@ -139,23 +164,29 @@ def rebuilt_entities(pages: DataFrame, entities: DataFrame) -> DataFrame:
     return pages.join(old, "id", "left").select("id", "type", "title", "tier", F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.coalesce("first_seen", "created").alias("first_seen"), F.coalesce("last_seen", "created").alias("last_seen"))
 
 
-def external_allowed(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def locally_blocked(path: Column, text: Column, label: Column, local_only: bool = False, globs: tuple[str, ...] = ()) -> Column:
+    """Whether a text itself may not be shared: the default forbids it, it holds a secret, its mark or that of its headers is not
+    the sharing one, or its path fits a glob, whatever the case."""
+    _, mark = registry.provenance(text)
+    marks = F.array_compact(F.array(label, mark))
+    fits = T.any_of([F.lower(path).rlike(re.sub(r"\(\?s:(.*)\)\\[zZ]", r"^(?s:\1)$", fnmatch.translate(g.lower()))) for g in globs]) if globs else F.lit(False)
+    return F.lit(local_only) | F.coalesce(T.contains_secret(text), F.lit(False)) | F.exists(marks, lambda m: m != registry.SHARED) | F.coalesce(fits, F.lit(False))
+
+
+def external_allowed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, allowed: whether a node and all that it cites, at any distance, may be shared; unknown sources may not.
 
-    nodes: id, blocked; edges: id, source. Blocks travel from sources to what cites them until none is new; cycles end by
-    themselves. Each round handles the newly blocked nodes only.
+    nodes: id, blocked (see locally_blocked); edges: id, source. Blocks travel from sources to what cites them until none is
+    new, however long the chains are; cycles end by themselves. Each round handles the newly blocked nodes only.
     """
     known = nodes.select("id")
     unknown = edges.join(known.select(F.col("id").alias("source")), "source", "left_anti").select("id").distinct()
-    blocked = nodes.where("blocked").select("id").unionByName(unknown).distinct().checkpoint()
-    front = blocked
-    for _ in range(rounds):
-        front = edges.join(front.select(F.col("id").alias("source")), "source", "left_semi").select("id").distinct().join(blocked, "id", "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        blocked = blocked.unionByName(front).checkpoint()
-    else:
-        raise ValueError(f"sources are cited over more than {rounds} steps")
+    blocked = nodes.where("blocked").select("id").unionByName(unknown).distinct()
+    blocked = front = cut(blocked)
+    while not front.isEmpty():
+        front = edges.join(front.select(F.col("id").alias("source")), "source", "left_semi").select("id").distinct().join(blocked, "id", "left_anti")
+        front = cut(front)
+        blocked = cut(blocked.unionByName(front))
     return known.join(blocked.withColumn("hit", F.lit(True)), "id", "left").select("id", F.col("hit").isNull().alias("allowed"))
 
 
@@ -165,13 +196,66 @@ def stale_pages(pages: DataFrame, timeline: DataFrame, as_of: str, days: int = 1
     return pages.where("tier = 1").select("page_slug").join(newest, "page_slug", "left").where(F.col("newest").isNull() | (F.col("newest") < F.date_sub(F.to_date(F.lit(as_of)), days)))
 
 
-def lint(pages: DataFrame, timeline: DataFrame, entities: DataFrame, facts: DataFrame, as_of: str, days: int = 180) -> DataFrame:
-    """kind, subject, detail of all issues."""
+def lint(pages: DataFrame, timeline: DataFrame, entities: DataFrame, facts: DataFrame, as_of: str, days: int = 180, page_entities: DataFrame | None = None) -> DataFrame:
+    """kind, subject, detail of all issues: contradictions, stale pages, orphan links, citations and, where page_entities (id, title, tier
+    as the pages say) are given, registry rows that differ from them."""
     contra = facts_ops.contradictions(facts).select(F.lit("contradictions").alias("kind"), "subject", F.concat("norm_pred", F.lit(": "), F.array_join("objects", ", ")).alias("detail"))
     stale = stale_pages(pages, timeline, as_of, days).select(F.lit("stale").alias("kind"), F.col("page_slug").alias("subject"), F.coalesce(F.col("newest").cast("string"), F.lit("no date")).alias("detail"))
     orphans = links_ops.orphan_links(timeline, entities, pages).select(F.lit("orphans").alias("kind"), F.col("page_slug").alias("subject"), F.concat("reason", F.lit(": "), "target").alias("detail"))
     cited = links_ops.citation_gaps(pages, timeline).select(F.lit("citations").alias("kind"), F.col("page_slug").alias("subject"), F.array_join("missing", ", ").alias("detail"))
-    return contra.unionByName(stale).unionByName(orphans).unionByName(cited)
+    out = contra.unionByName(stale).unionByName(orphans).unionByName(cited)
+    if page_entities is None:
+        return out
+    return out.unionByName(drift(page_entities, entities).where("state <> 'same'").select(F.lit("registry").alias("kind"), F.col("id").alias("subject"), F.col("state").alias("detail")))
+
+
+def plan_counts(**plan: DataFrame) -> DataFrame:
+    """metric, value: how many rows each table of a plan has."""
+    counts = [df.agg(F.lit(name).alias("metric"), F.count("*").alias("value")) for name, df in plan.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+def metadata_leaks(pages: DataFrame) -> DataFrame:
+    """Pages whose compiled text still holds the header lines of a source."""
+    return pages.where(F.col("text").rlike(r"(?m)^source_(?:agent|context):")).select("page_slug")
+
+
+def reconcile_plan(pages: DataFrame, entities: DataFrame, facts: DataFrame, aliases: DataFrame, missing_sources: DataFrame, archived: DataFrame) -> dict[str, DataFrame]:
+    """What differs between pages and registry: registry, aliases, sources, missing_pages, collisions, leaks, stubs, predicates.
+
+    pages: page_slug, title, tier, text, aliases; aliases: alias, entity_id; missing_sources and archived: path.
+    """
+    claims = pages.select(F.explode("aliases").alias("alias"), F.col("page_slug").alias("entity_id"))
+    return {
+        "registry": drift(pages.select(F.col("page_slug").alias("id"), "title", "tier"), entities).where("state <> 'same'"),
+        "aliases": claims.join(aliases.select("alias", "entity_id"), ["alias", "entity_id"], "left_anti"),
+        "sources": source_repairs(missing_sources, archived),
+        "missing_pages": missing_pages(entities, pages, facts),
+        "collisions": title_collisions(entities, pages),
+        "leaks": metadata_leaks(pages),
+        "stubs": pages.where(F.trim("text") == T.STUB).select("page_slug"),
+        "predicates": facts_ops.predicate_census(facts),
+    }
+
+
+def apply_reconcile(plan: dict[str, DataFrame], pages: DataFrame, entities: DataFrame, facts: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """entities, aliases and facts after a plan: registry rows as the pages say, aliases of pages that one entity claims, canonical
+    predicates. Rows without a page stay."""
+    rows = pages.join(plan["registry"].where("state in ('missing row', 'changed')").select(F.col("id").alias("page_slug")), "page_slug", "left_semi")
+    old = entities.drop("title", "tier")
+    new = rows.select(F.col("page_slug").alias("id"), "title", "tier").join(old, "id", "left").select(*entities.columns)
+    both, _ = facts_ops.add_aliases(aliases, plan["aliases"].join(plan["aliases"].groupBy("alias").agg(F.count_distinct("entity_id").alias("n")).where("n = 1").select("alias"), "alias").select(*[F.col(c) if c in ("alias", "entity_id") else F.lit(None).alias(c) for c in aliases.columns]))
+    named = facts.withColumn("predicate", T.normalize_predicate(F.col("predicate")))
+    return {"entities": facts_ops.upsert(entities, new, ["id"]), "aliases": both, "facts": named}
+
+
+def rebuilt(pages: DataFrame, entities: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """backlinks, registry and index from the pages alone. pages: page_slug, page_type, type, title, tier, created, relative_path, text."""
+    from tidepool.sources.sinks import page_index
+
+    links = links_ops.alias_links(links_ops.page_lines(pages), aliases)
+    known = rebuilt_entities(pages.withColumn("id", F.col("page_slug")), entities)
+    return {"backlinks": links.join(known.select(F.col("id").alias("to_entity")), "to_entity", "left_semi"), "entities": known, "index": page_index(pages)}
 
 
 def by_type(pages: DataFrame) -> DataFrame:
@@ -203,6 +287,13 @@ def refreshable(pages: DataFrame) -> DataFrame:
     return pages.where(~F.col("curated") & ((F.col("text") == T.STUB) | (F.col("summary_hash") == F.sha2("text", 256))))
 
 
+def refreshed(pages: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Pages with the summaries(page_slug, summary) of those whose text the engine owns, and the hash of what is written."""
+    new = refreshable(pages).select("page_slug").join(summaries.select("page_slug", "summary"), "page_slug")
+    out = pages.join(new, "page_slug", "left").withColumn("summary_hash", F.coalesce(F.sha2("summary", 256), "summary_hash")).withColumn("text", F.coalesce("summary", "text"))
+    return out.select(*pages.columns)
+
+
 def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, removed, added lines of two versions of texts(key, text)."""
     both = old.select("key", F.split("text", "\n").alias("a")).join(new.select("key", F.split("text", "\n").alias("b")), "key")

@@ -12,6 +12,8 @@ from tidepool.operators import links as links_ops
 #: The header keys that may stand before a text, and the one privacy mark that permits sharing.
 HEADER_KEYS = ("source_agent", "source_context", "source_channel", "source_ref", "privacy")
 SHARED = "provider-allowed"
+#: Headers that may stand one in another.
+DEPTH = 32
 #: Page type -> entity type.
 ENTITY_TYPE = {"project": "project", "concept": "concept", "event": "event", "experience": "experience", "conversation": "conversation"}
 
@@ -31,6 +33,20 @@ def inbox(files: DataFrame, processed: DataFrame) -> DataFrame:
     return raw.select("path", F.when(ok, F.regexp_replace(F.col("content").cast("string"), "^﻿", "")).alias("text"), F.when(~ok, "not UTF-8").alias("read_error"))
 
 
+def inbox_metadata(raw: DataFrame) -> DataFrame:
+    """path, text, metadata, read_error of inbox rows: front matter that has no end, or lines that are no `key: value`, is an error of
+    its row only."""
+    from tidepool.sources.documents import split_front_matter
+
+    meta, _ = split_front_matter(F.col("text"))
+    opened = F.col("text").rlike(r"\A---\r?\n")
+    block = F.regexp_extract("text", r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 1)
+    bad = F.exists(F.split(block, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^(?:\s*#|\s*-\s|\s+\S|[^:\s][^:]*:)"))
+    closed = F.col("text").rlike(r"(?s)\A---\r?\n(?:.*?\r?\n)?---(?:\r?\n|\z)")
+    error = F.coalesce(F.col("read_error"), F.when(opened & (~closed | bad), "metadata"))
+    return raw.select("path", "text", F.when(error.isNull(), meta).alias("metadata"), error.alias("read_error"))
+
+
 def inbox_counts(files: DataFrame) -> DataFrame:
     """pending and failed files by the first part of their path."""
     first = F.substring_index("path", "/", 1)
@@ -41,15 +57,27 @@ def failed_inbox(files: DataFrame, n: int) -> DataFrame:
     return files.where(F.col("path").startswith("failed/")).orderBy("path").limit(n)
 
 
-def provenance(text: Column, depth: int = 4) -> tuple[Column, Column]:
-    """(text without its header lines, privacy mark or null) over up to `depth` stacked headers; any mark but the sharing one wins."""
-    line = rf"\A(?:(?:{'|'.join(HEADER_KEYS)}):[^\n]*\n)+\n*"
-    body, head = text, F.lit("")
-    for _ in range(depth):
-        head = F.concat(head, F.regexp_extract(body, line, 0))
-        body = F.regexp_replace(body, line, "")
-    marks = F.transform(F.regexp_extract_all(head, F.lit(r"privacy:([^\n]*)"), F.lit(1)), lambda x: F.trim(x))
-    return body, F.coalesce(F.get(F.filter(marks, lambda x: x != SHARED), F.lit(0)), F.get(marks, F.lit(0)))
+def provenance(text: Column, depth: int = DEPTH) -> tuple[Column, Column]:
+    """(text without its header lines and front matter, privacy mark or null); any mark but the sharing one wins.
+
+    Headers may stand in front matter and front matter before headers, each up to `depth` times. What is left beyond that
+    many counts as the mark "too deep", which does not permit sharing.
+    """
+    front, line = r"\A---\r?\n(?s:.*?)\r?\n---(?:\r?\n|\z)", rf"\A(?:[ \t]*(?:{'|'.join(HEADER_KEYS)}):[^\n]*(?:\n|\z))+"
+    trim = lambda c: F.regexp_replace(c, r"\A[\s\x{FEFF}]+|\s+\z", "")
+    one = rf"{front}|{line}"
+
+    def peel(s, _):
+        rest = F.regexp_extract(s["body"], one, 0)
+        return F.struct(F.when(rest == "", s["body"]).otherwise(trim(F.regexp_replace(s["body"], one, ""))).alias("body"), F.concat(s["head"], rest, F.lit("\n")).alias("head"))
+
+    start = F.struct(trim(text).alias("body"), F.lit("").alias("head"))
+    # a layer is at most a front matter and a header
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(2 * depth)), start, peel)
+    marks = F.transform(F.regexp_extract_all(out["head"], F.lit(r"(?m)^[ \t]*privacy:([^\n]*)"), F.lit(1)), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+$", "")), "^[\"']|[\"']$", ""))
+    deep = F.when(out["body"].rlike(one), F.array(F.lit("too deep"))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(marks, deep)
+    return out["body"], F.coalesce(F.get(F.filter(every, lambda x: x != SHARED), F.lit(0)), F.get(every, F.lit(0)))
 
 
 def entity_type(explicit: Column, page_type: Column, tags: Column, existing: Column) -> Column:
@@ -87,6 +115,14 @@ def recent_events(ledger: DataFrame, n: int = 10, kind: str | None = None, entit
     return out.orderBy(F.desc("id")).limit(n)
 
 
+def recent_runs(ledger: DataFrame, n: int = 5) -> DataFrame:
+    """id, line: the newest n procedure runs that name a procedure and a result, newest first. ledger: id, timestamp, raw_payload, metadata."""
+    get = lambda k: F.nullif(F.try_element_at("metadata", F.lit(k)), F.lit(""))
+    runs = ledger.where((get("operation") == "run") & get("procedure").isNotNull() & get("result").isNotNull())
+    line = F.concat(F.substring(F.col("timestamp").cast("string"), 1, 10), F.lit(" "), get("procedure"), F.lit(" "), get("result"), F.lit(": "), F.trim(F.coalesce("raw_payload", F.lit(""))))
+    return runs.orderBy(F.desc("id")).limit(n).select("id", line.alias("line"))
+
+
 def entity_hints(lines: DataFrame, aliases: DataFrame, shareable: DataFrame, n: int = 30) -> DataFrame:
     """page_slug, hints: up to n known and shareable entities that a text names."""
     found = links_ops.alias_links(lines, aliases).join(shareable.select(F.col("id").alias("to_entity")), "to_entity", "left_semi")

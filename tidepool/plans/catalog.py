@@ -28,4 +28,4 @@ def query(oracle: str | None = None):
     return register
 
 
-from tidepool.plans import building, changing, knowing, retrieving  # noqa: E402, F401
+from tidepool.plans import building, changing, knowing, reading, retrieving, upkeep  # noqa: E402, F401

@@ -90,13 +90,13 @@ def prefix_lookup(t: Tables) -> DataFrame:
     return sources.by_prefix(ledger.select(F.substring("id", 1, 24).alias("prefix")).distinct(), ledger)
 
 
-@query("select 'user-' || (user_id - user_id % 4) as page_slug, strftime(ts, '%Y-%m-%d') as entry_date, event_id % 5 as event_id, count(*) as n from (select distinct ts::date as ts, user_id - user_id % 4 as user_id, event_id % 5 as event_id from events) group by 1, 2, 3")
+@query("""select page_slug, entry_date, event_id, description from (select 'user-' || (u - u % 4) as page_slug, entry_date, event_id % 5 as event_id, description, row_number() over (partition by u - u % 4, entry_date, event_id % 5 order by u % 4 <> 0, pos, description) as n from (select *, regexp_extract(page_slug, '(\\d+)', 1)::int as u from kb_timeline)) where n = 1""")
 def merged_timelines(t: Tables) -> DataFrame:
     """Timelines of four users each merged into one, an entry for each page, date and event."""
     line = t.timeline().withColumn("event_id", F.col("event_id") % 5)
     n = F.regexp_extract("page_slug", r"(\d+)", 1).cast("long")
     pair = line.select("page_slug").distinct().where(n % 4 != 0).select(F.col("page_slug").alias("loser"), F.concat(F.lit("user-"), (n - n % 4).cast("string")).alias("canonical"))
-    return maintain.merge_timelines(line, pair).groupBy("page_slug", "entry_date", "event_id").agg(F.count("*").alias("n"))
+    return maintain.merge_timelines(line, pair)
 
 
 @query("select 'user-' || user_id as page_slug, count(*) + 1 as entries, max(event_id) as last_event from events group by 1, user_id having true")
@@ -122,18 +122,26 @@ def retrieval_trace(t: Tables) -> DataFrame:
     return retrieval.trace(hits).select("query_id", "path", "rank", "page_slug")
 
 
-@query()
+@query("""with d as (select page_slug, regexp_extract_all(lower(trim(title || chr(10) || text)), '[a-z0-9]+') as words from kb_pages), q as (select query_id, term, count(*) as qtf from (select p.doc_id as query_id, unnest(regexp_extract_all(lower(trim(p.text)), '[a-z0-9]+')) as term from kb_pages p join embeddings on vec_id = doc_id where vec_id % 20 = 0) group by 1, 2),
+ tf as (select page_slug, dl, term, count(*) as tf from (select page_slug, len(words) as dl, unnest(words) as term from d) where term in (select term from q) group by 1, 2, 3), df as (select term, count(*) as df from tf group by 1), n as (select count(*) as n, avg(len(words)) as avgdl from d),
+ s as (select query_id, page_slug, count(*) as coverage, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score from q join tf using (term) join df using (term), n group by 1, 2),
+ v as (select q.vec_id as query_id, 'doc-' || v.vec_id as page_slug, row_number() over (partition by q.vec_id order by round(list_distance(q.embedding::double[], v.embedding::double[]), 9), v.vec_id) as rank from (select * from embeddings where vec_id % 20 = 0) q, embeddings v),
+ u as (select query_id, page_slug, rank from v where rank <= 50 union all select query_id, page_slug, row_number() over (partition by query_id order by coverage desc, score desc, page_slug) as rank from s where score > 0 qualify rank <= 50),
+ f as (select query_id, page_slug, round(round(sum(1.0 / (60 + rank)), 9) * any_value(case when page_type <> 'procedure' or status = 'stable' then 1.0 when status = 'tested' then 0.7 else 0.3 end), 9) as score from u join kb_pages using (page_slug) group by 1, 2)
+ select * from (select query_id, page_slug, round(score, 6) as score, row_number() over (partition by query_id order by score desc, page_slug) as rank, 'hybrid' as route from f) where rank <= 5""")
 def hybrid_ask(t: Tables) -> DataFrame:
-    """Hybrid mode with vectors of every twentieth page as questions (rows only: composition of checked parts)."""
+    """Hybrid mode with every page and vector whose id is divisible by 20 as a question, by its whole text."""
     v = t.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     pages = t.pages()
-    q = pages.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    q = pages.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.ask(pages, q, "hybrid", vectors=v, query_vectors=asked).select("query_id", "page_slug", F.round("score", 6).alias("score"), "rank", "route")
 
 
-@query()
+@query("""with recursive x as (select 'p' || user_id as slug, event_type in ('click', 'view', 'purchase') as ok, row_number() over (partition by user_id order by event_id) as n from events), s as (select slug, 0 as n, 'raw' as status, 0 as good, 0 as bad from (select distinct slug from x)
+ union all select s.slug, x.n, case when ok then case when status = 'raw' then 'tested' when status = 'tested' and good + 1 >= 5 and bad = 0 then 'stable' else status end when status = 'stable' and bad + 1 >= 2 then 'tested' when status = 'tested' and bad + 1 > good then 'raw' else status end, good + ok::int, bad + (not ok)::int from s join x on x.slug = s.slug and x.n = s.n + 1)
+ select slug, status, good as success_count, bad as fail_count from s where n = (select max(n) from x where x.slug = s.slug)""")
 def procedure_states(t: Tables) -> DataFrame:
-    """Lifecycle state after all runs (rows only: a fold in order, tested against a loop)."""
+    """Lifecycle state after all runs."""
     runs = t.table("events").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("slug"), F.col("event_id").alias("seq"), F.col("event_type").isin("click", "view", "purchase").alias("ok"))
     return assemble.procedure_states(runs)

@@ -129,7 +129,7 @@ def source_repairs(t: Tables) -> DataFrame:
 
 
 @query("""with p as (select 'customer-' || c_custkey as loser, 'customer-' || (c_custkey - c_custkey % 10) as canonical from customer where c_custkey % 10 <> 0), e as (select e.*, coalesce(p.canonical, id) as to_id from kb_entities e left join p on loser = id), f as (select coalesce(p.canonical, subject) as subject from kb_facts left join p on loser = subject)
- select to_id as id, min(tier) as tier, count(*) as members, any_value(n) as facts from e left join (select subject, count(*) as n from f group by 1) x on x.subject = to_id group by 1""")
+ select to_id as id, min(tier) as tier, count(*) as members, any_value(n) as facts, max(case when id = to_id then title end) as title from e left join (select subject, count(*) as n from f group by 1) x on x.subject = to_id group by 1""")
 def entity_merge(t: Tables) -> DataFrame:
     """Every ten customers merged through a chain of pairs."""
     k = F.col("c_custkey")
@@ -138,7 +138,7 @@ def entity_merge(t: Tables) -> DataFrame:
     out = maintain.merge_entities(pair, e, t.aliases().select("alias", "entity_id"), t.facts(), t.backlinks())
     n = out["facts"].groupBy(F.col("subject").alias("id")).agg(F.count("*").alias("facts"))
     closed = maintain.closed_pairs(pair).groupBy(F.col("canonical").alias("id")).agg((F.count("*") + 1).alias("members"))
-    return out["entities"].join(closed, "id", "left").join(n, "id", "left").select("id", "tier", F.coalesce("members", F.lit(1)).alias("members"), "facts")
+    return out["entities"].join(closed, "id", "left").join(n, "id", "left").select("id", "tier", F.coalesce("members", F.lit(1)).alias("members"), "facts", "title")
 
 
 @query("select 'doc-' || doc_id as page_slug from documents where text is not null and doc_id % 7 in (0, 2) and doc_id % 4 = 0 and 'doc-' || doc_id not in (select subject from kb_facts union select object from kb_facts)")

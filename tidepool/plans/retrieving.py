@@ -53,8 +53,9 @@ def knn_topk(t: Tables) -> DataFrame:
 def rrf_fusion(t: Tables) -> DataFrame:
     """BM25 and keyword paths fused by reciprocal rank."""
     corpus, asked = _corpus(t), t.questions()
-    kw = retrieval.ranked(retrieval.keyword_scores(corpus, asked), "query_id", F.desc("score"), F.asc("page_slug"), top=50)
-    paths = retrieval.bm25(corpus, asked, 50).select("query_id", "page_slug", "rank").unionByName(kw.select("query_id", "page_slug", "rank"))
+    table = retrieval.term_table(corpus, asked)
+    kw = retrieval.ranked(retrieval.keyword_scores(corpus, asked, table), "query_id", F.desc("score"), F.asc("page_slug"), top=50)
+    paths = retrieval.bm25(corpus, asked, 50, table=table).select("query_id", "page_slug", "rank").unionByName(kw.select("query_id", "page_slug", "rank"))
     return retrieval.rrf(paths).withColumn("score", F.round("score", 6))
 
 
@@ -119,16 +120,17 @@ def recent_timeline(t: Tables) -> DataFrame:
 
 
 @query("""with m as (select event_id as query_id, 'user-' || user_id as page_slug, 1.0 / (1 + event_id % 7) as score, event_id % 4 as k from events)
- select query_id, page_slug, round(case when k > 0 then greatest(score, 1.0) * pow(1.5, k) else score end, 6) as score from m""")
+ select query_id, page_slug, round(case when k > 0 then greatest(score, 1.0) * pow(1.5, k) else score end, 6) as score from m union all select event_id, 'own-' || event_id, 1.0 from events where event_id % 5 = 0""")
 def boosts(t: Tables) -> DataFrame:
-    """Scores of pages that k matched entities link from."""
+    """Scores of pages that k matched entities link from, and of matched entities' own pages."""
     e = t.table("events").select(F.col("event_id").alias("query_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("page_slug"), (F.col("event_id") % 4).cast("int").alias("k"))
     scores = e.select("query_id", "page_slug", (1.0 / (1 + F.col("query_id") % 7)).alias("score"))
     links = e.where("k > 0").select("query_id", "page_slug", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("n"))
     matches = links.select("query_id", F.concat_ws("/", "page_slug", "n").alias("entity_id"))
     back = links.select(F.concat_ws("/", "page_slug", "n").alias("to_entity"), F.col("page_slug").alias("from_page"))
-    none = scores.limit(0).select(F.col("page_slug").alias("entity_id"), "page_slug")
-    return retrieval.boosted(scores, matches, none, back).withColumn("score", F.round("score", 6))
+    own = e.where("query_id % 5 = 0").select("query_id", F.concat(F.lit("self-"), F.col("query_id").cast("string")).alias("entity_id"))
+    pages = own.select("entity_id", F.replace("entity_id", F.lit("self"), F.lit("own")).alias("page_slug"))
+    return retrieval.boosted(scores, matches.unionByName(own), pages, back).withColumn("score", F.round("score", 6))
 
 
 @query("select 'doc-' || doc_id as page_slug, regexp_matches(text, '(?i)(api[\\s_-]?key|access[\\s_-]?key([\\s_-]?id)?|access[\\s_-]?token|client[\\s_-]?secret|secret|password|passwd|authorization)[\"'']?\\s*(:|=|\\bis\\b|\\s)\\s*[\"'']?[^\\s,;\"'']{4,}') or regexp_matches(text, '\\bsk-[A-Za-z0-9_-]{10,}\\b|\\bgh[pousr]_[A-Za-z0-9_]{10,}\\b|\\bhf_[A-Za-z0-9]{10,}\\b|\\bAKIA[0-9A-Z]{12,20}\\b|\\bAIza[0-9A-Za-z_-]{20,}\\b|\\bxox[baprs]-[A-Za-z0-9-]{10,}\\b|\\beyJ[A-Za-z0-9_-]{20,}\\.[A-Za-z0-9_-]{10,}') as secret from documents where text is not null")

@@ -105,8 +105,8 @@ class Tables:
         return self.table("benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
     def asked(self) -> DataFrame:
-        """Questions made of names: one for every 50th customer, order date and nation."""
-        c = self.table("customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("list what "), F.upper("c_name"), F.lit(" did in "), (F.col("c_custkey") / 50 % 7 + 1995).cast("int").cast("string")).alias("query"))
+        """Questions made of names: one for every customer whose id is divisible by 20, with a year, and for every nation."""
+        c = self.table("customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("list what "), F.upper("c_name"), F.lit(" did in "), (F.col("c_custkey") / 20 % 7 + 1995).cast("int").cast("string")).alias("query"))
         n = self.table("nation").select((F.col("n_nationkey") + 100_000_000).cast("long").alias("query_id"), F.concat(F.lit("who lives in "), "n_name").alias("query"))
         return c.unionByName(n)
 
@@ -135,7 +135,7 @@ VIEWS = {
     "kb_backlinks": """select 'order-' || l_orderkey as from_page, 'part-' || l_partkey as to_entity, case when l_returnflag = 'A' then 'mentions' else 'involves' end as relation, min(l_linenumber) as line_number from lineitem group by 1, 2, 3""",
     "kb_files": """select doc_id, source || '/' || doc_id as file_path, list_extract(['md','txt','pdf','jsonl'], (doc_id % 4 + 1)::int) as kind, sha256(text) as file_hash, source as job_id, list_extract(['pending','extracted','ingested','failed','skipped'], (doc_id % 5 + 1)::int) as status, length(text) as size, doc_id % 10 = 0 as aborted, text from documents where text is not null""",
     "kb_ledger": """select lpad(event_id::varchar, 26, '0') as id, case event_type when 'click' then 'human_chat' when 'view' then 'ai_chat' when 'purchase' then 'page_edited' when 'signup' then 'note_appended' else 'odd' end as kind, 'user-' || user_id as page_slug, (event_id % 120) / 100.0 as confidence, event_id, event_type, user_id from events""",
-    "kb_asked": """select c_custkey as query_id, 'list what ' || upper(c_name) || ' did in ' || (c_custkey // 50 % 7 + 1995) as query from customer where c_custkey % 50 = 0 union all select n_nationkey + 100000000, 'who lives in ' || n_name from nation""",
+    "kb_asked": """select c_custkey as query_id, 'list what ' || upper(c_name) || ' did in ' || (c_custkey // 20 % 7 + 1995) as query from customer where c_custkey % 20 = 0 union all select n_nationkey + 100000000, 'who lives in ' || n_name from nation""",
     "kb_md": """select doc_id, (select string_agg(case when i % 5 = 0 and l <> '' then '# ' || l else l end, chr(10) order by i) from (select unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i)) as text from documents where text is not null""",
 }
 

@@ -104,21 +104,38 @@ def conversations_flat(rows: DataFrame) -> DataFrame:
 
 
 def page_groups(pages: DataFrame, size: int = 5) -> DataFrame:
-    """(file, page_no, text) -> one document for each `size` pages; empty pages are skipped."""
+    """(file, page_no, text) -> one document for each `size` pages; empty pages are skipped, and files without text give none: see
+    textless_files."""
     group = F.floor((F.col("page_no") - 1) / size)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"])
     full = pages.where(F.trim("text") != "").groupBy("file", group.alias("g")).agg(F.array_join(texts, "\n\n").alias("content"), F.count("*").alias("pages"))
     return full.select("file", (F.col("g") * size + 1).alias("first_page"), (F.col("g") * size + size).alias("last_page"), "pages", "content")
 
 
-def event_errors() -> Column:
-    """What is wrong with a ledger row."""
-    return F.array_compact(F.array(F.when(F.col("_corrupt").isNotNull(), "broken"), F.when(~F.coalesce(F.col("id").rlike(ULID), F.lit(False)), "id"), F.when(~F.coalesce(F.col("kind").isin(*EVENT_KINDS), F.lit(False)), "kind"), F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)), "confidence")))
+def textless_files(pages: DataFrame) -> DataFrame:
+    """file, error of files all of whose pages are empty: they fail, as there is nothing to import."""
+    return pages.groupBy("file").agg(F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("n")).where("n = 0").select("file", F.lit("no text").alias("error"))
+
+
+def extra_keys(line: Column) -> Column:
+    """Top-level keys of a JSON text that a ledger row does not have; an empty array where there are none or it is no object."""
+    return F.coalesce(F.array_except(F.json_object_keys(line), F.array(*(F.lit(f.name) for f in EVENT if f.name != "_corrupt"))), F.array().cast("array<string>"))
+
+
+def event_errors(timestamp: str | None = None, extra: str | None = None) -> Column:
+    """What is wrong with a ledger row: its JSON, id, kind, confidence and, where their columns are named, its time (ISO text) and
+    keys that it should not have."""
+    more = [F.when(F.try_to_timestamp(F.col(timestamp)).isNull(), "timestamp")] if timestamp else []
+    more += [F.when(F.size(F.col(extra)) > 0, "extra keys")] if extra else []
+    return F.array_compact(F.array(*more, F.when(F.col("_corrupt").isNotNull(), "broken"), F.when(~F.coalesce(F.col("id").rlike(ULID), F.lit(False)), "id"), F.when(~F.coalesce(F.col("kind").isin(*EVENT_KINDS), F.lit(False)), "kind"), F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)), "confidence")))
 
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(valid events, rows set aside with their errors) of an append-only JSON lines ledger."""
-    rows = spark.read.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("errors", event_errors())
+    """(valid events, rows set aside with their errors) of an append-only JSON lines ledger; blank lines are no rows."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    row = F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select(row.alias("r"), extra_keys(F.col("value")).alias("_extra")).select("r.*", "_extra")
+    rows = rows.withColumn("errors", event_errors("timestamp", "_extra")).drop("_extra")
     return rows.where(F.size("errors") == 0).drop("errors", "_corrupt"), rows.where(F.size("errors") > 0)
 
 
@@ -128,34 +145,64 @@ def after(ledger: DataFrame, cursor: str) -> DataFrame:
 
 
 def by_prefix(prefixes: DataFrame, ledger: DataFrame) -> DataFrame:
-    """prefix, id, matches: what each id prefix stands for; null where it is not unique. Met by the first eight characters."""
-    ids = ledger.select("id")
-    short = prefixes.where(F.length("prefix") < 8).select("prefix", F.length("prefix").alias("n"))
-    met = prefixes.where(F.length("prefix") >= 8).withColumn("k", F.substring("prefix", 1, 8)).join(ids.withColumn("k", F.substring("id", 1, 8)), "k").where(F.col("id").startswith(F.col("prefix"))).select("prefix", "id")
-    lengths = short.select("n").distinct()
-    cut = ids.join(F.broadcast(lengths)).select("id", F.substring("id", F.lit(1), F.col("n")).alias("prefix"))  # at most seven lengths
-    met = met.unionByName(cut.join(short.select("prefix"), "prefix").select("prefix", "id"))
-    n = met.groupBy("prefix").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
+    """prefix, id, matches: what each id prefix stands for; null where it is not unique. Ids are cut to the lengths that prefixes have,
+    so both sides meet on equal text whatever the ids have in common."""
+    asked = prefixes.select("prefix", F.length("prefix").alias("n"))
+    # as many lengths as an id has characters, at most
+    cut = ledger.select("id").join(F.broadcast(asked.select("n").distinct()), F.length("id") >= F.col("n")).select("id", F.substring("id", F.lit(1), F.col("n")).alias("prefix"))
+    n = cut.join(asked.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
     return prefixes.join(n, "prefix", "left").select("prefix", F.when(F.col("matches") == 1, F.col("id")).alias("id"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+#: The headings of a page's sections, and the fields that procedure pages have and others have not.
+HEADINGS = ("# Compiled truth", "# Timeline", "# Sources")
+PROCEDURE_FIELDS = ("status", "success_count", "fail_count")
+
+
+def front_matter_errors(meta: Column) -> Column:
+    """What is wrong with a page's front matter: slug, a missing type or title, an entity without a tier, procedure fields that are
+    missing, negative, or on another page."""
+    get = lambda k: F.nullif(F.try_element_at(meta, F.lit(k)), F.lit(""))
+    procedure = F.coalesce(get("type") == "procedure", F.lit(False))
+    counts = [get(k).try_cast("long") for k in PROCEDURE_FIELDS[1:]]
+    checks = {
+        "slug": ~F.coalesce(T.valid_slug(get("slug")), F.lit(False)),
+        "type": get("type").isNull(),
+        "title": get("title").isNull(),
+        "tier": F.coalesce(get("type") == "entity", F.lit(False)) & ~F.coalesce(get("tier").isin("1", "2", "3"), F.lit(False)),
+        "procedure fields": F.when(procedure, get("status").isNull() | T.any_of([F.coalesce(c < 0, F.lit(True)) for c in counts])).otherwise(T.any_of([get(k).isNotNull() for k in (*PROCEDURE_FIELDS, "last_run")])),
+    }
+    return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))
+
+
 def parse_pages(raw: DataFrame) -> DataFrame:
-    """raw(path, text) -> front matter, compiled text, timeline and sources of wiki pages, with errors."""
+    """raw(path, text) -> front matter, compiled text, timeline and sources of wiki pages, with errors: those of the front matter,
+    sections (two or three, under their headings), timeline lines that do not fit."""
     meta, body = split_front_matter(F.col("text"))
-    groups = F.transform(F.split(body, r"\n---\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"(?m)^#+ .*$", "")), r"^\s+|\s+$", ""))
+    groups = F.transform(F.split(body, r"\n---\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    inner = lambda i: F.regexp_replace(F.regexp_replace(F.coalesce(F.get("groups", F.lit(i)), F.lit("")), r"\A#[^\n]*(?:\n|\z)", ""), r"^\s+|\s+$", "")
     lines = lambda c: F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    out = raw.select("path", meta.alias("frontmatter"), F.element_at(groups, 1).alias("compiled_truth"), lines(F.coalesce(F.get(groups, F.lit(1)), F.lit(""))).alias("timeline"), F.transform(lines(F.coalesce(F.get(groups, F.lit(2)), F.lit(""))), lambda x: F.regexp_replace(x, r"^- ", "")).alias("sources"))
+    out = raw.select("path", meta.alias("frontmatter"), groups.alias("groups"))
+    out = out.select("path", "frontmatter", "groups", inner(0).alias("compiled_truth"), lines(inner(1)).alias("timeline"), F.transform(lines(inner(2)), lambda x: F.regexp_replace(x, r"^- ", "")).alias("sources"))
+    headed = F.forall(F.transform("groups", lambda g, i: F.coalesce(F.trim(F.substring_index(g, "\n", 1)) == F.get(F.array(*map(F.lit, HEADINGS)), i), F.lit(False))), lambda ok: ok)
     bad_line = ~F.forall("timeline", lambda x: x.rlike(T.TIMELINE_ENTRY))
-    return out.withColumn("errors", F.array_compact(F.array(F.when(~F.coalesce(T.valid_slug(F.try_element_at("frontmatter", F.lit("slug"))), F.lit(False)), "slug"), F.when(bad_line, "timeline"))))
+    more = F.array_compact(F.array(F.when(~F.size("groups").between(2, 3) | ~headed, "sections"), F.when(bad_line, "timeline")))
+    return out.withColumn("errors", F.concat(front_matter_errors(F.col("frontmatter")), more)).drop("groups")
 
 
-def parse_reviews(raw: DataFrame) -> DataFrame:
-    """raw(review_id, text) -> kind, status, action, payload and errors of review items."""
-    meta, body = split_front_matter(F.col("text"))
+def parse_reviews(raw: DataFrame, shape: str | None = None) -> DataFrame:
+    """raw(review_id, text) -> kind, status, action, payload, fields and errors of review items.
+
+    payload: the first JSON fence that holds an object, or with `shape` (a field name) the first object that has that field;
+    fields: the `- key: value` lines.
+    """
+    meta, _ = split_front_matter(F.col("text"))
     checked = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:[-*]\s*)?\[[xX]\]\s*(.+?)\s*$"), F.lit(1)), review_action))
     fence = F.regexp_extract_all("text", F.lit(r"(?s)```json\n(.*?)\n```"), F.lit(1))
-    payload = F.get(fence, F.lit(0))
-    out = raw.select("review_id", F.regexp_extract("review_id", r"^\d{4}-\d{2}-\d{2}_\d+_(.+)$", 1).alias("kind"), F.coalesce(F.lower(F.try_element_at(meta, F.lit("status"))), F.lit("pending")).alias("status"), F.when(F.size(checked) == 1, F.get(checked, F.lit(0))).otherwise("none").alias("action"), payload.alias("payload"), F.size(checked).alias("_n"))
+    fits = F.filter(fence, lambda x: F.array_contains(F.json_object_keys(x), shape) if shape else F.json_object_keys(x).isNotNull())
+    bullets = F.filter(F.regexp_extract_all("text", F.lit(r"(?m)^\s*[-*]\s+([A-Za-z_][\w ]*:[ \t]*\S.*?)\s*$"), F.lit(1)), lambda x: ~x.startswith("["))
+    fields = F.map_from_entries(F.transform(F.array_distinct(F.transform(bullets, lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))))), lambda k: F.struct(k.alias("k"), F.trim(F.regexp_replace(F.get(F.filter(bullets, lambda b: F.lower(F.trim(F.substring_index(b, ":", 1))) == k), F.lit(0)), "^[^:]*:", "")).alias("v"))))
+    out = raw.select("review_id", F.regexp_extract("review_id", r"^\d{4}-\d{2}-\d{2}_\d+_(.+)$", 1).alias("kind"), F.coalesce(F.lower(F.try_element_at(meta, F.lit("status"))), F.lit("pending")).alias("status"), F.when(F.size(checked) == 1, F.get(checked, F.lit(0))).otherwise("none").alias("action"), F.coalesce(F.get(fits, F.lit(0)), F.get(fence, F.lit(0))).alias("payload"), fields.alias("fields"), F.size(checked).alias("_n"))
     broken = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
     return out.withColumn("errors", F.array_compact(F.array(F.when(F.col("_n") > 1, "several decisions"), F.when(broken, "payload")))).drop("_n")
 

@@ -34,18 +34,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def apply_once(stream: DataFrame, key: list[str], out: str, checkpoint: str, apply: Callable[[DataFrame], DataFrame] = lambda df: df, available_now: bool = True) -> StreamingQuery:
+def apply_once(stream: DataFrame, key: list[str], out: str, checkpoint: str, apply: Callable[[DataFrame], DataFrame] = lambda df: df, available_now: bool = True, newest: str | None = None) -> StreamingQuery:
     """Append apply(rows) to the table `out`, each key once over all batches and restarts.
 
     Rows of a batch whose key the table holds are left out, and a batch is its own partition, so a batch that is run again
-    overwrites itself.
+    overwrites itself. With `newest` (a column that grows with time, as ids do, and is part of the key), only the part of the
+    table that can hold a key of the batch is read: batches whose smallest and largest value reach into it.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         new = df.dropDuplicates(key)
         if _exists(spark, out):
-            done = spark.read.parquet(out).where(F.col("batch_id") != batch_id).select(*key)
+            done = spark.read.parquet(out).where(F.col("batch_id") != batch_id)
+            if newest:
+                low, high = new.agg(F.min(newest), F.max(newest)).first()
+                done = done.where(F.col(newest).between(low, high))  # reaches the scan as a pushed filter
+            done = done.select(*key)
             new = new.join(done, key, "left_anti")
         apply(new).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)
 
@@ -59,17 +64,26 @@ def mention_counts(mentions: DataFrame) -> DataFrame:
 
 
 def tier_alerts(mentions: DataFrame, tier2: int = 3, tier1: int = 8) -> DataFrame:
-    """entity_id, proposed_tier, mentions: each proposal once, when its count is reached."""
+    """entity_id, proposed_tier, mentions: each proposal once, when its count is reached.
+
+    mentions: entity_id of each mention and, where the column is there, rejected: the tier of a proposal that was turned
+    down, in a row that counts as no mention. After a rejection at n mentions the tier is proposed again at
+    n + max(10, half of n).
+    """
+    rows = mentions.select("entity_id", F.col("rejected").cast("int").alias("rejected") if "rejected" in mentions.columns else F.lit(None).cast("int").alias("rejected"))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        now = before + sum(map(len, parts))
-        state.update((now,))
-        due = [(key[0], tier, at) for tier, at in ((2, tier2), (1, tier1)) if before < at <= now]
+        n, at2, at1 = state.get if state.exists else (0, tier2, tier1)
+        b = pd.concat(list(parts))
+        before, n = n, n + int(b.rejected.isna().sum())
+        due = [(key[0], tier, at) for tier, at in ((2, at2), (1, at1)) if before < at <= n]
+        again = n + max(10, (n + 1) // 2)
+        at2, at1 = (again if (b.rejected == tier).any() else at for tier, at in ((2, at2), (1, at1)))
+        state.update((n, at2, at1))
         if due:
             yield pd.DataFrame(due, columns=["entity_id", "proposed_tier", "mentions"])
 
-    return mentions.select("entity_id").groupBy("entity_id").applyInPandasWithState(step, "entity_id string, proposed_tier int, mentions long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("entity_id").applyInPandasWithState(step, "entity_id string, proposed_tier int, mentions long", "n long, at2 long, at1 long", "append", GroupStateTimeout.NoTimeout)
 
 
 def procedure_states(runs: DataFrame, stable_at: int = 5, unstable_at: int = 2) -> DataFrame:
