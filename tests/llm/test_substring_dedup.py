@@ -59,3 +59,28 @@ def test_odd_tables(spark):
     got = sorted((r.doc_id or 99, r.n_removed) for r in dedup_substrings(docs.withColumn("n_words", docs.doc_id)).collect())
     assert got == [(1, 0), (1, 0), (2, 30), (99, 30)]
     assert dedup_substrings(docs.limit(0)).collect() == []
+
+
+def test_factors_are_copies_that_reach_farthest(spark):
+    rng = random.Random(6)
+    source = [[f"s{d}w{rng.randrange(60)}" for _ in range(120)] for d in range(4)]
+    rows = [(d, " ".join(w)) for d, w in enumerate(source)]
+    for i in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            w, a = rng.choice(source), rng.randrange(60)
+            text += w[a : a + rng.randrange(15, 60)] + [f"own{i}x{rng.randrange(9)}" for _ in range(rng.randrange(3))]
+        rows.append((10 + i, " ".join(text)))
+    rows += [(100, None), (101, ""), (None, rows[12][1])]
+    words = {i: (t or "").split() for i, t in rows}
+    for parts in (1, 5):
+        got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), factors=True).collect()
+        assert len(got) == len(rows) and sum(len(r.factors) for r in got) > 60
+        for r in got:
+            own, covered, at = words[r.doc_id], set(), 0
+            for f in r.factors:
+                assert f.start >= at and words[f.ref_id][f.ref_start : f.ref_start + f.length] == own[f.start : f.start + f.length]
+                assert (f.ref_id if f.ref_id is not None else 999, f.ref_start) < (r.doc_id if r.doc_id is not None else 999, f.start)
+                at = f.start + f.length
+                covered.update(range(f.start, at))
+            assert len(covered) == r.n_removed == sum(f.length for f in r.factors)

@@ -88,4 +88,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join)}
-ORACLES: dict[str, str] = {}
+#: SQL can express three of them on small tables; the others have models, tokenizers, edit distances or templates.
+_COMPONENTS = """r as (select a as node, b as seen from bi union select r.node, bi.b from r join bi on bi.a = r.seen), c as (select node, min(seen) as least from r group by 1)"""
+_CAPITALS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents),
+ p as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from w),
+ x as (select doc_id, i, md5(array_to_string(list_slice(words, i, i + 19), ' ')) as h from (select doc_id, words, unnest(range(1, len(words) - 18)) as i from w)),
+ f as (select h, min(doc_id * 10000000 + i) as first from x group by h), d as (select x.doc_id, x.i from x join f using (h) where x.doc_id * 10000000 + x.i > f.first),
+ g as (select distinct doc_id, i + j as i from d, (select unnest(range(20)) as j)), k as (select p.doc_id, count(g.i) as n_removed, coalesce(string_agg(word, ' ' order by p.i) filter (g.i is null), '') as kept from p left join g using (doc_id, i) group by 1)
+ select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)""",
+    "op7_embedding_dedup": f"""with recursive e as (select vec_id, label, embedding::double[] as v, label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as sound from embeddings),
+ l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v) where a.sound and b.sound and list_cosine_similarity(a.v, b.v) >= 0.98), bi as (select a, b from l union all select b, a from l), {_COMPONENTS},
+ n as (select a as vec_id, count(*) as n from bi group by 1) select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, vec_id <= coalesce(least, vec_id) as kept from e left join n using (vec_id) left join c on node = vec_id""",
+    "op10_ngram_jaccard_join": rf"""with recursive w as (select doc_id, coalesce(regexp_extract_all({_CAPITALS}, '[^\x20\x09-\x0D]+'), []) as words from documents),
+ s as (select distinct doc_id, md5(array_to_string(list_slice(words, i, i + 2), ' ')) as g from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 1))) as i from w where len(words) > 0)), z as (select doc_id, count(*) as n from s group by 1),
+ m as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2), l as (select m.a, m.b from m join z x on x.doc_id = m.a join z y on y.doc_id = m.b where 100 * m.n >= 90 * (x.n + y.n - m.n)),
+ bi as (select a, b from l union all select b, a from l), {_COMPONENTS} select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(least, doc_id)) as component_id from w left join z using (doc_id) left join c on node = doc_id""",
+}
