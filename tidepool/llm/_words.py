@@ -5,7 +5,7 @@ A word is a maximal run of bytes other than space and \\x09-\\x0D, which is [^\\
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,12 +84,26 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count and np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        return text_buffers(pc.fill_null(column, ""))
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and column.buffers()[2].size else np.zeros(0, np.uint8)
     return data, offsets
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving Arrow's unused memory back at the end of a task: a Python worker lives on for the tasks of later stages."""
+
+    def leaned(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return leaned
+
+
 def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets from 0) of runs of whole documents of about CHUNK bytes."""
     data, offsets = text_buffers(column)

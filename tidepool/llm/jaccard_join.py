@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm._shared import NULL_ID, ROW_KEY, connected_components, row_key, written
-from tidepool.llm._words import Spans, Words, batch_words, mix
+from tidepool.llm._words import Spans, Words, batch_words, lean, mix
 
 SHINGLE, PERCENT = 3, 90
 #: Ratio of a size band's ends, and the share of parts above the least number, so that parts of few shingles can be passed over.
@@ -234,21 +234,21 @@ def _met_in_leaves(open_: DataFrame, members: DataFrame, percent: int) -> DataFr
     rows = rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "x", "kind", "class")
     rows = rows.join(members.select(F.col("s1").alias("x"), "n", "cells"), "x").select("cell", "a", "b", "own", "x", "kind", "class", "n", "cells")
     rows = rows.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
-    return rows.mapInArrow(_leaf_pairs(percent), "p long, x long").distinct()
+    return rows.mapInArrow(lean(_leaf_pairs(percent)), "p long, x long").distinct()
 
 
 def _distances(pairs: DataFrame, members: DataFrame, shingle: int, percent: int, wide: int) -> DataFrame:
     """p, x, divides, linked of the pairs (p, x, divides) that have at least `wide` percent in common."""
     sizes = members.select("s1", "n", "cells")
     sized = lambda c: sizes.select(F.col("s1").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
-    possible = pairs.join(sized("p"), "p").join(sized("x"), "x").select("p", "x", "divides", "n_p", "n_x", "c_p", "c_x").mapInArrow(_possible(wide), "p long, x long, divides boolean")
+    possible = pairs.join(sized("p"), "p").join(sized("x"), "x").select("p", "x", "divides", "n_p", "n_x", "c_p", "c_x").mapInArrow(lean(_possible(wide)), "p long, x long, divides boolean")
     possible = written(possible, "possible")
     blocks = possible.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = possible.join(blocks, "p").select("p", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"), "x", "divides")
     own = blocks.select("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("p").alias("x"), F.lit(False).alias("divides"))
     rows = dealt.unionByName(own).join(members.select(F.col("s1").alias("x"), "text"), "x")
     rows = rows.repartition("p", "block").sortWithinPartitions("p", "block", F.col("p") != F.col("x"))
-    return rows.select("p", "x", "divides", "text").mapInArrow(_compared(shingle, percent, wide), "p long, x long, divides boolean, linked boolean")
+    return rows.select("p", "x", "divides", "text").mapInArrow(lean(_compared(shingle, percent, wide)), "p long, x long, divides boolean, linked boolean")
 
 
 _CELL, _NEAR, _WINDOW = 0, 1, 2
@@ -319,7 +319,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id but not the text, null ids included, are different members.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
-    profile = written(known.mapInArrow(_profiles(shingle, percent), "doc_id long, rid long, h1 long, h2 long, n long, s1 long, s2 long, keys array<long>, cells binary"), "profiles")
+    profile = written(known.mapInArrow(lean(_profiles(shingle, percent)), "doc_id long, rid long, h1 long, h2 long, n long, s1 long, s2 long, keys array<long>, cells binary"), "profiles")
     cells = written(_cells(profile), "cells")
     members = cells.select(F.col("x").alias("s1")).distinct().join(profile.where("cells is not null").select("s1", "n", "cells", *ROW_KEY), "s1").dropDuplicates(["s1"])
     members = written(members, "members")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._words import Words, batch_words, mix
+from tidepool.llm._words import Words, batch_words, lean, mix
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: At most so many labelled documents are used for training; the table is fixed in size, so more add little.
@@ -85,7 +85,7 @@ def _sample(labelled: DataFrame, text_col: str, lang_col: str, sample: int):
             break
         share *= 4
     picked = known.where(F.col("h") <= keys[-1].h) if keys else known.limit(0)
-    bags = picked.mapInArrow(_bags, "h long, lang string, buckets binary, counts binary").dropDuplicates(["h", "lang"]).toPandas()
+    bags = picked.mapInArrow(lean(_bags), "h long, lang string, buckets binary, counts binary").dropDuplicates(["h", "lang"]).toPandas()
     return bags.sort_values(["h", "lang"]).head(sample)
 
 
@@ -105,9 +105,8 @@ class LanguageModel:
                 best, score = [], []
                 for w in batch_words(b.column(b.num_columns - 1), lower=True):
                     inverse, found, ends = word_buckets(w)
-                    sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.table[found], 0, dtype=np.float64)])
                     begin = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else ends
-                    per_word = sums[ends] - sums[begin] if len(ends) else np.zeros((0, len(self.languages)))
+                    per_word = np.add.reduceat(self.table[found], begin, axis=0, dtype=np.float64) if len(ends) else np.zeros((0, len(self.languages)))
                     run_ = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(per_word[inverse], 0)])
                     count = np.append(0, np.cumsum((ends - begin)[inverse] if len(ends) else inverse))
                     n = np.maximum(1, count[w.offsets[1:]] - count[w.offsets[:-1]])
@@ -182,7 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     keep = [k for k, n in enumerate(rows.columns) if n != "text" or text_col in carry]
     if model.languages:
         kinds = dict(rows.dtypes)
-        rows = rows.mapInArrow(model.scorer(keep), ", ".join(f"{rows.columns[k]} {kinds[rows.columns[k]]}" for k in keep) + ", _lang string, _score double")
+        rows = rows.mapInArrow(lean(model.scorer(keep)), ", ".join(f"{rows.columns[k]} {kinds[rows.columns[k]]}" for k in keep) + ", _lang string, _score double")
     else:
         rows = rows.withColumns({"_lang": F.lit(UNKNOWN), "_score": F.lit(0.0)})
     lang, score = F.when(F.col("known"), F.col("_lang")).otherwise(UNKNOWN), F.when(F.col("known"), F.col("_score")).otherwise(0.0)

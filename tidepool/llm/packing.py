@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm._shared import written
-from tidepool.llm._words import text_buffers
+from tidepool.llm._words import lean, text_buffers
 
 SEQUENCE, END_ID = 2048, 0
 #: Distinct words (about 200 bytes each) that a Python worker remembers the ids of, over all its tasks, before it starts over.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class WordIds(dict):
@@ -128,7 +128,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    pieces = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(_pieces(tokenizer, length, end_id, keep_ids), schema), "pieces")
+    pieces = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(lean(_pieces(tokenizer, length, end_id, keep_ids)), schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = docs.sparkSession.createDataFrame(plan_places(counts, length), "length long, first_rank long, ranks long, first_sequence long, offset long")
     # ranks without one task per length: each length is dealt into parts that are numbered by themselves
