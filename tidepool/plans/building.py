@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
-from tidepool.operators import assemble, chunks, importing, maintain
+from tidepool.operators import assemble, chunks, importing, ingest, maintain
 from tidepool.operators.retrieval import ranked
 from tidepool.plans.catalog import query
 from tidepool.plans.views import DIMENSION, MODEL, Tables
@@ -91,8 +91,7 @@ def ledger_after_cursor(t: Tables) -> DataFrame:
 def cursor_advance(t: Tables) -> DataFrame:
     """The last event before the first unfinished one."""
     ledger = t.ledger()
-    open_ = ledger.where("event_id % 1000 = 997").agg(F.min("id").alias("stop"))
-    return ledger.join(F.broadcast(open_)).where("id < stop").agg(F.max("id").alias("cursor"))
+    return ingest.advanced_cursor(ledger, ledger.where("event_id % 1000 = 997"))
 
 
 @query("select id, kind, page_slug, rank from (select id, kind, page_slug, row_number() over (partition by page_slug order by id desc) as rank from kb_ledger where kind = 'ai_chat') where rank <= 10")

@@ -382,11 +382,11 @@ def resumed_files(t: Tables) -> DataFrame:
     return importing.resumed(f, importing.registered(f, "j").unionByName(importing.marked(done, "j", 1)), "j").select("doc_id")
 
 
-@query("select count(*) as files, (sum(greatest(1, (size + 3) // 4)) + 1500 * count(*))::bigint as tokens, round(sum(usd), 6) as usd, sum(docs)::bigint as documents from (select kind, size, case when kind in ('pdf', 'jsonl') or size <= 8000 then 1 else greatest(1, len(regexp_extract_all(text, '(?m)^#{1,6}\\s+.+$'))) end as docs, (greatest(1, (size + 3) // 4) + 500) / 1e6 * 3 + 1000 / 1e6 * 0.02 as usd from kb_files where doc_id % 3 <> 0 and file_hash not in (select file_hash from kb_files where doc_id % 3 = 0 and (status in ('extracted', 'ingested') or not aborted)))")
+@query("select count(*) as files, (sum(greatest(1, (size + 3) // 4)) + 1500 * count(*))::bigint as tokens, round(sum(usd), 4) as usd, sum(docs)::bigint as documents from (select kind, size, case when kind in ('pdf', 'jsonl') or size <= 8000 then 1 else greatest(1, len(regexp_extract_all(text, '(?m)^#{1,6}\\s+.+$'))) end as docs, (greatest(1, (size + 3) // 4) + 500) / 1e6 * 3 + 1000 / 1e6 * 0.02 as usd from kb_files where doc_id % 3 <> 0 and file_hash not in (select file_hash from kb_files where doc_id % 3 = 0 and (status in ('extracted', 'ingested') or not aborted)))")
 def dry_import(t: Tables) -> DataFrame:
     """What an import would cost, without doing it."""
     f = t.files()
-    return importing.dry_counts(f.where("doc_id % 3 <> 0"), f.where("doc_id % 3 = 0")).withColumn("usd", F.round("usd", 4)).withColumn("usd", F.round("usd", 4))
+    return importing.dry_counts(f.where("doc_id % 3 <> 0"), f.where("doc_id % 3 = 0")).withColumn("usd", F.round("usd", 4))
 
 
 @query(f"with {_DIFF}, y as (select count(*) filter (action <> 'orphan') as scanned, count(*) filter (action = 'added') as added, count(*) filter (action = 'updated') as updated, count(*) filter (action = 'orphan') as removed, count(*) filter (action = 'unchanged') as unchanged, 25 as private from x), z as (select sum(greatest(1, ceil(length(text) / 3.5)))::bigint as tokens from c join x using (page_slug) where action in ('added', 'updated')) select *, round(tokens / 1e6 * 0.02, 6) as usd from y, z")
