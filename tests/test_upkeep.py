@@ -108,6 +108,17 @@ def test_tier_alerts_wait_after_a_rejection(spark, tmp_path):
     assert out == [("a", 2, 3), ("a", 2, 13)]
 
 
+def test_forced_pages_and_snapshot_come_first(spark):
+    from tidepool.operators import assemble
+
+    pages = spark.createDataFrame([("a", "A", "alpha"), ("b", "B", "beta"), ("c", "C", "gamma")], "page_slug string, title string, text string")
+    found = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "query_id int, rank int, page_slug string")
+    q = spark.createDataFrame([(1, "q")], "query_id int, query string")
+    got = assemble.inject(found, pages, q, 500, include=("c", "b"), snapshot="now").first().context
+    assert got == "## Snapshot\n\nnow\n\n## C\n\ngamma\n\n## B\n\nbeta\n\n## A\n\nalpha"
+    assert assemble.inject(found, pages, q, 500).first().context == "## A\n\nalpha\n\n## B\n\nbeta"
+
+
 def test_typed_tables(spark, tmp_path):
     row = spark.createDataFrame([("e", "person", "E", 2)], "id string, type string, title string, tier int")
     tables.write_table(row, str(tmp_path), "entities")

@@ -38,8 +38,17 @@ def pack(fragments: DataFrame, budget: int) -> DataFrame:
     return fragments.groupBy("query_id").agg(F.aggregate(rows, start, take)["out"].alias("out")).select("query_id", F.inline("out"))
 
 
-def inject(results: DataFrame, pages: DataFrame, queries: DataFrame, budget: int) -> DataFrame:
-    """query_id, context: the ranked pages of each question as one Markdown text within the token budget."""
+def inject(results: DataFrame, pages: DataFrame, queries: DataFrame, budget: int, include: tuple[str, ...] = (), snapshot: str | None = None) -> DataFrame:
+    """query_id, context: the ranked pages of each question as one Markdown text within the token budget.
+
+    A snapshot's text stands first, then the pages of `include` in their order, whatever their rank; both count against the budget.
+    """
+    if snapshot is not None:
+        pages = pages.select("page_slug", "title", "text").unionByName(queries.sparkSession.createDataFrame([("snapshot", "Snapshot", snapshot)], "page_slug string, title string, text string"))
+        include = ("snapshot", *include)
+    if include:
+        forced = queries.select("query_id", F.posexplode(F.array(*map(F.lit, include))).alias("i", "page_slug")).select("query_id", (F.col("i") - len(include)).cast("int").alias("rank"), "page_slug")
+        results = forced.unionByName(results.select("query_id", F.col("rank").cast("int").alias("rank"), "page_slug").where(~F.col("page_slug").isin(*include)))
     body = results.select("query_id", "rank", "page_slug").join(pages.select("page_slug", "title", "text"), "page_slug").join(queries, "query_id")
     body = body.withColumn("whole", F.concat(F.lit("## "), "title", F.lit("\n\n"), "text")).withColumn("tokens", T.approximate_tokens(F.col("whole")).cast("long"))
     packed = pack(body.select("query_id", "rank", "page_slug", "tokens"), budget).where("action <> 'skipped'")
