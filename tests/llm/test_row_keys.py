@@ -34,4 +34,6 @@ def test_benchmark(spark, tmp_path):
     rows = [(None, text("q", 20) + " x"), (None, text("a")), (4, text("q", 20) + " y"), (4, text("b"))]
     docs, want = rows_of(spark, rows), [(4, text("b")), (None, text("a"))]
     assert kept(corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))) == want
+    docs = docs.withColumns({c: docs.doc_id for c in ("_bad", "rid", "h1", "_rid", "overlapping")})
+    assert kept(corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))) == want
     assert kept(decontaminate(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet")))) == want

@@ -69,8 +69,8 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     With any_length every item shorter than the window is found that the share admits, single tokens included. Without it
     such items are found only where a mask survives, and those with fewer than six tokens never. Null and empty texts
     overlap with nothing. Rows of either table with a null id are
-    compared too (a null id comes back as null); repeated rows give one pair. Other columns are ignored; empty tables give
-    no rows.
+    compared too (a null id comes back as null); repeated rows give one pair; of diagonals that tie the first counts. Texts are read
+    whole, whatever their length. Other columns are ignored; empty tables give no rows.
     """
     pairs = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share, any_length)
     # numbers only, so the largest can be kept before the shuffle
@@ -121,6 +121,10 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, that have no overlap with the benchmark."""
-    bad = overlapping_rows(docs, benchmark, id_col, text_col, **options).select(F.struct(*ROW_KEY).alias("_bad"))
-    return docs.join(bad, F.struct(*row_key(id_col, text_col)) == F.col("_bad"), "left_anti")
+    """The rows of docs, with all their columns, that have no overlap with the benchmark.
+
+    Columns may have any name. A row goes by its own id and text, so rows with a null or repeated id and another text stay.
+    """
+    bad = overlapping_rows(docs, benchmark, id_col, text_col, **options).select(F.struct(*ROW_KEY).alias("_bad")).alias("overlapping")
+    own = [k.alias(n) for k, n in zip(row_key(id_col, text_col), ROW_KEY, strict=True)]
+    return docs.join(bad, F.struct(*own) == F.col("overlapping._bad"), "left_anti")
