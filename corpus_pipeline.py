@@ -5,7 +5,7 @@ All stages but the last return the columns of documents (doc_id, text, lang, sou
 last returns the packed pieces. n_chars follows the text where a stage changes it.
 
 Rows without text are rejected by the first stage. Each stage works on all rows that the one before kept; an empty table
-passes through as one. Rows that repeat a doc_id with the same text are the same document for the stages that keep one; rows that
+passes through as one. Columns beside those of documents are left out, whatever their names. Rows that repeat a doc_id with the same text are the same document for the stages that keep one; rows that
 share an id (or have none) but not the text are different documents, and each goes or stays by its own text.
 """
 
@@ -53,7 +53,7 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     gone = written(rows.select(*(F.col(c).alias(f"_{c}") for c in ROW_KEY)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     same = [c == F.col(f"_{k}") for k, c in zip(ROW_KEY, row_key("doc_id", "text"), strict=True)]
-    return docs.join(gone, same, "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(gone, same, "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
