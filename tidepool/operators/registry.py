@@ -68,10 +68,14 @@ def provenance(text: Column, depth: int = DEPTH) -> tuple[Column, Column]:
     one = rf"{front}|{line}"
 
     def peel(s, _):
-        rest = F.regexp_extract(s["body"], one, 0)
-        return F.struct(F.when(rest == "", s["body"]).otherwise(trim(F.regexp_replace(s["body"], one, ""))).alias("body"), F.concat(s["head"], rest, F.lit("\n")).alias("head"))
+        def without(rest):
+            body = F.when(rest == "", s["body"]).otherwise(trim(F.substring(s["body"], F.length(rest) + 1, F.length(s["body"]))))
+            return F.struct(body.alias("body"), F.concat(s["head"], rest, F.lit("\n")).alias("head"), (rest == "").alias("done"))
 
-    start = F.struct(trim(text).alias("body"), F.lit("").alias("head"))
+        # a lambda's argument is evaluated once, and nothing is once the last header is off
+        return F.when(s["done"], s).otherwise(F.get(F.transform(F.array(F.regexp_extract(s["body"], one, 0)), without), F.lit(0)))
+
+    start = F.struct(trim(text).alias("body"), F.lit("").alias("head"), F.lit(False).alias("done"))
     # a layer is at most a front matter and a header
     out = F.aggregate(F.sequence(F.lit(1), F.lit(2 * depth)), start, peel)
     marks = F.transform(F.regexp_extract_all(out["head"], F.lit(r"(?m)^[ \t]*privacy:([^\n]*)"), F.lit(1)), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+$", "")), "^[\"']|[\"']$", ""))
