@@ -31,7 +31,7 @@ SHINGLE, PERCENT = 3, 90
 #: Ratio of a size band's ends, and the share of parts above the least number, so that parts of few shingles can be passed over.
 BAND, SLACK = 1.3, 0.1
 #: Pivots of a cell in the first round; each later round has so many times more. Rounds of pivots, at most.
-PIVOTS, MORE, ROUNDS = 1, 4, 4
+PIVOTS, MORE, ROUNDS = 1, 3, 3
 #: Members of a cell that one task compares with each other.
 LEAF = 2_000
 #: Members of a pivot's region that one task compares with it.
@@ -227,9 +227,9 @@ def _pairs_batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, x)), pa.array(np.maximum(p, x))], names=["p", "x"])
 
 
-def _met_in_leaves(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _met_in_leaves(open_: DataFrame, members: DataFrame, percent: int, leaf: int) -> DataFrame:
     """p, x of the members of open cells that may be linked and are not of one class yet."""
-    blocks = open_.groupBy("cell").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+    blocks = open_.groupBy("cell").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks"))
     rows = open_.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "x", "kind", "class")
     rows = rows.join(members.select(F.col("s1").alias("x"), "n", "cells"), "x").select("cell", "a", "b", "own", "x", "kind", "class", "n", "cells")
@@ -254,7 +254,7 @@ def _distances(pairs: DataFrame, members: DataFrame, shingle: int, percent: int,
 _CELL, _NEAR, _WINDOW = 0, 1, 2
 
 
-def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[dict[str, int]]]:
+def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int, leaf: int) -> tuple[DataFrame, list[dict[str, int]]]:
     """(node, component) of all members that are linked to a smaller one, directly or not; and what each round did.
 
     Rows (cell, x, kind, class) are open: kind tells members of a cell from those near a region's pivot and in its window.
@@ -291,10 +291,10 @@ def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int) ->
         largest = open_.groupBy("cell").count().agg(F.max("count")).first()[0]
         if largest is None:
             return component, rounds
-        if largest <= LEAF:
+        if largest <= leaf:
             break
         pivots *= MORE
-    found = _met_in_leaves(open_, members, percent).withColumn("divides", F.lit(False))
+    found = _met_in_leaves(open_, members, percent, leaf).withColumn("divides", F.lit(False))
     return joined(written(_distances(found, members, shingle, percent, percent), "judged")), rounds
 
 
@@ -313,10 +313,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return classes.select("doc_id", "n_shingles", F.nullif("first.rid", F.lit(NULL_ID)).alias("component_id"))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, leaf: int | None = None) -> DataFrame:
     """doc_id, rid, h1, h2 (the row's key), n_shingles, first: the smallest row key of the class, of every row; see jaccard_components.
 
-    Rows that share an id but not the text, null ids included, are different members.
+    Rows that share an id but not the text, null ids included, are different members. leaf (None: LEAF) changes the work and no
+    result: with wide limits, where many members of a cell are linked, smaller leaves leave more of it to pivots.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
     profile = written(known.mapInArrow(lean(_profiles(shingle, percent)), "doc_id long, rid long, h1 long, h2 long, n long, s1 long, s2 long, keys array<long>, cells binary"), "profiles")
@@ -327,7 +328,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_MEMBERS else wanted
     texts = wanted.join(known.select(*ROW_KEY, "text"), list(ROW_KEY)).select("s1", "text").dropDuplicates(["s1"])
     members = written(members.drop(*ROW_KEY).join(texts, "s1"), "texts")
-    component, _ = _links(cells, members, shingle, percent)
+    component, _ = _links(cells, members, shingle, percent, leaf or LEAF)
 
     # the sums of equal sets are equal, so every row finds its class by them
     sets = profile.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(*ROW_KEY)).alias("own"))
