@@ -20,6 +20,8 @@ from tidepool.llm._shared import ROW_KEY, row_key, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Stages on word shingles take five words; 80 % of them in common makes two documents copies of one.
 SHINGLE, PERCENT = 5, 80
+#: Members of a cell that are compared without further pivots; at 80 % most of a large cell is linked by a few pivots.
+LEAF = 500
 #: Keys of rows to leave out (32 bytes each) up to this many are sent to every executor.
 BROADCAST_IDS = 2_000_000
 
@@ -39,7 +41,7 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id (and text hashes, where ids repeat) of each class of near copies."""
-    classes = jaccard_join.jaccard_classes(docs, shingle=SHINGLE, percent=PERCENT)
+    classes = jaccard_join.jaccard_classes(docs, shingle=SHINGLE, percent=PERCENT, leaf=LEAF)
     return _without(docs, classes.where(F.struct(*ROW_KEY) != F.col("first")))
 
 
