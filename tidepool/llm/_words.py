@@ -115,12 +115,17 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def byte_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each byte, to be summed by Spans."""
+    return _BYTE[data]
+
+
+def words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(first, data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     begins = ink.copy()
     begins[1:] &= ~ink[:-1]
     ends = ink.copy()

@@ -87,7 +87,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidepool.llm.token_files import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join, op11_token_files)}
 #: SQL can express three of them on small tables; the others have models, tokenizers, edit distances or templates.
 _COMPONENTS = """r as (select a as node, b as seen from bi union select r.node, bi.b from r join bi on bi.a = r.seen), c as (select node, min(seen) as least from r group by 1)"""
 _CAPITALS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
