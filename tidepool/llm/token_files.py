@@ -211,11 +211,15 @@ class ChunkIds:
 _KNOWN: dict[str, ChunkIds] = {}
 
 
-def encoded(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of some documents one after the other, and each document's number of ids."""
+def _known(path: str) -> ChunkIds:
     if path not in _KNOWN:
         _KNOWN[path] = ChunkIds(path)
-    known = _KNOWN[path]
+    return _KNOWN[path]
+
+
+def encoded(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of some documents one after the other, and each document's number of ids."""
+    known = _known(path)
     kind = f"<u{known.width}"
     if not len(data):
         return np.zeros(0, kind), np.zeros(len(offsets) - 1, np.int64)
@@ -240,7 +244,7 @@ def _files(path: str, end_id: int, limit: int):
         def close():
             ids = b"".join(held)
             name = f"{shard:06d}-{block:06d}-{len(keys)}-{total}"
-            body = file_bytes(keys, lengths, ids, _KNOWN[path].width)
+            body = file_bytes(keys, lengths, ids, _known(path).width)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([body], pa.large_binary())], names=["run", "body"])
 
         for b in batches:
