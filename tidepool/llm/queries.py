@@ -95,7 +95,14 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join, op11_token_files)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.spelling import spelling_variants
+
+    # every 199th word of a document loses a letter, so that there are variants to find
+    return spelling_variants(_table(spark, sf_dir, "documents"), noise=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join, op11_token_files, op12_spelling_variants)}
 #: SQL can express three of them on small tables; the others have models, tokenizers, edit distances or templates.
 _COMPONENTS = """r as (select a as node, b as seen from bi union select r.node, bi.b from r join bi on bi.a = r.seen), c as (select node, min(seen) as least from r group by 1)"""
 _CAPITALS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -109,6 +116,16 @@ ORACLES: dict[str, str] = {
     "op7_embedding_dedup": f"""with recursive e as (select vec_id, label, embedding::double[] as v, label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as sound from embeddings),
  l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v) where a.sound and b.sound and list_cosine_similarity(a.v, b.v) >= 0.98), bi as (select a, b from l union all select b, a from l), {_COMPONENTS},
  n as (select a as vec_id, count(*) as n from bi group by 1) select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, vec_id <= coalesce(least, vec_id) as kept from e left join n using (vec_id) left join c on node = vec_id""",
+    "op12_spelling_variants": rf"""with recursive t as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+ r as (select doc_id, unnest(regexp_extract_all({_CAPITALS}, '[a-zÀ-ÿ]+')) as run from documents), d as (select doc_id, run, count(*) as n from r where length(run) >= 6 group by 1, 2),
+ h as (select run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)::bigint] else [195::bigint, 128 + (unicode(ch) & 63)] end))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) as h from d, t),
+ w as (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(n)::bigint as n from h group by 1 having sum(n) >= 5 and length(word) >= 6),
+ i as (select word, n, unnest(range(length(word)))::int as i from w), k as (select word, n, i, left(word, i) || '*' || substr(word, i + 2) as k, left(word, i) || substr(word, i + 2) as s from i),
+ e as (select a.word as a, b.word as b from k a join k b on a.k = b.k and a.word <> b.word union select k.word, w.word from k join w on w.word = k.s union select w.word, k.word from k join w on w.word = k.s),
+ b as (select a, count(*) as n_near, max_by(w.word, [w.n, -rank]) as best from e join (select word, n, row_number() over (order by word) as rank from w) w on w.word = e.b group by 1),
+ f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when v.n >= 5 * w.n then v.word end as form, case when v.n >= 5 * w.n then v.n end as form_n from w left join b on b.a = w.word left join w v on v.word = b.best),
+ u as (select word, word as root, 0 as steps from f union all select u.word, f.form, steps + 1 from u join f on f.word = u.root where f.form is not null)
+ select f.word, form, max_by(root, steps) as root, n, n_near, form_n from f join u using (word) group by all""",
     "op10_ngram_jaccard_join": rf"""with recursive w as (select doc_id, coalesce(regexp_extract_all({_CAPITALS}, '[^\x20\x09-\x0D]+'), []) as words from documents),
  s as (select distinct doc_id, md5(array_to_string(list_slice(words, i, i + 2), ' ')) as g from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 1))) as i from w where len(words) > 0)), z as (select doc_id, count(*) as n from s group by 1),
  m as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2), l as (select m.a, m.b from m join z x on x.doc_id = m.a join z y on y.doc_id = m.b where 100 * m.n >= 90 * (x.n + y.n - m.n)),
