@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.test_spelling import brute as brute_spelling
 from tidepool.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -53,6 +54,12 @@ def test_odd_rows(spark, odd, name):
         assert sorted((r.vec_id or 0, r.n_links) for r in rows) == sorted([(0, 0), (1, 2), (1, 2), (2, 0), (3, 0), (4, 0), (5, 2), (6, 0), (7, 0), (8, 0), (9, 0), (10, 0)])
     elif name.startswith("op9"):
         assert sorted({(r.doc_id or 0) for r in rows}) == sorted({i or 0 for i, _ in ROWS}) and sum(r.piece == 0 for r in rows) == len(ROWS)
+    elif name.startswith("op12"):
+        want = brute_spelling([(r.doc_id, r.text) for r in spark.read.parquet(f"{odd}/documents.parquet").collect()], 199)
+        assert {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in rows} == want and len(rows) == len(want)
+    elif name.startswith("op13"):
+        docs = [(r.lang, r.text) for r in spark.read.parquet(f"{odd}/documents.parquet").collect()]
+        assert [tuple(r) for r in rows] == brute_phrases(docs)
     else:
         assert len(rows) == len(ROWS) and sorted((r.doc_id or 0) for r in rows) == sorted(i or 0 for i, _ in ROWS)
 

@@ -286,8 +286,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
-    # with the schema given, a folder without files is an empty table
-    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, run string").load(folder)
+    # the run is taken from the path and not as a partition column, so that a folder without files is an empty table
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.withColumn("run", F.regexp_extract("path", "run=([^/]+)/", 1))
 
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
