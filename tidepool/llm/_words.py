@@ -141,6 +141,6 @@ def words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool = False
     return Words(first, data, start, end, h, np.searchsorted(start, offsets))
 
 
-def batch_words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def batch_words(column: pa.Array, lower: bool = False, space: np.ndarray = _SPACE) -> Iterator[Words]:
     for piece in pieces(column):
-        yield words(*piece, lower=lower)
+        yield words(*piece, lower=lower, space=space)

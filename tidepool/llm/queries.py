@@ -102,7 +102,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"), noise=199)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join, op11_token_files, op12_spelling_variants)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_substring_dedup, op5_language_id, op6_decontamination, op7_embedding_dedup, op8_pseudonyms, op9_best_fit_packing, op10_ngram_jaccard_join, op11_token_files, op12_spelling_variants, op13_collocations)}
 #: SQL can express three of them on small tables; the others have models, tokenizers, edit distances or templates.
 _COMPONENTS = """r as (select a as node, b as seen from bi union select r.node, bi.b from r join bi on bi.a = r.seen), c as (select node, min(seen) as least from r group by 1)"""
 _CAPITALS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,6 +132,14 @@ ORACLES: dict[str, str] = {
  f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when v.n >= 5 * w.n then v.word end as form, case when v.n >= 5 * w.n then v.n end as form_n from w left join b on b.a = w.word left join w v on v.word = b.best),
  u as (select word, word as root, 0 as steps from f union all select u.word, f.form, steps + 1 from u join f on f.word = u.root where f.form is not null)
  select f.word, form, max_by(root, steps) as root, n, n_near, form_n from f join u using (word) group by all""",
+    "op13_collocations": rf"""with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_CAPITALS}, '[.,;:!?\x0A-\x0D]')) as piece from documents), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+ s as (select lang, words, unnest(range(1, len(words) + 1))::int as i from w), g as (select lang, words[i : i + m - 1] as p, m from s, (select unnest(range(1, 5))::int as m) where i + m - 1 <= len(words)),
+ f as (select lang, p, m, count(*) as a from g group by all), n as (select lang, sum(a)::bigint as n from f where m = 1 group by 1), c as (select * from f where m > 1 and a >= 30),
+ k as (select c.lang, c.p, c.a, x.a as l, y.a as r, k, (2000000::hugeint * c.a) // (x.a + y.a) as score from (select *, unnest(range(1, m))::int as k from c) c join f x on x.lang = c.lang and x.p = c.p[1 : k] join f y on y.lang = c.lang and y.p = c.p[k + 1 : c.m]),
+ b as (select *, row_number() over (partition by lang, p order by score, k) as nth from k),
+ d as (select distinct c.lang, c.p from (select lang, p[i : i + j - 1] as p, a from (select lang, p, a, m, j, unnest(range(1, m - j + 2))::int as i from (select *, unnest(range(2, m))::int as j from c))) q join c on c.lang = q.lang and c.p = q.p where 100 * q.a >= 80 * c.a),
+ o as (select b.lang, array_to_string(b.p, ' ') as phrase, a, l, r, score from b left join d on d.lang = b.lang and d.p = b.p where nth = 1 and d.p is null)
+ select lang, rank, phrase, a, l, r, n, score::bigint as score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o) join n using (lang) where rank <= 2000""",
     "op10_ngram_jaccard_join": rf"""with recursive w as (select doc_id, coalesce(regexp_extract_all({_CAPITALS}, '[^\x20\x09-\x0D]+'), []) as words from documents),
  s as (select distinct doc_id, md5(array_to_string(list_slice(words, i, i + 2), ' ')) as g from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 1))) as i from w where len(words) > 0)), z as (select doc_id, count(*) as n from s group by 1),
  m as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2), l as (select m.a, m.b from m join z x on x.doc_id = m.a join z y on y.doc_id = m.b where 100 * m.n >= 90 * (x.n + y.n - m.n)),
