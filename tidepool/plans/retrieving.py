@@ -54,7 +54,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
     """BM25 and keyword paths fused by reciprocal rank."""
     corpus, asked = _corpus(t), t.questions()
     table = retrieval.term_table(corpus, asked)
-    kw = retrieval.ranked(retrieval.keyword_scores(corpus, asked, table), "query_id", F.desc("score"), F.asc("page_slug"), top=50)
+    kw = retrieval.ranked(retrieval.keyword_top(corpus, asked, 50, table=table), "query_id", F.desc("score"), F.asc("page_slug"), top=50)
     paths = retrieval.bm25(corpus, asked, 50, table=table).select("query_id", "page_slug", "rank").unionByName(kw.select("query_id", "page_slug", "rank"))
     return retrieval.rrf(paths).withColumn("score", F.round("score", 6))
 
