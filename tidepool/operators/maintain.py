@@ -176,18 +176,32 @@ def locally_blocked(path: Column, text: Column, label: Column, local_only: bool
 def external_allowed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, allowed: whether a node and all that it cites, at any distance, may be shared; unknown sources may not.
 
-    nodes: id, blocked (see locally_blocked); edges: id, source. Blocks travel from sources to what cites them until none is
-    new, however long the chains are; cycles end by themselves. Each round handles the newly blocked nodes only.
+    nodes: id, blocked (see locally_blocked); edges: id, source. Rounds of pointer doubling: what cites a blocked node is
+    blocked and leaves; what cites only nodes that are free of sources is free itself; and where a source cites a single
+    node, whoever cites it cites that node instead. So a chain takes as many rounds as its length has binary digits. When
+    nothing open cites a blocked node, the rest, cycles included, is allowed. Each round writes the open citations and the
+    newly blocked nodes only. Nodes that cite several open sources each take a round a step.
     """
-    known = nodes.select("id")
+    known = nodes.groupBy("id").agg(F.max(F.coalesce("blocked", F.lit(False))).alias("blocked"))
+    edges = edges.select("id", "source").distinct()
     unknown = edges.join(known.select(F.col("id").alias("source")), "source", "left_anti").select("id").distinct()
-    blocked = nodes.where("blocked").select("id").unionByName(unknown).distinct()
-    blocked = front = cut(blocked)
-    while not front.isEmpty():
-        front = edges.join(front.select(F.col("id").alias("source")), "source", "left_semi").select("id").distinct().join(blocked, "id", "left_anti")
-        front = cut(front)
-        blocked = cut(blocked.unionByName(front))
-    return known.join(blocked.withColumn("hit", F.lit(True)), "id", "left").select("id", F.col("hit").isNull().alias("allowed"))
+    front = cut(known.where("blocked").select("id").unionByName(unknown).distinct())
+    fronts = [front]
+    # sources that are not known have blocked their citers
+    open_ = cut(edges.join(front, "id", "left_anti").join(known.select("id"), "id", "left_semi").where("id <> source"))
+    while True:
+        front = cut(open_.join(front.select(F.col("id").alias("source")), "source", "left_semi").select("id").distinct())
+        if front.isEmpty():
+            break
+        fronts.append(front)
+        left = open_.join(front, "id", "left_anti")
+        # a source with no citation of its own that is not blocked can block nobody
+        live = left.select(F.col("id").alias("source")).unionByName(front.select(F.col("id").alias("source"))).distinct()
+        left = left.join(live, "source", "left_semi")
+        single = left.groupBy(F.col("id").alias("source")).agg(F.count("*").alias("n"), F.min("source").alias("next")).where("n = 1").drop("n")
+        open_ = cut(left.join(single, "source", "left").select("id", F.coalesce("next", "source").alias("source")).where("id <> source").distinct())
+    blocked = reduce(DataFrame.unionByName, fronts).distinct()
+    return known.select("id").join(blocked.withColumn("hit", F.lit(True)), "id", "left").select("id", F.col("hit").isNull().alias("allowed"))
 
 
 def stale_pages(pages: DataFrame, timeline: DataFrame, as_of: str, days: int = 180) -> DataFrame:

@@ -156,6 +156,16 @@ def privacy_closure(t: Tables) -> DataFrame:
     return maintain.external_allowed(n, n.where("id % 5 <> 0").select("id", (F.col("id") - 1).alias("source")))
 
 
+@query("""with n as (select doc_id as id, coalesce(max(toxic) = 1, false) as blocked from documents left join labels using (doc_id) group by 1), m as (select min(case when blocked then id end) as first from n)
+ select id, not coalesce(id >= first, false) as allowed from n, m""")
+def privacy_chain(t: Tables) -> DataFrame:
+    """All documents in one chain, each citing the one with the id before: what comes after a toxic one is not shared."""
+    toxic = t.table("labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("hit")).distinct()
+    n = t.table("documents").select(F.col("doc_id").alias("id")).distinct().join(toxic, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("blocked"))
+    before = n.select((F.col("id") + 1).alias("id"), F.col("id").alias("source")).join(n.select("id"), "id", "left_semi")
+    return maintain.external_allowed(n, before)
+
+
 @query("select id, case when r.title is null then 'missing row' when p.title is null then 'missing page' when p.title = r.title and p.tier = r.tier then 'same' else 'changed' end as state from (select id, title, case when id like '%9' then 1 else tier end as tier from kb_entities where id not like '%2') p full join (select id, title, tier from kb_entities where id not like '%4') r using (id)")
 def registry_drift(t: Tables) -> DataFrame:
     e = t.entities().select("id", "title", "tier")
