@@ -47,6 +47,3 @@ def test_lookups(spark):
     pend = spark.createDataFrame([("X", "r", "al", "entity"), ("X", "r", "no", "entity"), ("X", "r", "lit", "literal")], "subject string, predicate string, object string, object_type string")
     al = spark.createDataFrame([("al", "x")], "alias string, entity_id string")
     assert {tuple(r) for r in registry.resolved_pending(pend, e, al).collect()} == {("x", "r", "x", "entity"), ("x", "r", "lit", "literal")}
-    lines = spark.createDataFrame([("p", "entity", 1, "al and X")], "page_slug string, page_type string, line_number int, line string")
-    names = spark.createDataFrame([("al", "x", "person"), ("X", "y", "person")], "alias string, entity_id string, entity_type string")
-    assert registry.entity_hints(lines, names, e).first().hints == ["x"]

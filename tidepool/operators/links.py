@@ -6,37 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
-
-#: Aliases that are not one ASCII word are matched by containment; up to this number (some 200 bytes each) they are sent to every executor.
-BROADCAST_ALIASES = 100_000
-
+from tidepool.operators import names
 
 def page_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
     """page_slug, page_type, line_number (from 1), line."""
     return pages.select("page_slug", "page_type", F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).select("page_slug", "page_type", (F.col("pos") + 1).alias("line_number"), "line")
 
 
-def _pieces(text: Column, sizes: list[int]) -> Column:
-    """Distinct runs of so many characters of a text."""
-    runs = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]  # noqa: B023
-    return F.array_distinct(F.concat(*runs))
-
-
 def contained_aliases(lines: DataFrame, aliases: DataFrame) -> DataFrame:
-    """page_slug, page_type, line_number, entity_id, entity_type of aliases that stand in lines(..., bare) as they are written.
-
-    An alias is met by the piece of three characters (all of a shorter one) that the fewest aliases have, so what many share
-    pairs nothing; only keys of lines are joined, and the text of a line is fetched where its piece is met.
-    """
+    """page_slug, page_type, line_number, entity_id, entity_type of aliases that stand in lines(..., bare) as they are written."""
     where = ["page_slug", "page_type", "line_number"]
-    known = aliases.select("alias", "entity_id", "entity_type").distinct()
-    sizes = [r["n"] for r in known.select(F.least(F.lit(3), F.length("alias")).alias("n")).distinct().collect()]  # three at most
-    pieces = known.select("alias", F.explode(_pieces(F.col("alias"), [3])).alias("piece")).unionByName(known.where(F.length("alias") < 3).select("alias", F.col("alias").alias("piece"))).distinct()
-    rare = pieces.join(pieces.groupBy("piece").agg(F.count("*").alias("n")), "piece").groupBy("alias").agg(F.min(F.struct("n", "piece")).alias("m")).select("alias", F.col("m.piece").alias("piece"))
-    met = known.join(rare, "alias")
-    met = F.broadcast(met) if met.count() <= BROADCAST_ALIASES else met
-    found = lines.select(*where, F.explode(_pieces(F.col("bare"), sorted(sizes)) if sizes else F.array().cast("array<string>")).alias("piece")).join(met, "piece")
-    return found.join(lines.select(*where, "bare"), where).where(F.contains("bare", F.col("alias"))).select(*where, "entity_id", "entity_type").distinct()
+    known = aliases.select(F.col("alias").alias("name"), "entity_id", "entity_type").distinct()
+    return names.contained(lines.select(*where, "bare"), known, "bare", None).join(known, "name").select(*where, "entity_id", "entity_type").distinct()
 
 
 def alias_links(lines: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 from tidepool.operators import facts as facts_ops
-from tidepool.operators import links as links_ops
+from tidepool.operators import names
 
 #: The header keys that may stand before a text, and the one privacy mark that permits sharing.
 HEADER_KEYS = ("source_agent", "source_context", "source_channel", "source_ref", "privacy")
@@ -127,12 +127,26 @@ def recent_runs(ledger: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc("id")).limit(n).select("id", line.alias("line"))
 
 
-def entity_hints(lines: DataFrame, aliases: DataFrame, shareable: DataFrame, n: int = 30) -> DataFrame:
-    """page_slug, hints: up to n known and shareable entities that a text names."""
-    found = links_ops.alias_links(lines, aliases).join(shareable.select(F.col("id").alias("to_entity")), "to_entity", "left_semi")
-    first = found.groupBy("from_page", "to_entity").agg(F.min("line_number").alias("line_number"))
-    nth = F.row_number().over(Window.partitionBy("from_page").orderBy("line_number", "to_entity"))
-    return first.withColumn("nth", nth).where(F.col("nth") <= n).groupBy(F.col("from_page").alias("page_slug")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "to_entity"))), lambda x: x["to_entity"]).alias("hints"))
+def name_order(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, entity_id, nth: every name once, in the order in which names are looked up: aliases by their text, then each entity's
+    title and id, by id. The first owner keeps a name; of equal aliases the smallest id."""
+    rows = aliases.select(F.col("alias").alias("name"), "entity_id", F.struct(F.lit(0).alias("a"), F.col("alias").alias("b"), F.lit(0).alias("c"), F.col("entity_id").alias("d")).alias("nth"))
+    for c, name in ((0, "title"), (1, "id")):
+        rows = rows.unionByName(entities.select(F.col(name).alias("name"), F.col("id").alias("entity_id"), F.struct(F.lit(1).alias("a"), F.col("id").alias("b"), F.lit(c).alias("c"), F.col("id").alias("d")).alias("nth")))
+    return rows.groupBy("name").agg(F.min("nth").alias("nth")).select("name", F.col("nth.d").alias("entity_id"), "nth")
+
+
+def entity_hints(texts: DataFrame, entities: DataFrame, aliases: DataFrame, shareable: DataFrame, n: int = 30) -> DataFrame:
+    """page_slug, hints: the first n shareable entities, in order of their names, that a text names.
+
+    texts: page_slug, text. A name of two characters or more counts wherever it stands in the text, whatever the case of
+    either (full case folding). A text that names none has no row.
+    """
+    order = name_order(entities, aliases).where(F.length("name") >= 2).join(shareable.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    found = names.contained(texts.select("page_slug", "text"), order).join(order, "name")
+    first = found.groupBy("page_slug", "entity_id").agg(F.min("nth").alias("nth"))
+    nth = F.row_number().over(Window.partitionBy("page_slug").orderBy("nth"))
+    return first.withColumn("k", nth).where(F.col("k") <= n).groupBy("page_slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "entity_id"))), lambda x: x["entity_id"]).alias("hints"))
 
 
 def resolved_pending(pending: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -146,14 +146,28 @@ def canonical_fact_pages(t: Tables) -> DataFrame:
     return retrieval.canonical_pages(f, e, c.select(_named("ALIAS of ", k).alias("alias"), _named("c/", k).alias("entity_id"))).select("id", "page_slug")
 
 
-@query("""with w as (select page_slug, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}'))) as word, text from (select 'doc-' || doc_id as page_slug, doc_id, text from documents where text is not null)), h as (select page_slug, word from w where word in (select unnest(regexp_extract_all(lower(text), '[a-z]+')) from benchmark) and regexp_matches(lower(text), '(^|[^a-z0-9_])' || word || '($|[^a-z0-9_])'))
- select page_slug, count(*) as hints from h where word < 'o' group by 1""")
+_HINTS = """s as (select alias as name, entity_id, 0 as a, alias as b, 0 as c from kb_aliases union all select title, id, 1, id, 0 from kb_entities where type in ('place', 'org') union all select id, id, 1, id, 1 from kb_entities where type in ('place', 'org')),
+ o as (select name, entity_id, row_number() over (order by a, b, c, entity_id) as nth from (select *, row_number() over (partition by name order by a, b, c, entity_id) as k from s) where k = 1 and length(name) >= 2 and entity_id not like '%3'),
+ f as (select 'doc-' || doc_id as page_slug, entity_id, min(nth) as nth from (select doc_id, replace(lower(text), 'ß', 'ss') as folded from documents where text is not null) d join o on contains(folded, lower(name)) group by 1, 2)"""
+
+
+def _hints(t: Tables, n: int) -> DataFrame:
+    named = t.entities().where("type in ('place', 'org')").select("id", "title")
+    aliases = t.aliases().select("alias", "entity_id")
+    shareable = named.select("id").unionByName(aliases.select(F.col("entity_id").alias("id"))).where("id not like '%3'")
+    return registry.entity_hints(_corpus(t), named, aliases, shareable, n)
+
+
+@query(f"with {_HINTS} select page_slug, count(*) as hints from f group by 1")
 def hint_counts(t: Tables) -> DataFrame:
     """How many known and shareable entities each text names."""
-    aliases = t.aliases().where("entity_id like 'word-%'")
-    pages = _corpus(t).withColumn("page_type", F.lit("entity")).withColumn("text", F.regexp_replace("text", r"\[\[|@", " "))
-    shareable = aliases.where("alias < 'o'").select(F.col("entity_id").alias("id"))
-    return registry.entity_hints(links.page_lines(pages), aliases, shareable, 10_000).select("page_slug", F.size("hints").cast("long").alias("hints"))
+    return _hints(t, 1 << 30).select("page_slug", F.size("hints").cast("long").alias("hints"))
+
+
+@query(f"with {_HINTS} select page_slug, string_agg(entity_id, ' ' order by k) as hints from (select *, row_number() over (partition by page_slug order by nth) as k from f) where k <= 30 group by 1")
+def entity_hints(t: Tables) -> DataFrame:
+    """The first thirty entities that each text names, in the order of their names."""
+    return _hints(t, 30).select("page_slug", F.array_join("hints", " ").alias("hints"))
 
 
 @query("select event_id as id, 'customer-' || (user_id + 1) as subject, case when event_id % 2 = 0 then 'nation-' || event_id % 30 else 'text' end as object from events join (select c_custkey from customer) on c_custkey = user_id + 1 where event_id % 2 = 1 or event_id % 30 < 25")
