@@ -61,9 +61,9 @@ def test_matches_brute_force(spark, monkeypatch):
     assert len(want) > 20
     for limit in (2_000_000, 0):  # sent to the executors, and by a shuffle
         monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", limit)
-        got = benchmark_overlaps(df, bench)
+        got = benchmark_overlaps(df, bench, any_length=False)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == want
-    kept = {r.doc_id for r in decontaminate(df, bench).collect()}
+    kept = {r.doc_id for r in decontaminate(df, bench, any_length=False).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     odd = df.where("doc_id = 5").unionByName(df.where("doc_id = 5")).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert decontaminate(odd, bench.limit(0)).count() == 3 and benchmark_overlaps(df.limit(0), bench).collect() == []
@@ -73,3 +73,11 @@ def test_no_python(spark):
     sf = "/root/testdata/sf0.001"
     plan = benchmark_overlaps(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_start_is_that_of_the_best_diagonal(spark):
+    item = [f"q{i}" for i in range(40)]
+    docs = [(1, " ".join(item[:16] + ["w"] * 30 + item)), (2, " ".join(["w"] * 3 + item + ["v"] * 5 + item)), (3, " ".join(item[20:]))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "v")], "item_id long, text string")
+    got = benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_matched, r.n_tokens, r.start) for r in got) == [(1, 7, 40, 40, 46), (2, 7, 40, 40, 3), (2, 8, 1, 1, 43), (3, 7, 20, 40, 0)]

@@ -11,11 +11,34 @@ from tests.llm.test_line_dedup import brute as lines
 SF = "/root/testdata/sf0.001"
 
 
+def without_repeats(docs):
+    """Texts without near repeats of long lines and exact repeats of any that is not blank; blank documents go."""
+    near = {i: x[2].split("\n") for i, x in lines(docs, 2, 40).items()}
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        kept, left = [], list(near[i])
+        for line in text.split("\n"):
+            # what the near search keeps comes in order
+            if left and left[0] == line:
+                left.pop(0)
+                again = line in seen and line.strip(" \t\r")
+                seen.add(line)
+                if not again:
+                    kept.append(line)
+        if "".join(kept).strip():
+            out[i] = "\n".join(kept)
+    return out
+
+
 def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     have, tokenizer = docs, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for name, stage in corpus_pipeline.STAGES:
+        if name == "ngram_jaccard":
+            # the stage before leaves no near copies of these small tables
+            copies = have.where("length(text) > 600").orderBy("doc_id").limit(4).selectExpr("doc_id + 1000000 as doc_id", "text || ' one more' as text", "lang", "source", "n_chars")
+            have = spark.createDataFrame(have.unionByName(copies).collect(), have.schema)
         before = [(r.doc_id, r.text) for r in have.collect()]
         have = stage(spark, have, SF)
         have = spark.createDataFrame(have.collect(), have.schema)
@@ -27,8 +50,7 @@ def test_stages_equal_brute_force(spark):
         if name == "language_id":
             assert len(got) >= 0.97 * len(before)  # clean texts stay
         elif name == "line_dedup":
-            want = {i: x[2] for i, x in lines(before, 2, 40).items()}
-            assert got == {i: t for i, t in want.items() if t.strip(" ")}
+            assert got == without_repeats(before)
         elif name == "ngram_jaccard":
             assert set(got) == {i for i, (_, c) in classes(before, 5, 80).items() if i == c} and len(got) < len(before)
         elif name == "decontamination":

@@ -17,6 +17,7 @@ MASKS = ((0, 1, 2, 4, 5), (0, 4, 5, 6, 7))
 WINDOW, SHARE = 16, 0.8
 #: Seeds of the benchmark up to this number (24 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_SEEDS = 2_000_000
+_LAST = (1 << 31) - 1
 
 
 def tokens(text: Column) -> Column:
@@ -60,25 +61,28 @@ def _seed_rows(df: DataFrame, keys: list[str], place: str, lengths: list[int]) -
     return df.select(*keys, F.explode(own).alias("own")).select(*keys, F.posexplode("own").alias(place, "seed"))
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, any_length: bool = False) -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, any_length: bool = True) -> DataFrame:
     """Pairs of a document and a benchmark item of which `window` tokens in a row agree in place by at least `share`.
 
     Items with fewer tokens than the window are their own window. Returns doc_id, item_id, n_matched (tokens of the item
     found in place on the best diagonal), n_tokens (of the item), start (token of the document where the overlap begins).
 
-    With any_length every item shorter than the window is found that the share admits, single tokens included. Without it
+    Every item shorter than the window is found that the share admits, single tokens included. With any_length=False
     such items are found only where a mask survives, and those with fewer than six tokens never. Null and empty texts
-    overlap with nothing. Rows of either table with a null id are
-    compared too (a null id comes back as null); repeated rows give one pair; of diagonals that tie the first counts. Texts are read
+    overlap with nothing. Rows of either table with a null id are compared too (a null id comes back as null); repeated rows
+    give one pair, and rows that share an id but not the text one for the id, their best; of diagonals that match equally many
+    tokens the one that starts first counts. Texts are read
     whole, whatever their length. Other columns are ignored; empty tables give no rows.
     """
     pairs = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share, any_length)
-    # numbers only, so the largest can be kept before the shuffle
-    best = pairs.groupBy("rid", "item").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"), F.min("start").alias("start"))
+    # both in one number, the larger the better, so that the best can be kept before the shuffle
+    rank = F.shiftleft(F.col("n_matched").cast("long"), 32) + (_LAST - F.col("start"))
+    best = pairs.groupBy("rid", "item").agg(F.max(rank).alias("rank"), F.max("n_tokens").alias("n_tokens"))
+    best = best.select("rid", "item", "n_tokens", F.shiftright("rank", 32).alias("n_matched"), (_LAST - F.col("rank").bitwiseAND(F.lit(_LAST))).alias("start"))
     return best.select(F.nullif("rid", F.lit(NULL_ID)).alias("doc_id"), F.nullif("item", F.lit(NULL_ID)).alias("item_id"), F.col("n_matched").cast("long").alias("n_matched"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("start").cast("long").alias("start"))
 
 
-def overlapping_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, any_length: bool = False) -> DataFrame:
+def overlapping_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, any_length: bool = True) -> DataFrame:
     """rid, h1, h2: the keys of the rows of docs that overlap with the benchmark, each once."""
     return _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window, share, any_length).select(*ROW_KEY).distinct()
 
