@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidepool.operators import assemble
+from tidepool.sources import documents
 from tidepool.streaming import ledger
 
 ULID = "01ARZ3NDEKTSV4RRFFQ69G5{:03d}".format
@@ -16,7 +17,7 @@ def write(folder, name, rows):
 
 
 def event(n, **more):
-    return {"id": ULID(n), "kind": "ai_chat", "confidence": 0.5, "metadata": {}, **more}
+    return {"id": ULID(n), "kind": "ai_chat", "timestamp": "2026-01-01T00:00:00Z", "confidence": 0.5, "metadata": {}, **more}
 
 
 def drain(df, mode, name):
@@ -43,6 +44,16 @@ def test_bad_rows_go_to_their_own_sink(spark, tmp_path):
     assert sorted(e for r in drain(bad, "append", "bad_rows").collect() for e in r.errors)[0] == "broken"
 
 
+def test_stream_sets_aside_what_the_batch_does(spark, tmp_path):
+    rows = [event(1), event(2, timestamp="not a time"), event(3, more="x"), event(4, timestamp=None), event(5, confidence=2), "  ", "[1]", "{}"]
+    write(tmp_path / "in", "a.json", rows)
+    good, bad = documents.read_ledger(spark, str(tmp_path / "in"))
+    streamed = ledger.split_bad(ledger.tail(spark, str(tmp_path / "in")))
+    assert {r.id for r in drain(streamed[0], "append", "good_stream").collect()} == {r.id for r in good.collect()} == {ULID(1)}
+    errors = lambda df: sorted((r.id or "", tuple(r.errors)) for r in df.collect())
+    assert errors(drain(streamed[1], "append", "bad_stream")) == errors(bad) and len(errors(bad)) == 6
+
+
 def test_each_proposal_once(spark, tmp_path):
     for n in range(4):
         write(tmp_path / "in", f"{n}.json", [{"entity_id": "a"}] * 3 + [{"entity_id": "b"}])

@@ -130,12 +130,17 @@ def event_errors(timestamp: str | None = None, extra: str | None = None) -> Colu
     return F.array_compact(F.array(*more, F.when(F.col("_corrupt").isNotNull(), "broken"), F.when(~F.coalesce(F.col("id").rlike(ULID), F.lit(False)), "id"), F.when(~F.coalesce(F.col("kind").isin(*EVENT_KINDS), F.lit(False)), "kind"), F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)), "confidence")))
 
 
+def ledger_rows(lines: DataFrame) -> DataFrame:
+    """Rows of JSON lines (value), whether they come from a file or a stream, with errors: what is wrong with each. Blank lines
+    are no rows."""
+    row = F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.where(F.trim("value") != "").select(row.alias("r"), extra_keys(F.col("value")).alias("_extra")).select("r.*", "_extra")
+    return rows.withColumn("errors", event_errors("timestamp", "_extra")).drop("_extra")
+
+
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid events, rows set aside with their errors) of an append-only JSON lines ledger; blank lines are no rows."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    row = F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = lines.select(row.alias("r"), extra_keys(F.col("value")).alias("_extra")).select("r.*", "_extra")
-    rows = rows.withColumn("errors", event_errors("timestamp", "_extra")).drop("_extra")
+    rows = ledger_rows(spark.read.text(path))
     return rows.where(F.size("errors") == 0).drop("errors", "_corrupt"), rows.where(F.size("errors") > 0)
 
 

@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidepool.sources.documents import EVENT, event_errors
+from tidepool.sources.documents import ledger_rows
 
 
 def tail(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The ledger as a stream; the checkpoint of the query that reads it is the cursor."""
-    return spark.readStream.schema(EVENT).option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    """The ledger as a stream, each row with its errors; the checkpoint of the query that reads it is the cursor."""
+    return ledger_rows(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
 
 
 def split_bad(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid events, rows with errors) of a stream, for two sinks."""
-    marked = events.withColumn("errors", event_errors())
-    return marked.where(F.size("errors") == 0).drop("errors", "_corrupt"), marked.where(F.size("errors") > 0)
+    """(valid events, rows with errors) of a tail, for two sinks; the same rows as read_ledger gives."""
+    return events.where(F.size("errors") == 0).drop("errors", "_corrupt"), events.where(F.size("errors") > 0)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
