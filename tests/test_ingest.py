@@ -55,3 +55,35 @@ def test_procedures_chats_answers(spark):
     texts = spark.createDataFrame([("a", "A"), ("b", "B")], "page_slug string, text string")
     q = spark.createDataFrame([(1, "q")], "query_id int, query string")
     assert [tuple(r) for r in ingest.answers(res, texts, q, lambda q, t: q + "".join(t)).collect()] == [(1, "qAB")]
+
+
+class ProviderError(Exception):
+    status_code = 429
+
+
+CALLS = 0
+
+
+def flaky(text):
+    n = int(text)
+    if n == 500:
+        raise TimeoutError("late")
+    if n == 501:
+        raise RuntimeError("wrapped") from ProviderError("busy")
+    if n == 502:
+        raise KeyError("x")
+    if n == 503:
+        return "[1, 2]"
+    if n == 504:
+        raise FileNotFoundError("gone")
+    return '{"timeline_summary": "' + text + '"}'
+
+
+def test_failing_texts_leave_the_others(spark):
+    texts = spark.range(1000).selectExpr("id as item_id", "cast(0 as int) as part", "cast(id as string) as text").repartition(4)
+    signals, failures = ingest.extract_all(texts, flaky, provider=(ProviderError,))
+    got = {r.item_id: (r.kind, r.error_class, r.attempts) for r in failures.collect()}
+    assert got == {500: ("transient", "TimeoutError", 3), 501: ("transient", "RuntimeError,ProviderError", 3), 502: ("content", "KeyError", 1), 503: ("content", "JSONDecodeError", 1), 504: ("infrastructure", "FileNotFoundError", 1)}
+    assert {r.item_id: r.signal.timeline_summary for r in signals.collect()} == {i: str(i) for i in range(1000) if not 500 <= i <= 504}
+    signals, failures = ingest.extract_all(texts.limit(0), flaky)
+    assert signals.collect() == [] and failures.collect() == []

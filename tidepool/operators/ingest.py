@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import text as T
 from tidepool.operators import facts as facts_ops
 from tidepool.operators import links as links_ops
+from tidepool.operators.tables import cut
 
 ENTITY = "struct<name:string,type:string,confidence:double>"
 FACT = "struct<subject:string,predicate:string,object:string,object_type:string,valid_from:string,valid_to:string,confidence:double>"
@@ -83,6 +84,54 @@ def extract(texts: DataFrame, fn: Callable[[str], str]) -> DataFrame:
     return raw.select("item_id", "part", normalized_signal(F.col("payload")).alias("signal"))
 
 
+ATTEMPT = "payload string, attempts int, error_class string, message string, status_code int, from_model boolean"
+
+
+def _chain(error: BaseException) -> list[BaseException]:
+    out: list[BaseException] = []
+    while error is not None and error not in out:
+        out.append(error)
+        error = error.__cause__ or error.__context__
+    return out
+
+
+def _attempt(fn: Callable, args: tuple, retries: int, provider: tuple[type[BaseException], ...]) -> tuple:
+    """What fn gives, or what went wrong at the last attempt; only passing failures are tried again."""
+    for n in range(1, retries + 2):
+        try:
+            return fn(*args), n, None, None, None, None
+        except Exception as e:  # whatever the caller's function raises is a row
+            chain = _chain(e)
+            names = [type(x).__name__ for x in chain]
+            codes = [x.status_code for x in chain if isinstance(getattr(x, "status_code", None), int)]
+            of_model = any(isinstance(x, provider) for x in chain)
+            named = any(t in x.lower() for x in names for t in T.TRANSIENT_ERRORS) or any(c in T.TRANSIENT_CODES or c >= 500 for c in codes)
+            if n > retries or not (isinstance(e, (TimeoutError, ConnectionError)) or of_model and named):
+                return None, n, ",".join(names), " ".join(map(str, chain)), codes[0] if codes else None, of_model
+
+
+def extract_all(texts: DataFrame, fn: Callable[[str], str], retries: int = 2, provider: tuple[type[BaseException], ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(signals: item_id, part, signal; failures: item_id, part, kind, error_class, message, attempts) of all texts.
+
+    A text on which fn fails is a row of failures, by kind (see failure_kind), and stops no other. Timeouts, broken
+    connections and passing errors of the provider's classes are tried again, at most retries times. Payloads that are no JSON
+    object are failures of content. Every text is given to fn in one pass, whose outcome is a checkpoint that both tables read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = pd.DataFrame([_attempt(fn, (x,), retries, provider) for x in b.text], columns=[c.split()[0] for c in ATTEMPT.split(", ")])
+            yield pd.DataFrame({"item_id": b.item_id.reset_index(drop=True), "part": b.part.reset_index(drop=True), **{c: found[c] for c in found}})
+
+    raw = cut(texts.select("item_id", "part", "text").mapInPandas(run, f"item_id {dict(texts.dtypes)['item_id']}, part int, {ATTEMPT}"))
+    # without an error class nothing was raised
+    object_ = F.json_object_keys("payload").isNotNull()
+    error = F.coalesce("error_class", F.when(~object_, "JSONDecodeError"))
+    failed = raw.withColumn("error_class", error).where("error_class is not null")
+    failures = failed.select("item_id", "part", T.failure_kind(F.col("error_class"), F.col("message"), F.col("status_code"), F.col("from_model")).alias("kind"), "error_class", "message", "attempts")
+    return raw.where(F.col("error_class").isNull() & object_).select("item_id", "part", normalized_signal(F.col("payload")).alias("signal")), failures
+
+
 def normalized_signal(payload: Column) -> Column:
     """A signal from JSON: missing confidences are one half, object types are canonical."""
     s = F.from_json(payload, SIGNAL)

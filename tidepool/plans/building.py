@@ -35,10 +35,10 @@ def width_parts(t: Tables) -> DataFrame:
     return p.join(heads, "doc_id").select("doc_id", F.when(~F.col("headed"), F.col("parts")).alias("parts"), "chars")
 
 
-@query("select conv_id::varchar as file, turn // 5 * 5 + 1 as first_page, turn // 5 * 5 + 5 as last_page, count(*) as pages, sha256(string_agg(text, chr(10) || chr(10) order by turn)) as content from conversations where trim(text) <> '' group by conv_id, turn // 5")
+@query("select *, 'talk.' || file || ' pp.' || first_page || '-' || last_page as title from (select conv_id::varchar as file, turn // 5 * 5 + 1 as first_page, max(turn) + 1 as last_page, count(*) filter (trim(text) <> '') as pages, sha256(string_agg(text, chr(10) || chr(10) order by turn) filter (trim(text) <> '')) as content from conversations where text is not null group by conv_id, turn // 5) where pages > 0")
 def page_groups(t: Tables) -> DataFrame:
-    pages = t.messages().select(F.col("conversation_id").alias("file"), (F.col("pos") + 1).alias("page_no"), F.col("content").alias("text"))
-    return sources.page_groups(pages).withColumn("content", F.sha2("content", 256))
+    pages = t.messages().select(F.concat(F.lit("in/talk."), "conversation_id", F.lit(".pdf")).alias("file"), (F.col("pos") + 1).alias("page_no"), F.col("content").alias("text"))
+    return sources.page_groups(pages).withColumn("content", F.sha2("content", 256)).withColumn("file", F.regexp_extract("file", r"\.(.*)\.pdf", 1))
 
 
 @query("select doc_id, file_path, kind from kb_files where file_hash not in (select file_hash from kb_files where doc_id % 3 = 0 and (status in ('extracted', 'ingested') or not aborted)) and doc_id % 3 <> 0")

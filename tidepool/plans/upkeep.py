@@ -120,13 +120,33 @@ def shared_slugs(t: Tables) -> DataFrame:
     return registry.unique_slugs(t.table("documents").select(F.col("source").alias("page_slug")))[1]
 
 
-@query("select * from (select count(*) filter (doc_id % 3 = 1) as pending, count(*) filter (doc_id % 3 = 2) as failed from documents), (select 1 as next)")
+@query("""select 'pending' as kind, count(*) filter (doc_id % 3 = 1) as n, null as path from documents union all select 'failed', count(*) filter (doc_id % 3 = 2), null from documents
+ union all select 'next', null, path from (select 'failed/' || lpad(doc_id::varchar, 9, '0') as path from documents where doc_id % 3 = 2 order by 1 limit 20)""")
 def inbox_totals(t: Tables) -> DataFrame:
-    """Pending and failed files of the inbox, and that the failed ones come by path."""
+    """Pending and failed files of the inbox, and the first twenty that failed, by path."""
     k = F.col("doc_id")
     files = t.table("documents").select(F.concat(F.when(k % 3 == 0, "processed/").when(k % 3 == 1, "").otherwise("failed/"), F.lpad(k.cast("string"), 9, "0")).alias("path"))
-    first = registry.failed_inbox(files, 2).collect()
-    return registry.inbox_counts(files).withColumn("next", F.lit(int([r.path for r in first] == sorted(r.path for r in first) and all(r.path.startswith("failed/") for r in first))))
+    counts = registry.inbox_counts(files).select(F.stack(F.lit(2), F.lit("pending"), F.col("pending"), F.lit("failed"), F.col("failed")).alias("kind", "n")).withColumn("path", F.lit(None).cast("string"))
+    return counts.unionByName(registry.failed_inbox(files, 20).select(F.lit("next").alias("kind"), F.lit(None).cast("long").alias("n"), "path"))
+
+
+def _flaky(text: str) -> str:
+    n = len(text) % 50
+    if n == 7:
+        raise TimeoutError("no answer")
+    if n == 9:
+        raise ValueError("no signal") from UnicodeError("bad text")
+    return "no JSON" if n == 11 else '{"timeline_summary": "' + str(n) + '"}'
+
+
+@query("""select doc_id as item_id, case length(text) % 50 when 7 then 'transient' when 9 then 'content' when 11 then 'content' else 'signal' end as outcome, case when length(text) % 50 = 7 then 3 end as attempts,
+ case when length(text) % 50 not in (7, 9, 11) then (length(text) % 50)::varchar end as said from documents where text is not null""")
+def extraction_outcomes(t: Tables) -> DataFrame:
+    """Every text's signal, or how its extraction failed: timeouts are tried three times, and none stops the others."""
+    texts = t.table("documents").where("text is not null").select(F.col("doc_id").alias("item_id"), F.lit(0).alias("part"), "text")
+    signals, failures = ingest.extract_all(texts, _flaky)
+    failed = failures.select("item_id", F.col("kind").alias("outcome"), F.when(F.col("attempts") > 1, F.col("attempts")).alias("attempts"), F.lit(None).cast("string").alias("said"))
+    return failed.unionByName(signals.select("item_id", F.lit("signal").alias("outcome"), F.lit(None).cast("int").alias("attempts"), F.col("signal.timeline_summary").alias("said")))
 
 
 # --- registry and facts -----------------------------------------------------------------------------------------------

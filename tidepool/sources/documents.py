@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -89,6 +89,40 @@ def read_jsonl(spark: SparkSession, path: str, schema: t.StructType) -> tuple[Da
     return rows.join(bad, "file", "left_anti"), bad
 
 
+CONVERSATION = "id string, conversation_id string, title string, model string, messages array<struct<role: string, content: string, model: string>>"
+MESSAGE = "conversation_id string, role string, content string, model string"
+
+
+def conversation_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(conversations, messages, refused files) of JSON-lines files: each file holds one form, or it is refused with its error.
+
+    conversations: file, nth, id, title, model, messages (as conversations_nested takes them); messages: file, pos,
+    conversation_id, role, content, model (as conversations_flat takes them); refused: file, error. A file's lines are in
+    order of the byte where their block starts and of their place in the block, however the file is split; nth counts a file's
+    rows from 1. Blank lines are no rows; a file without rows is not read.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
+    keys = F.json_object_keys("value")
+    flat = F.array_contains(keys, "conversation_id") & F.array_contains(keys, "role") & F.array_contains(keys, "content")
+    form = F.when(keys.isNull(), "broken").when(F.ltrim(F.get_json_object("value", "$.messages")).startswith("["), "A").when(flat, "B").otherwise("other")
+    rows = lines.withColumn("form", form)
+    of_file = rows.groupBy("file").agg(F.bool_and(F.col("form") == "A").alias("a"), F.bool_and(F.col("form") == "B").alias("b"), F.bool_or(F.col("form") == "broken").alias("broken"))
+    error = F.when(F.col("broken"), "a line is no JSON object").when(~F.col("a") & ~F.col("b"), "rows must all be conversations with messages or all be messages with conversation_id")
+    kind = of_file.select("file", error.alias("error"), F.when(F.col("a"), "A").otherwise("B").alias("kind"))
+    good = rows.join(kind.where("error is null").drop("error"), "file")
+    # one row for each block of a file; a block's rows are numbered by themselves
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = good.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("line"))
+    good = good.withColumn("_nth", nth).join(blocks, ["file", "block"]).withColumn("nth", F.col("before") + F.col("_nth"))
+    one = good.where("kind = 'A'").select("file", "nth", F.from_json("value", CONVERSATION).alias("r"))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    one = one.select("file", "nth", F.coalesce(some("r.id"), some("r.conversation_id")).alias("id"), some("r.title").alias("title"), "r.model", "r.messages")
+    many = good.where("kind = 'B'").select("file", F.col("nth").alias("pos"), F.from_json("value", MESSAGE).alias("r")).select("file", "pos", "r.*")
+    return one, many, kind.where("error is not null").select("file", "error")
+
+
 def conversations_nested(rows: DataFrame) -> DataFrame:
     """Format A: rows(id, title, model, messages array<struct<role, content, model>>) -> one document each."""
     text = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("**"), F.trim(m["role"]), F.lit("**: "), F.trim(m["content"]))), "\n\n")
@@ -104,12 +138,14 @@ def conversations_flat(rows: DataFrame) -> DataFrame:
 
 
 def page_groups(pages: DataFrame, size: int = 5) -> DataFrame:
-    """(file, page_no, text) -> one document for each `size` pages; empty pages are skipped, and files without text give none: see
-    textless_files."""
+    """(file, page_no, text) -> one document for each `size` pages, titled by the file's stem and its pages (the last group of a file may
+    have fewer); empty pages are skipped, and files without text give none: see textless_files."""
     group = F.floor((F.col("page_no") - 1) / size)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"])
-    full = pages.where(F.trim("text") != "").groupBy("file", group.alias("g")).agg(F.array_join(texts, "\n\n").alias("content"), F.count("*").alias("pages"))
-    return full.select("file", (F.col("g") * size + 1).alias("first_page"), (F.col("g") * size + size).alias("last_page"), "pages", "content")
+    held = F.filter(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: F.trim(p["text"]) != "")
+    full = pages.groupBy("file", group.alias("g")).agg(held.alias("held"), F.max("page_no").alias("last_page")).where(F.size("held") > 0)
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    out = full.select("file", (F.col("g") * size + 1).alias("first_page"), "last_page", F.size("held").cast("long").alias("pages"), F.array_join(F.transform("held", lambda p: p["text"]), "\n\n").alias("content"), stem.alias("stem"))
+    return out.withColumn("title", F.concat("stem", F.lit(" pp."), "first_page", F.lit("-"), "last_page")).drop("stem")
 
 
 def textless_files(pages: DataFrame) -> DataFrame:
