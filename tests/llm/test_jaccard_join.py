@@ -76,15 +76,17 @@ def test_families_around_the_limit(spark, monkeypatch, leaf):
     rng, rows = random.Random(3), []
     for f in range(6):
         base = [f"f{f}w{i}" for i in range(80)]
-        for _ in range(40):
-            w = list(base)
+        other = [f"f{f}o{i}" if i in (10, 11, 12, 40) else w for i, w in enumerate(base)]  # a second middle, beyond the first one's links
+        for k in range(60):
+            w = list((base, other)[k % 3 == 2])
             for p in rng.sample(range(80), rng.randrange(0, 5)):
                 w[p] = f"v{rng.randrange(10_000)}"
             rows.append((len(rows), " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, shingle=5, percent=80).collect()}
     assert got == brute(rows, 5, 80)
-    assert len(rounds[0][1]) > 1 and rounds[0][1][1]["linked"] > 0
+    # windows beyond the links were met and went on to another round
+    assert len(rounds[0][1]) > 1 and rounds[0][1][0]["within"] > rounds[0][1][0]["linked"] > 0
 
 
 def test_pivots_decide_the_links_of_the_documents(spark, monkeypatch):

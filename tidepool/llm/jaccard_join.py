@@ -31,7 +31,7 @@ SHINGLE, PERCENT = 3, 90
 #: Ratio of a size band's ends, and the share of parts above the least number, so that parts of few shingles can be passed over.
 BAND, SLACK = 1.3, 0.1
 #: Pivots of a cell in the first round; each later round has so many times more. Rounds of pivots, at most.
-PIVOTS, MORE, ROUNDS = 1, 3, 3
+PIVOTS, MORE, ROUNDS = 1, 2, 3
 #: Members of a cell that one task compares with each other.
 LEAF = 2_000
 #: Members of a pivot's region that one task compares with it.
@@ -170,11 +170,11 @@ def _compared(shingle: int, percent: int, wide: int):
 
 
 def _cells(profile: DataFrame) -> DataFrame:
-    """cell, x, of the parts that different sets share."""
+    """cell, x, size of the parts that different sets share; size is the number of sets that share the part."""
     cell = Window.partitionBy("cell")
     parts = profile.select(F.explode("keys").alias("cell"), F.col("s1").alias("x"))
-    shared = parts.withColumn("lo", F.min("x").over(cell)).withColumn("hi", F.max("x").over(cell)).where("lo <> hi")
-    return shared.select("cell", "x").distinct()
+    shared = parts.withColumn("lo", F.min("x").over(cell)).withColumn("hi", F.max("x").over(cell)).withColumn("size", F.count("*").over(cell)).where("lo <> hi")
+    return shared.select("cell", "x", "size").distinct()
 
 
 def _leaf_pairs(percent: int):
@@ -237,11 +237,52 @@ def _met_in_leaves(open_: DataFrame, members: DataFrame, percent: int, leaf: int
     return rows.mapInArrow(lean(_leaf_pairs(percent)), "p long, x long").distinct()
 
 
-def _distances(pairs: DataFrame, members: DataFrame, shingle: int, percent: int, wide: int) -> DataFrame:
-    """p, x, divides, linked of the pairs (p, x, divides) that have at least `wide` percent in common."""
+def _near_pivots(percent: int):
+    """(cell, block, pivot, x, kind, class, n, cells) by cell and block, pivots first -> p, x, divides of the pivots and members of
+    different classes that may have `percent` in common."""
+
+    def run(batches):
+        key, pivots = None, []
+        for b in batches:
+            out = ([], [], [])
+            for c, u, pivot, x, kind, klass, n, cells in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if (c, u) != key:
+                    key, pivots = (c, u), []
+                h = np.frombuffer(cells, np.uint8)
+                if pivot:
+                    pivots.append((x, klass, n, h))
+                    continue
+                for p, p_class, m, g in pivots:
+                    if klass != p_class and 100 * min(n, m) >= percent * max(n, m) and least_difference(g, h) <= (100 - percent) * (n + m) // (100 + percent):
+                        out[0].append(p)
+                        out[1].append(x)
+                        out[2].append(kind == _CELL)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["p", "x", "divides"])
+
+    return run
+
+
+def _met_pivots(open_: DataFrame, chosen: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
+    """p, x, divides of the pivots (cell, p, p_class) and members of open cells that may have `percent` in common. Each block of a
+    cell meets all its pivots in one task, so what the histograms reject is never a row."""
+    blocks = open_.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = open_.where(F.col("kind") != _WINDOW).join(blocks, "cell").select("cell", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("pivot"), "x", "kind", "class")
+    own = chosen.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("pivot"), F.col("p").alias("x"), F.lit(_CELL).alias("kind"), F.col("p_class").alias("class"))
+    rows = rows.unionByName(own).join(members.select(F.col("s1").alias("x"), "n", "cells"), "x").select("cell", "block", "pivot", "x", "kind", "class", "n", "cells")
+    rows = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("pivot"))
+    met = rows.mapInArrow(lean(_near_pivots(percent)), "p long, x long, divides boolean")
+    return met.groupBy("p", "x").agg(F.max("divides").alias("divides"))
+
+
+def _possible_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, x, divides) that may have `percent` in common, by the histograms of both."""
     sizes = members.select("s1", "n", "cells")
     sized = lambda c: sizes.select(F.col("s1").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
-    possible = pairs.join(sized("p"), "p").join(sized("x"), "x").select("p", "x", "divides", "n_p", "n_x", "c_p", "c_x").mapInArrow(lean(_possible(wide)), "p long, x long, divides boolean")
+    return pairs.join(sized("p"), "p").join(sized("x"), "x").select("p", "x", "divides", "n_p", "n_x", "c_p", "c_x").mapInArrow(lean(_possible(percent)), "p long, x long, divides boolean")
+
+
+def _distances(possible: DataFrame, members: DataFrame, shingle: int, percent: int, wide: int) -> DataFrame:
+    """p, x, divides, linked of the pairs (p, x, divides) that have at least `wide` percent in common."""
     possible = written(possible, "possible")
     blocks = possible.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = possible.join(blocks, "p").select("p", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"), "x", "divides")
@@ -260,7 +301,9 @@ def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int, lea
     Rows (cell, x, kind, class) are open: kind tells members of a cell from those near a region's pivot and in its window.
     """
     spark = cells.sparkSession
-    open_ = cells.withColumn("kind", F.lit(_CELL)).withColumn("class", F.col("x"))
+    # sets that share parts with most others lie in the middle of what is linked, and are the same in many cells
+    shares = written(cells.groupBy("x").agg((-F.sum("size")).alias("order")), "shares")
+    open_ = cells.join(shares, "x").select("cell", "x", F.lit(_CELL).alias("kind"), F.col("x").alias("class"), "order")
     component, rounds, pivots = spark.createDataFrame([], "node long, component long"), [], PIVOTS
 
     def joined(judged):
@@ -269,24 +312,30 @@ def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int, lea
         return written(connected_components(edges, "node", "component"), "component")
 
     while len(rounds) < ROUNDS:
-        nth = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
+        nth = F.row_number().over(Window.partitionBy("cell").orderBy("order", "x"))
         chosen = open_.where(F.col("kind") != _NEAR).withColumn("nth", nth).where(F.col("nth") <= pivots).select("cell", F.col("x").alias("p"), F.col("class").alias("p_class"))
         met = open_.where(F.col("kind") != _WINDOW).join(chosen, "cell")
-        pairs = met.where("class <> p_class").groupBy("p", "x").agg(F.max(F.col("kind") == _CELL).alias("divides"))
-        judged = written(_distances(pairs, members, shingle, percent, max(0, 2 * percent - 100)), "judged")
+        wide = max(0, 2 * percent - 100)
+        if pivots == 1:
+            # one pivot a cell: at most a pair for each row
+            pairs = met.where("class <> p_class").groupBy("p", "x").agg(F.max(F.col("kind") == _CELL).alias("divides"))
+            possible = _possible_pairs(pairs, members, wide)
+        else:
+            possible = _met_pivots(open_, chosen, members, wide, leaf)
+        judged = written(_distances(possible, members, shingle, percent, wide), "judged")
         linked = judged.where("linked").select("p", "x")
         component = joined(judged)
         # pivots leave, and what is within r of one leaves the cell for the pivot's region
         gone = met.where(F.col("kind") == _CELL).join(linked, ["p", "x"]).select("cell", "x").unionByName(chosen.select("cell", F.col("p").alias("x"))).distinct()
-        rest = open_.select("cell", "x", "kind").join(gone, ["cell", "x"], "left_anti")
-        region = judged.where("divides").select(F.xxhash64("p", F.lit(len(rounds))).alias("cell"), "x", F.when(F.col("linked"), _NEAR).otherwise(_WINDOW).alias("kind"))
-        left = rest.unionByName(region).join(component.withColumnRenamed("node", "x"), "x", "left").select("cell", "x", "kind", F.coalesce("component", "x").alias("class"))
+        rest = open_.select("cell", "x", "kind", "order").join(gone, ["cell", "x"], "left_anti")
+        region = judged.where("divides").select(F.xxhash64("p", F.lit(len(rounds))).alias("cell"), "x", F.when(F.col("linked"), _NEAR).otherwise(_WINDOW).alias("kind")).join(shares, "x")
+        left = rest.unionByName(region).join(component.withColumnRenamed("node", "x"), "x", "left").select("cell", "x", "kind", F.coalesce("component", "x").alias("class"), "order")
         left = written(left, "left")
         near = F.max(F.when(F.col("kind") == _NEAR, F.col("class")))
         of_cell = left.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("kind").alias("least"), F.max("kind").alias("most"), near.alias("near_class"))
         of_cell = of_cell.where((F.col("lo") != F.col("hi")) & ((F.col("most") == _CELL) | ((F.col("least") == _NEAR) & (F.col("most") == _WINDOW)))).select("cell", "near_class")
         # a window member of the region's class has nothing left to show
-        open_ = left.join(of_cell, "cell").where((F.col("kind") != _WINDOW) | (F.col("class") != F.col("near_class"))).select("cell", "x", "kind", "class")
+        open_ = left.join(of_cell, "cell").where((F.col("kind") != _WINDOW) | (F.col("class") != F.col("near_class"))).select("cell", "x", "kind", "class", "order")
         open_ = written(open_, "open")
         largest = open_.groupBy("cell").count().agg(F.max("count")).first()[0]
         if largest is None:
@@ -295,7 +344,7 @@ def _links(cells: DataFrame, members: DataFrame, shingle: int, percent: int, lea
             break
         pivots *= MORE
     found = _met_in_leaves(open_, members, percent, leaf).withColumn("divides", F.lit(False))
-    return joined(written(_distances(found, members, shingle, percent, percent), "judged")), rounds
+    return joined(written(_distances(_possible_pairs(found, members, percent), members, shingle, percent, percent), "judged")), rounds
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
