@@ -173,6 +173,11 @@ def locally_blocked(path: Column, text: Column, label: Column, local_only: bool
     return F.lit(local_only) | F.coalesce(T.contains_secret(text), F.lit(False)) | F.exists(marks, lambda m: m != registry.SHARED) | F.coalesce(fits, F.lit(False))
 
 
+def _ids(df: DataFrame, name: str) -> DataFrame:
+    # a column of its own: the constraints that a checkpoint keeps of its plan can name columns that a union does not know
+    return df.select(F.explode(F.array("id")).alias(name))
+
+
 def external_allowed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, allowed: whether a node and all that it cites, at any distance, may be shared; unknown sources may not.
 
@@ -196,11 +201,11 @@ def external_allowed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         fronts.append(front)
         left = open_.join(front, "id", "left_anti")
         # a source with no citation of its own that is not blocked can block nobody
-        live = left.select(F.col("id").alias("source")).unionByName(front.select(F.col("id").alias("source"))).distinct()
+        live = _ids(left, "source").unionByName(_ids(front, "source")).distinct()
         left = left.join(live, "source", "left_semi")
         single = left.groupBy(F.col("id").alias("source")).agg(F.count("*").alias("n"), F.min("source").alias("next")).where("n = 1").drop("n")
         open_ = cut(left.join(single, "source", "left").select("id", F.coalesce("next", "source").alias("source")).where("id <> source").distinct())
-    blocked = reduce(DataFrame.unionByName, fronts).distinct()
+    blocked = reduce(DataFrame.unionByName, (_ids(f, "id") for f in fronts)).distinct()
     return known.select("id").join(blocked.withColumn("hit", F.lit(True)), "id", "left").select("id", F.col("hit").isNull().alias("allowed"))
 
 
