@@ -89,3 +89,18 @@ def test_no_python_and_one_shuffle_of_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = removed_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_lines_of_every_script(spark):
+    """Unlike lines that share a segment are told apart by their letters, in any script; near ones are found."""
+    rng = random.Random(11)
+    scripts = {"latin": range(0x61, 0x7B), "cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "han": range(0x4E00, 0x5200), "emoji": range(0x1F600, 0x1F640)}
+    for codes in scripts.values():
+        draw = lambda n: "".join(chr(rng.choice(codes)) for _ in range(n))
+        head = draw(24)
+        lines = [head + draw(36) for _ in range(300)]
+        sig = [r.s for r in spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string").orderBy("k").select(line_dedup.letter_parity(F.col("x")).alias("s")).collect()]
+        assert sum(bin(a ^ b).count("1") <= 4 for k, a in enumerate(sig) for b in sig[:k]) < 2200  # of 44,850 pairs
+        rows = [(k, x) for k, x in enumerate(lines[:40])] + [(100 + k, edited(rng, x, k % 4)) for k, x in enumerate(lines[:40])]
+        got = {r.doc_id: r.kept_text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=40).collect()}
+        assert got == {i: x[2] for i, x in brute(rows, 2, 40).items()}

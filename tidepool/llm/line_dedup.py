@@ -21,8 +21,9 @@ MAX_EDITS, MIN_CHARS = 2, 40
 BROADCAST_NUMBERS = 10_000_000
 #: Lines that met another one (24 bytes each in the table of a broadcast join) up to this number pick their texts on every executor.
 BROADCAST_LINES = 1_000_000
-#: Letters whose counts' parities are compared; any would do, frequent ones tell more lines apart.
-LETTERS = "etaoinsrhldcumfg"
+#: Letters whose counts' parities are compared one by one (frequent ones tell more lines apart), in the lowest bits of a long; the
+#: characters beyond ASCII, of any script, share the next OTHERS bits by their code.
+LETTERS, OTHERS = "etaoinsrhldcumfg", 47
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -56,10 +57,14 @@ def probe_keys(line: Column, full: Column, edits: int, own: bool = True) -> Colu
 
 
 def letter_parity(line: Column) -> Column:
-    """A bit for each of LETTERS: whether the line holds it an odd number of times. Two lines within k edits differ in 2 k bits at most."""
+    """Bits for letters, whatever the script: whether the line holds them an odd number of times. An edit takes one character and
+    gives one, and a character has one bit at most, so two lines within k edits differ in 2 k bits at most."""
     n = F.octet_length(line)
     bits = [((n - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 2) * (1 << k) for k, c in enumerate(LETTERS)]
-    return sum(bits[1:], bits[0])
+    chars = F.split(F.regexp_replace(line, r"[\x00-\x7F]+", ""), "")  # the fold costs something a character: only what is not ASCII
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % OTHERS + len(LETTERS))
+    others = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
+    return sum(bits[1:], bits[0]).cast("long").bitwiseOR(F.when(n > F.length(line), others).otherwise(F.lit(0).cast("long")))
 
 
 def _stripped(a: Column, b: Column, blocks: int = 16) -> Column:
