@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from math import prod
 
@@ -98,15 +99,14 @@ def _phone(text: str, key: bytes) -> str | None:
 
 
 def _ssn(text: str, key: bytes) -> str | None:
-    area, group, serial = map(int, text.split("-"))
-    valid = lambda a, g, s: 0 < a < 900 and a != 666 and g > 0 and s > 0
-    if not valid(area, group, serial):
-        return None
     value = int(text.replace("-", ""))
-    while True:
+    valid = lambda v: 0 < v // 10**6 < 900 and v // 10**6 != 666 and v // 10**4 % 100 > 0 and v % 10**4 > 0
+    if not valid(value):
+        return None
+    value = permute(value, 10**9, key, "ssn")
+    while not valid(value):
         value = permute(value, 10**9, key, "ssn")
-        if valid(value // 10**6, value // 10**4 % 100, value % 10**4):
-            return f"{value // 10**6:03d}-{value // 10**4 % 100:02d}-{value % 10**4:04d}"
+    return _refill(text, f"{value:09d}")
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -122,7 +122,7 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1)
 
 def _date(text: str, key: bytes) -> str | None:
     a, mark, b, _, c = re.fullmatch(r"(\d+)([-./])(\d+)([-./])(\d+)", text).groups()
-    order = (0, 1, 2) if len(a) == 4 else (2, 0, 1) if mark == "/" else (2, 1, 0)
+    order = (0, 1, 2) if len(a) == 4 else (2, 0, 1) if mark == "/" and int(a) <= 12 else (2, 1, 0)
     parts = (int(a), int(b), int(c))
     try:
         day = datetime.date(*(parts[k] for k in order)).toordinal()
@@ -130,19 +130,24 @@ def _date(text: str, key: bytes) -> str | None:
         return None
     if not _FIRST <= day < _LAST:
         return None
+    only_day_first = mark == "/" and order == (2, 1, 0)  # 31/12/1999: its pseudonym has such a day too, so it is read alike
     new = datetime.date.fromordinal(_FIRST + permute(day - _FIRST, _LAST - _FIRST, key, "date"))
+    while only_day_first and new.day <= 12:
+        new = datetime.date.fromordinal(_FIRST + permute(new.toordinal() - _FIRST, _LAST - _FIRST, key, "date"))
     back = dict(zip(order, (new.year, new.month, new.day), strict=True))
     return mark.join(f"{back[k]:0{len(x)}d}" for k, x in enumerate((a, b, c)))
 
 
 def _iban(text: str, key: bytes) -> str | None:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+    small = text[0].islower()  # small letters stand between words of prose too: eight digits at least
+    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1 or (small and sum(c.isdigit() for c in plain) < 8):
         return None
     body = _permute_characters(plain[4:], key, "iban" + plain[:2])
     new = iter(plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body)
-    return "".join(" " if c == " " else next(new) for c in text)
+    out = "".join(" " if c == " " else next(new) for c in text)
+    return out.lower() if small else out
 
 
 def _email(text: str, key: bytes) -> str:
@@ -155,19 +160,20 @@ def _secret(text: str, key: bytes) -> str:
     return name + _permute_characters(text[len(name) :], key, "secret")
 
 
-#: Kind, pattern, what makes the pseudonym (None: not valid, left alone). The first pattern that takes a place keeps it.
+#: Kind, pattern, what makes the pseudonym (None: not valid, left alone). The first pattern that takes a place keeps it. A group
+#: named value is what is replaced: a number without marks counts behind a label only.
 RULES: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", r"[A-Za-z0-9\u00C0-\u00FF][A-Za-z0-9\u00C0-\u00FF._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[po]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|\bxox[abp]-[A-Za-z0-9-]{10,}\b|\b(?i:token|secret|api_key|password)\s*[=:]\s*[\"'][A-Za-z0-9+/_=-]{8,}(?=[\"'])", _secret),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b|\b[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?\b", _iban),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2\d{4})(?![\d]|[./-]\d)", _date),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
+    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|\b(?i:ssn|social security)(?i: number| no\.?)?\s{0,3}[:#=]?\s{0,3}(?P<value>\d{9})(?![\d-])", _ssn),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)", _card),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.(-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)", _phone),
+    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.(-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)|\b(?i:tel|telephone|phone|mobile|cell|fax)\b(?i: number| no)?\.?\s{0,3}[:#=]?\s{0,3}(?P<value>\d{10,12})(?![\d-])", _phone),
 )
 #: Kinds of digit groups, of which a check that fails on the longest match may hold for fewer: what a group is, what a value begins with.
-GROUPED = {"card": (re.compile(r"\d+"), re.compile(r"\d")), "iban": (re.compile(r"[A-Z0-9]+"), re.compile(r"[A-Z]{2}\d{2}"))}
+GROUPED = {"card": (re.compile(r"\d+"), re.compile(r"\d")), "iban": (re.compile(r"[A-Z0-9]+|[a-z0-9]+"), re.compile(r"(?:[A-Z]{2}|[a-z]{2})\d{2}"))}
 #: Groups as cards are printed; these go before other runs of groups that pass the check by chance.
 _PRINTED = re.compile(r"(?:\d{13,19}|\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}[ -]?\d{6}[ -]?\d{4,5})")
 _DIGITS = re.compile(r"\d+(?:[ -]\d+)*")
@@ -189,12 +195,18 @@ def _parts(kind: str, text: str, first: int, last: int) -> list[tuple[int, int]]
 
 
 def _values(kind: str, pattern: re.Pattern, change: Callable[[str, bytes], str | None], text: str, key: bytes, taken: list[tuple[int, int, str, str]]):
-    """First place, end, kind and pseudonym of each value of a kind outside the places that are taken."""
-    free = lambda x, y: all(y <= a or x >= b for a, b, _, _ in taken)
+    """First place, end, kind and pseudonym of each value of a kind outside the places that are taken, which are sorted and apart."""
+    starts = [a for a, _, _, _ in taken]
+
+    def free(x: int, y: int) -> bool:
+        k = bisect_left(starts, y)
+        return k == 0 or taken[k - 1][1] <= x
+
+    own = "value" if "value" in pattern.groupindex else 0
     at = 0
     while m := pattern.search(text, at):
         at = m.end()
-        for x, y in _parts(kind, text, *m.span()) if kind in GROUPED else [m.span()]:
+        for x, y in _parts(kind, text, *m.span()) if kind in GROUPED else [m.span(own) if m[own] is not None else m.span()]:
             new = change(text[x:y], key) if free(x, y) else None
             if new is not None:
                 yield x, y, kind, new
@@ -211,9 +223,9 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, change in _COMPILED:
-        taken += list(_values(kind, pattern, change, text, key, taken))
+        taken = sorted(taken + list(_values(kind, pattern, change, text, key, taken)))
     out, spans, at, size = [], [], 0, 0
-    for a, b, kind, new in sorted(taken):
+    for a, b, kind, new in taken:
         out += [text[at:a], new]
         size += a - at
         spans.append((kind, size, size + len(new)))
