@@ -1,6 +1,7 @@
 """Streams give what the batch operators give."""
 
 import json
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,42 @@ def test_repeats_and_touched_pages(spark, tmp_path):
     seen = []
     ledger.maintain_index(stream, str(tmp_path / "mark"), lambda slugs, n: seen.extend(r.page_slug for r in slugs.collect())).awaitTermination(120)
     assert sorted(seen) == ["p", "q"]
+
+
+def alerts_over_restarts(spark, tmp_path, files, schema, **more):
+    """Rows of tier_alerts, one start of the query for each file, over one checkpoint."""
+    for n, rows in enumerate(files):
+        write(tmp_path / "in", f"{n}.json", rows)
+        stream = ledger.tier_alerts(spark.readStream.schema(schema).json(str(tmp_path / "in")), **more)
+        out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination(120)
+    return sorted(tuple(r) for r in spark.read.parquet(out).collect())
+
+
+def test_counts_go_on_after_a_restart(spark, tmp_path):
+    again = [{"entity_id": "a", "rejected": 2}]
+    files = [[{"entity_id": "a"}] * 3, again, [{"entity_id": "a"}] * 9, [{"entity_id": "a"}] * 5]
+    got = alerts_over_restarts(spark, tmp_path, files, "entity_id string, rejected int")
+    assert got == [("a", 1, 8), ("a", 2, 3), ("a", 2, 13)]  # turned down at 3, so due again at 13
+
+
+def test_idle_entities_are_forgotten(spark, tmp_path):
+    at = lambda e, day, n=1: [{"entity_id": e, "at": f"2026-01-{day:02d}T00:00:00Z"}] * n
+    # a has two mentions, then the clock goes on by b; a starts anew, and reaches 3 with the mentions of day 22 alone
+    files = [at("a", 1, 2) + at("d", 1) + at("c", 18, 2), at("b", 20), at("b", 21), at("a", 22) + at("c", 22), at("a", 22, 2)]
+    more = {"time": "at", "idle": timedelta(days=5), "late": "1 hour"}
+    got = alerts_over_restarts(spark, tmp_path, files, "entity_id string, at timestamp", **more)
+    assert [(e, m) for e, _, m in got] == [("a", 3), ("c", 3)]
+    state = spark.read.format("statestore").option("path", str(tmp_path / "mark")).option("stateVarName", "seen").load()
+    counts = {r.key.entity_id: r.value.n for r in state.collect()}
+    assert counts == {"a": 3, "b": 2, "c": 3}  # no row for d: its timer has cleared the state
+
+
+def test_a_hot_entity_sends_few_rows(spark, tmp_path):
+    write(tmp_path / "in", "a.json", [{"entity_id": "a"}] * 30_000 + [{"entity_id": None}])
+    stream = ledger.tier_alerts(spark.readStream.schema("entity_id string").json(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("hot_alerts").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("hot_alerts").count() == 2
+    parts = list(ledger._mentions_of_batches(iter([spark.createDataFrame([("a", None, None)] * 900, "entity_id string, rejected int, at timestamp").toPandas()])))
+    assert [len(p) for p in parts] == [1] and int(parts[0].n[0]) == 900
