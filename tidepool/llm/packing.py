@@ -8,7 +8,9 @@ their rank within their length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 
@@ -21,35 +23,105 @@ from tidepool.llm._shared import written
 from tidepool.llm._words import lean, text_buffers
 
 SEQUENCE, END_ID = 2048, 0
-#: Distinct words (about 200 bytes each) that a Python worker remembers the ids of, over all its tasks, before it starts over.
+#: Distinct parts, and distinct words not made of them (about 200 bytes each), that a Python worker remembers the ids of, over all its tasks.
 REMEMBERED = 150_000
-
-
-class WordIds(dict):
-    """Ids of words as little-endian unsigned 32-bit bytes, for tokenizers whose tokens never span space or \\x09-\\x0D."""
+#: Parts joined by spaces that the tokenizer takes at once.
+JOINED = 256
+#: What a tokenizer does to a text before its merges, for which PARTS cuts texts of PLAIN as it does. Of these characters (visible ASCII,
+#: space, \x09-\x0D and the letters of Latin-1) none composes with another, and each has one lower case of one character.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+PLAIN = re.compile(r"[\x09-\x0D -~À-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0D a-z0-9ß-öø-ÿ]+")
+
+
+class Remembered(dict):
+    """The entries used last, REMEMBERED to twice as many and what a batch adds: an entry goes when it was not asked for in a generation."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Those of keys that are not known; the others are kept for this generation."""
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for k in keys.difference(self):
+            v = self.older.get(k)
+            if v is None:
+                new.append(k)
+            else:
+                self[k] = v
+        return new
+
+
+class TextIds:
+    """Ids of texts as little-endian unsigned 32-bit bytes, for tokenizers whose tokens never span space or \\x09-\\x0D.
+
+    Most different words are few parts in other company (capitals, commas, brackets). Where the tokenizer is known to cut texts
+    as PARTS does, only different parts pass through it, many in one text; a text's ids are put together of theirs. Other
+    texts are put together of the ids of their words.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [w for w in words if w not in self]
+        self.parts, self.words = Remembered(), Remembered()
+        told = json.loads(self.tokenizer.to_str())
+        model, suffix = told["model"], told["model"].get("end_of_word_suffix")
+        steps = (told["normalizer"] or {}).get("normalizers"), (told["pre_tokenizer"] or {}).get("pretokenizers")
+        self.cut = steps == (_NORMALIZERS, _PRE_TOKENIZERS) and model["type"] == "BPE" and bool(suffix) and not model["dropout"]
+        self.marked = [t["content"] for t in told["added_tokens"]]
+        if self.cut:  # tokens that end a part; the suffix is not spelled by a part itself, as no part has both letters and other characters
+            self.ends = np.zeros(max([*model["vocab"].values(), *(t["id"] for t in told["added_tokens"])]) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        new = self.parts.missing(parts)
+        for s in range(0, len(new), JOINED):
+            part = new[s : s + JOINED]
+            ids = np.frombuffer(self._encoded([" ".join(part)])[0], "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and last[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(last * 4).tolist()]
+                self.parts.update((p, data[at[k] : at[k + 1]]) for k, p in enumerate(part))
+            else:
+                self.parts.update(zip(part, self._encoded(part), strict=True))
+
+    def _learn_words(self, words: set[bytes]) -> None:
+        new = self.words.missing(words)
         for s in range(0, len(new), 20_000):
             part = new[s : s + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            self.words.update(zip(part, self._encoded([w.decode() for w in part]), strict=True))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        plain, other = {}, {}
+        for i, raw in enumerate(texts):
+            text = raw.decode() if self.cut else ""
+            if self.cut and PLAIN.fullmatch(text) and not any(m in text for m in self.marked):
+                plain[i] = PARTS.findall(text.lower())
+            else:
+                other[i] = raw.split()
+        self._learn_parts(set().union(*plain.values()))
+        self._learn_words(set().union(*other.values()))
+        part, word = self.parts.__getitem__, self.words.__getitem__
+        return [b"".join(map(part, plain[i])) if i in plain else b"".join(map(word, other[i])) for i in range(len(texts))]
 
 
-_KNOWN: dict[str, WordIds] = {}
+_KNOWN: dict[str, TextIds] = {}
 
 
-def _known(path: str) -> WordIds:
+def _known(path: str) -> TextIds:
     if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
+        _KNOWN[path] = TextIds(path)
     return _KNOWN[path]
 
 
@@ -63,10 +135,8 @@ def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
             out = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
             for lo in range(0, b.num_rows, 500):
                 rows = range(lo, min(lo + 500, b.num_rows))
-                split = [data[offsets[i] : offsets[i + 1]].tobytes().split() for i in rows]
-                known.learn(set().union(*split))
-                for i, own in zip(rows, split, strict=True):
-                    ids = b"".join(map(known.__getitem__, own)) + end
+                for i, ids in zip(rows, known.ids([data[offsets[i] : offsets[i + 1]].tobytes() for i in rows]), strict=True):
+                    ids += end
                     for k, s in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[s : s + 4 * length]
                         out["row"].append(i)
