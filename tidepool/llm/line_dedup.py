@@ -2,16 +2,17 @@
 
 Each distinct line is cut into max_edits + 1 segments; two lines within max_edits edits share one of them at nearly the
 same place. The segments of every line are indexed with its length, every line probes with the substrings that the
-length difference and the segment's place allow. What meets must first agree in the parity of its letter counts, which an
-edit changes by two at most and which is computed once for each distinct line; the rest is verified with a banded
-bit-parallel edit distance.
+length difference and the segment's place allow. What meets must first nearly agree in its letter counts, of which an edit
+changes two by one at most and which are computed once for each distinct line; the rest is verified with a banded
+bit-parallel edit distance. Where many lines share a segment, they first meet the earliest of them only: a line that is
+near one of these is decided, and two decided lines need not meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm._shared import NULL_ID, once, written
@@ -21,9 +22,12 @@ MAX_EDITS, MIN_CHARS = 2, 40
 BROADCAST_NUMBERS = 10_000_000
 #: Lines that met another one (24 bytes each in the table of a broadcast join) up to this number pick their texts on every executor.
 BROADCAST_LINES = 1_000_000
-#: Letters whose counts' parities are compared one by one (frequent ones tell more lines apart), in the lowest bits of a long; the
-#: characters beyond ASCII, of any script, share the next OTHERS bits by their code.
-LETTERS, OTHERS = "etaoinsrhldcumfg", 47
+PLACE = ("rid", "th", "pos")
+#: Characters whose counts are compared, in the lowest bits of a long: LETTERS modulo 4 (two bits each), RARE ones modulo 2 (those of one
+#: string share a bit). The characters beyond ASCII, of any script, share the next OTHERS bits by their code. The sign bit tells decided lines.
+LETTERS, RARE, OTHERS = "etaoinsrhldcu", [*"mfpgwybvkxjqz", "05", "16", "27", "38", "49"], 19
+#: Lines of one length that share a segment; above this number they meet PIVOTS of them first, in up to ROUNDS rounds.
+HOT, PIVOTS, ROUNDS = 64, 16, 3
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -38,33 +42,56 @@ def _key(line: Column, length: Column, start: Column, size: Column, i: int) -> C
     return F.xxhash64(F.lit(i), length, F.substring(line, start, size))
 
 
+def _cut(line: Column, length: Column, keys: Callable[[Column], list[Column]]) -> Column:
+    """keys of a line; bytes are its characters if there are as many, and a piece of those is found without reading what stands before it."""
+    return F.when(F.octet_length(line) == length, F.array(*keys(line.cast("binary")))).otherwise(F.array(*keys(line)))
+
+
 def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*(_key(line, length, *_segment(length, i, edits), i) for i in range(edits + 1)))
+    return _cut(line, length, lambda x: [_key(x, length, *_segment(length, i, edits), i) for i in range(edits + 1)])
 
 
 def probe_keys(line: Column, full: Column, edits: int, own: bool = True) -> Column:
     """Keys of every indexed segment of lines up to `edits` shorter that a match can leave whole in this line; without
     `own`, those that are not the line's index keys too."""
-    out = []
-    for less in range(edits + 1):
-        length = full - less
-        for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if own or less or shift:
-                    out.append(_key(line, length, start + shift, size, i))
-    return F.array(*out)
+
+    def keys(x):
+        out = []
+        for less in range(edits + 1):
+            length = full - less
+            for i in range(edits + 1):
+                start, size = _segment(length, i, edits)
+                for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                    if own or less or shift:
+                        out.append(_key(x, length, start + shift, size, i))
+        return out
+
+    return _cut(line, full, keys)
 
 
 def letter_parity(line: Column) -> Column:
-    """Bits for letters, whatever the script: whether the line holds them an odd number of times. An edit takes one character and
-    gives one, and a character has one bit at most, so two lines within k edits differ in 2 k bits at most."""
-    n = F.octet_length(line)
-    bits = [((n - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 2) * (1 << k) for k, c in enumerate(LETTERS)]
+    """Bits for characters, whatever the script. Of LETTERS the count modulo 4, as two bits of which one changes when it goes up or down
+    by one; of others whether the line holds them an odd number of times. An edit takes one character and gives one, and
+    a character has one bit to change at most, so two lines within k edits differ in 2 k bits at most."""
+    n, rest, left, at, bits = F.octet_length(line), line, F.octet_length(line), 0, []
+    for k, own in enumerate([*LETTERS, *RARE]):  # what was counted is gone before the next is
+        before = left
+        for c in own:
+            rest = F.replace(rest, F.lit(c), F.lit(""))
+        left = F.octet_length(rest)
+        count = (before - left) % (4 if k < len(LETTERS) else 2)
+        bits.append(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"), at))
+        at += 2 if k < len(LETTERS) else 1
     chars = F.split(F.regexp_replace(line, r"[\x00-\x7F]+", ""), "")  # the fold costs something a character: only what is not ASCII
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % OTHERS + len(LETTERS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % OTHERS + at)
     others = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
-    return sum(bits[1:], bits[0]).cast("long").bitwiseOR(F.when(n > F.length(line), others).otherwise(F.lit(0).cast("long")))
+    return sum(bits[1:], bits[0]).bitwiseOR(F.when(n > F.length(line), others).otherwise(F.lit(0).cast("long")))
+
+
+def _may(s1: str, s2: str, edits: int) -> Column:
+    """Whether two lines' bits let them be within `edits` edits, and one of them is not decided."""
+    same = F.col(s1).bitwiseXOR(F.col(s2)).bitwiseAND(F.lit((1 << 63) - 1))
+    return (F.bit_count(same) <= 2 * edits) & (F.col(s1).bitwiseAND(F.col(s2)) >= 0)
 
 
 def _stripped(a: Column, b: Column, blocks: int = 16) -> Column:
@@ -154,24 +181,68 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _near_lines(firsts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """rid, th, pos of the lines within max_edits edits of one that is first seen earlier. firsts: rid, th, lines, firsts (places)."""
-    place = ["rid", "th", "pos"]
     distinct = firsts.select("rid", "th", F.explode(F.transform("firsts", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x")).select("rid", "th", "x.*")
     # a line is one number in the join of keys
-    distinct = written(distinct.where(F.length("line") >= min_chars).select(F.monotonically_increasing_id().alias("lid"), *place, "line", letter_parity(F.col("line")).alias("sig")), "lines")
+    distinct = written(distinct.where(F.length("line") >= min_chars).select(F.monotonically_increasing_id().alias("lid"), *PLACE, "line", letter_parity(F.col("line")).alias("sig")), "lines")
     line = F.col("line")
-    sided = lambda n, keys: distinct.select(F.col("lid").alias(f"l{n}"), F.col("sig").alias(f"s{n}"), F.explode(keys).alias(f"k{n}"))
-    index, probe = (lambda n: sided(n, index_keys(line, F.length(line), max_edits))), sided(2, probe_keys(line, F.length(line), max_edits, own=False))
-    meet = (F.col("k1") == F.col("k2")) & (F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= 2 * max_edits)
+    own = index_keys(line, F.length(line), max_edits)
+    decided = _decided(distinct, own, max_edits)
+    marked = distinct
+    if decided is not None:
+        marked = _with_few(distinct, decided.withColumn("done", F.lit(-(1 << 63))), "lid", "left")
+        marked = marked.withColumn("sig", F.col("sig").bitwiseOR(F.coalesce("done", F.lit(0).cast("long"))))
+    sided = lambda n, keys: marked.select(F.col("lid").alias(f"l{n}"), F.col("sig").alias(f"s{n}"), F.explode(keys).alias(f"k{n}"))
+    index, probe = (lambda n: sided(n, own)), sided(2, probe_keys(line, F.length(line), max_edits, own=False))
+    meet = (F.col("k1") == F.col("k2")) & _may("s1", "s2", max_edits)
     pair = (F.least("l1", "l2").alias("l1"), F.greatest("l1", "l2").alias("l2"))
     # lines of one length meet in the index itself, so a line probes only with the keys that it does not have there
     met = index(1).join(index(2), meet & (F.col("l1") < F.col("l2"))).select(*pair).unionByName(index(1).join(probe, meet & (F.col("l1") != F.col("l2"))).select(*pair))
-    pairs = written(met.distinct(), "pairs")
-    wanted = written(pairs.select(F.explode(F.array("l1", "l2")).alias("lid")).distinct(), "wanted")
-    texts = distinct.drop("sig").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted, "lid")
-    side = lambda n: texts.select(F.col("lid").alias(f"l{n}"), F.struct(*place).alias(f"at{n}"), F.col("line").alias(f"line{n}"))
+    same = _verified(written(met.distinct(), "pairs"), distinct, max_edits).select(F.greatest("at1", "at2").alias("later")).select("later.*")
+    if decided is not None:
+        same = same.unionByName(_with_few(distinct, decided, "lid", "left_semi").select(*PLACE))
+    return same.distinct()
+
+
+def _with_few(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """df joined with a table in the shared folder that usually is small."""
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_LINES else few, key, how)
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """The pairs (l1, l2) within max_edits edits, with their places at1 and at2. lines: lid, line and its place."""
+    wanted = written(pairs.select(F.col("l1").alias("lid")).unionByName(pairs.select(F.col("l2").alias("lid"))).distinct(), "wanted")
+    texts = _with_few(lines.select("lid", *PLACE, "line"), wanted, "lid", "inner")
+    side = lambda n: texts.select(F.col("lid").alias(f"l{n}"), F.struct(*PLACE).alias(f"at{n}"), F.col("line").alias(f"line{n}"))
     pairs = pairs.join(side(1), "l1").join(side(2), "l2")
-    same = pairs.where(_blocks_alive(F.col("line1"), F.col("line2"), max_edits)).where(within_edits(F.col("line1"), F.col("line2"), max_edits))
-    return same.select(F.greatest("at1", "at2").alias("later")).select("later.*").distinct()
+    return pairs.where(_blocks_alive(F.col("line1"), F.col("line2"), max_edits)).where(within_edits(F.col("line1"), F.col("line2"), max_edits))
+
+
+def _decided(distinct: DataFrame, own: Column, max_edits: int) -> DataFrame | None:
+    """lid of lines that are near an earlier one, of those that share a segment with more than HOT others; None if there are none.
+
+    In a round the earliest PIVOTS of a segment's undecided lines meet all of its undecided lines, so the pairs are at most
+    PIVOTS for a line and segment. What is not found here is found by the join of all.
+    """
+    hot = written(distinct.select(F.explode(own).alias("k")).groupBy("k").count().where(F.col("count") > HOT).select("k"), "hot")
+    if hot.isEmpty():
+        return None
+    keyed = _with_few(distinct.select("lid", F.explode(own).alias("k")), hot, "k", "left_semi")
+    members = written(keyed, "hot_members")
+    lines = written(_with_few(distinct, written(members.select("lid").distinct(), "hot_ids"), "lid", "left_semi"), "hot_lines")
+    left = members.join(lines.drop("line"), "lid")
+    decided = None
+    for k in range(ROUNDS):
+        nth = F.row_number().over(Window.partitionBy("k").orderBy(*PLACE))
+        pivots = left.withColumn("nth", nth).where(F.col("nth") <= (k + 1) * PIVOTS).where(F.col("nth") > k * PIVOTS)
+        pivots = written(pivots.select("k", F.col("lid").alias("l1"), F.col("sig").alias("s1"), F.struct(*PLACE).alias("first")), "pivots")
+        met = _with_few(left.withColumnRenamed("sig", "s2"), pivots, "k", "inner").where(_may("s1", "s2", max_edits) & (F.struct(*PLACE) > F.col("first")))
+        near = _verified(written(met.select("l1", F.col("lid").alias("l2")).distinct(), "pairs_of_pivots"), lines, max_edits)
+        found = written(near.select(F.col("l2").alias("lid")).distinct(), "decided")
+        if found.isEmpty():
+            break
+        decided = found if decided is None else written(decided.unionByName(found), "decided")
+        left = left.join(found, "lid", "left_anti")
+    return decided
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
