@@ -1,11 +1,11 @@
 """Line dedup: exact repeats and near repeats of lines, by a segment-partition edit join in DataFrame functions alone.
 
-Each distinct line is cut into max_edits + 1 segments; two lines within max_edits edits share one of them at nearly the
-same place. The segments of every line are indexed with its length, every line probes with the substrings that the
-length difference and the segment's place allow. What meets must first nearly agree in its letter counts, of which an edit
-changes two by one at most and which are computed once for each distinct line; the rest is verified with a banded
-bit-parallel edit distance. Where many lines share a segment, they first meet the earliest of them only: a line that is
-near one of these is decided, and two decided lines need not meet.
+Lines are dealt into classes of like length, which overlap by max_edits. Each distinct line is cut into max_edits + 1 segments that have
+the same size and place in all lines of a class, seen from the nearer end of the line; two lines within max_edits edits share
+a class and one of these at nearly the same place. Places and hashes of segments are what is shuffled. Only lines with a
+hash that another one has are read again: they must nearly agree in their letter counts, of which an edit changes two by one
+at most; the rest is verified with a banded bit-parallel edit distance. Where many lines share a segment, they first
+meet the earliest of them only: a line that is near one of these is decided, and two decided lines need not meet.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from tidepool.llm._shared import NULL_ID, once, written
 MAX_EDITS, MIN_CHARS = 2, 40
 #: Line numbers to remove (4 bytes each) up to this many are sent to every executor; more meet the texts in a shuffle.
 BROADCAST_NUMBERS = 10_000_000
-#: Lines that met another one (24 bytes each in the table of a broadcast join) up to this number pick their texts on every executor.
+#: Rows of a table that is joined (keys, line numbers with their places or counts) up to this number are sent to every executor.
 BROADCAST_LINES = 1_000_000
 PLACE = ("rid", "th", "pos")
 #: Characters whose counts are compared, in the lowest bits of a long: LETTERS modulo 4 (two bits each), RARE ones modulo 2 (those of one
 #: string share a bit). The characters beyond ASCII, of any script, share the next OTHERS bits by their code. The sign bit tells decided lines.
 LETTERS, RARE, OTHERS = "etaoinsrhldcu", [*"mfpgwybvkxjqz", "05", "16", "27", "38", "49"], 19
-#: Lines of one length that share a segment; above this number they meet PIVOTS of them first, in up to ROUNDS rounds.
+#: Lines of one class that share a segment; above this number they meet PIVOTS of them first, in up to ROUNDS rounds.
 HOT, PIVOTS, ROUNDS = 64, 16, 3
 
 
@@ -38,35 +38,44 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return size * i + longer + 1, size + (F.lit(i) >= F.lit(k) - extra).cast("int")
 
 
-def _key(line: Column, length: Column, start: Column, size: Column, i: int) -> Column:
-    return F.xxhash64(F.lit(i), length, F.substring(line, start, size))
+def _classes(length: Column, edits: int) -> tuple[Column, Column]:
+    """The length class of a line, and the next one if lines of that can be within `edits` edits (else the same)."""
+    width = 4 * max(edits, 1)
+    return F.floor(length / width).cast("int"), F.floor((length + edits) / width).cast("int")
 
 
-def _cut(line: Column, length: Column, keys: Callable[[Column], list[Column]]) -> Column:
-    """keys of a line; bytes are its characters if there are as many, and a piece of those is found without reading what stands before it."""
-    return F.when(F.octet_length(line) == length, F.array(*keys(line.cast("binary")))).otherwise(F.array(*keys(line)))
+def _keys(line: Column, length: Column, edits: int, shifts: Callable[[int], range]) -> Column:
+    """Hashes of the segments i of a line, moved by shifts(i), in its classes. Of k edits with i before a segment and k - i behind it,
+    the segment moves by i from the line's start, by k - i from its end."""
+
+    def of_class(x, c):
+        least = F.greatest(c * (4 * max(edits, 1)) - edits, F.lit(0))
+        out = []
+        for i in range(edits + 1):
+            start, size = _segment(least, i, edits)
+            start = start if 2 * i <= edits else start + (length - least)
+            out += [F.xxhash64(F.lit(i), c, F.substring(x, start + by, size)) for by in shifts(i)]
+        return out
+
+    own, later = _classes(length, edits)
+    cut = lambda x: F.when(own == later, F.array(*of_class(x, own))).otherwise(F.array(*of_class(x, own), *of_class(x, later)))
+    # bytes are a line's characters if there are as many, and a piece of those is found without reading what stands before it
+    return F.when(F.octet_length(line) == length, cut(line.cast("binary"))).otherwise(cut(line))
 
 
 def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return _cut(line, length, lambda x: [_key(x, length, *_segment(length, i, edits), i) for i in range(edits + 1)])
+    return _keys(line, length, edits, lambda i: range(1))
 
 
-def probe_keys(line: Column, full: Column, edits: int, own: bool = True) -> Column:
-    """Keys of every indexed segment of lines up to `edits` shorter that a match can leave whole in this line; without
-    `own`, those that are not the line's index keys too."""
+def probe_keys(line: Column, full: Column, edits: int) -> Column:
+    """Keys of every segment that a line within `edits` edits can have whole in this one."""
+    return _keys(line, full, edits, lambda i: range(-min(i, edits - i), min(i, edits - i) + 1))
 
-    def keys(x):
-        out = []
-        for less in range(edits + 1):
-            length = full - less
-            for i in range(edits + 1):
-                start, size = _segment(length, i, edits)
-                for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                    if own or less or shift:
-                        out.append(_key(x, length, start + shift, size, i))
-        return out
 
-    return _cut(line, full, keys)
+def join_keys(line: Column, length: Column, edits: int) -> Column:
+    """Keys of which lines within `edits` edits share one. Up to two edits, a segment that stands a place earlier in one line only
+    matters with one edit on either side of it; then the other line's segment stands a place later in this one."""
+    return _keys(line, length, edits, lambda i: range(-min(i, edits - i) if edits > 2 else 0, min(i, edits - i) + 1))
 
 
 def letter_parity(line: Column) -> Column:
@@ -166,46 +175,52 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not known.groupBy(*doc).count().where("count > 1").isEmpty():  # rows that repeat id and text are one document here
         known = known.groupBy(*doc).agg(F.first("text").alias("text"))
     lines = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
-    base = known.select(*doc, lines.alias("lines"))
     least = min_chars if exact_chars is None else min(min_chars, exact_chars)
     counts = lambda x: (F.length(x) >= min_chars) | ((F.length(x) >= least) & x.rlike(r"\S")) if least < min_chars else F.length(x) >= min_chars
-    judged = base.select(*doc, F.posexplode("lines").alias("pos", "line")).where(counts(F.col("line")))
-    first = judged.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct(*doc, "pos")).alias("f"))
-    firsts = written(first.select("f.*").groupBy(*doc).agg(F.collect_list("pos").alias("firsts")), "firsts")
-    near = _near_lines(base.join(firsts, doc), max_edits, min_chars).groupBy(*doc).agg(F.collect_list("pos").alias("near"))
-    none = F.array().cast("array<int>")
+    judged = known.select(*doc, F.posexplode(lines).alias("pos", "line")).where(counts(F.col("line"))).withColumn("n", F.length("line"))
+    keys = F.when(F.col("n") >= min_chars, join_keys(F.col("line"), F.col("n"), max_edits))
+    judged = judged.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(*PLACE, keys.alias("keys")).alias("f"))
+    # the first line of equal ones; in the joins it is one number
+    distinct = judged.groupBy("h1", "h2").agg(F.min("f").alias("f")).select(F.monotonically_increasing_id().alias("lid"), "f.*")
+    distinct = written(distinct, "lines")
+    kept = _with_few(distinct.select("lid", *PLACE), _near_lines(distinct, known, max_edits), "lid", "left_anti").groupBy(*doc).agg(F.collect_list("pos").alias("kept"))
     seen = F.filter(F.transform("lines", lambda x, i: F.when(counts(x), i)), lambda i: i.isNotNull())
-    gone = F.array_except("seen", F.array_except(F.coalesce("firsts", none), F.coalesce("near", none)))
-    return base.select(*doc, seen.alias("seen")).join(firsts, doc, "left").join(near, doc, "left").select(*doc, gone.alias("removed")).where(F.size("removed") > 0)
-
-
-def _near_lines(firsts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """rid, th, pos of the lines within max_edits edits of one that is first seen earlier. firsts: rid, th, lines, firsts (places)."""
-    distinct = firsts.select("rid", "th", F.explode(F.transform("firsts", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x")).select("rid", "th", "x.*")
-    # a line is one number in the join of keys
-    distinct = written(distinct.where(F.length("line") >= min_chars).select(F.monotonically_increasing_id().alias("lid"), *PLACE, "line", letter_parity(F.col("line")).alias("sig")), "lines")
-    line = F.col("line")
-    own = index_keys(line, F.length(line), max_edits)
-    decided = _decided(distinct, own, max_edits)
-    marked = distinct
-    if decided is not None:
-        marked = _with_few(distinct, decided.withColumn("done", F.lit(-(1 << 63))), "lid", "left")
-        marked = marked.withColumn("sig", F.col("sig").bitwiseOR(F.coalesce("done", F.lit(0).cast("long"))))
-    sided = lambda n, keys: marked.select(F.col("lid").alias(f"l{n}"), F.col("sig").alias(f"s{n}"), F.explode(keys).alias(f"k{n}"))
-    index, probe = (lambda n: sided(n, own)), sided(2, probe_keys(line, F.length(line), max_edits, own=False))
-    meet = (F.col("k1") == F.col("k2")) & _may("s1", "s2", max_edits)
-    pair = (F.least("l1", "l2").alias("l1"), F.greatest("l1", "l2").alias("l2"))
-    # lines of one length meet in the index itself, so a line probes only with the keys that it does not have there
-    met = index(1).join(index(2), meet & (F.col("l1") < F.col("l2"))).select(*pair).unionByName(index(1).join(probe, meet & (F.col("l1") != F.col("l2"))).select(*pair))
-    same = _verified(written(met.distinct(), "pairs"), distinct, max_edits).select(F.greatest("at1", "at2").alias("later")).select("later.*")
+    seen = known.select(*doc, lines.alias("lines")).select(*doc, seen.alias("seen")).where(F.size("seen") > 0)
+    gone = F.array_except("seen", F.coalesce("kept", F.array().cast("array<int>")))
+    return seen.join(kept, doc, "left").select(*doc, gone.alias("removed")).where(F.size("removed") > 0)
+
+
+def _near_lines(distinct: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
+    """lid of the lines within max_edits edits of one that is first seen earlier. distinct: lid, rid, th, pos, keys; docs: rid, th, text."""
+    keyed = distinct.select("lid", F.explode(F.array_distinct("keys")).alias("k"))
+    shared = written(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = written(_with_few(keyed, shared, "k", "inner"), "members")
+    texts = written(_texts(distinct, members, docs), "texts")
+    decided = _decided(members, texts, max_edits)
+    bits = texts.select("lid", "sig")
     if decided is not None:
-        same = same.unionByName(_with_few(distinct, decided, "lid", "left_semi").select(*PLACE))
-    return same.distinct()
+        bits = _with_few(bits, decided.withColumn("done", F.lit(-(1 << 63))), "lid", "left")
+        bits = bits.select("lid", F.col("sig").bitwiseOR(F.coalesce("done", F.lit(0).cast("long"))).alias("sig"))
+    marked = _with_few(members.drop("n"), bits, "lid", "inner", texts)
+    side = lambda n: marked.select(F.col("lid").alias(f"l{n}"), F.col("sig").alias(f"s{n}"), "k")
+    met = side(1).join(side(2), "k").where((F.col("l1") < F.col("l2")) & _may("s1", "s2", max_edits)).select("l1", "l2")
+    pairs = _verified(written(met.distinct(), "pairs"), texts, max_edits)
+    near = pairs.select(F.when(F.col("at1") < F.col("at2"), F.col("l2")).otherwise(F.col("l1")).alias("lid"))
+    return written((near if decided is None else near.unionByName(decided)).distinct(), "near")
+
+
+def _texts(distinct: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """lid, rid, th, pos, line, sig of the lines in members."""
+    wanted = written(members.select("lid").distinct(), "wanted")
+    places = written(_with_few(distinct.select("lid", *PLACE), wanted, "lid", "left_semi").groupBy("rid", "th").agg(F.collect_list(F.struct("pos", "lid")).alias("at")), "places")
+    found = _with_few(docs, places, ["rid", "th"], "inner", wanted).select("rid", "th", "at", F.split("text", "\n", -1).alias("lines"))
+    found = found.select("rid", "th", F.explode(F.transform("at", lambda a: F.struct(a["lid"].alias("lid"), a["pos"].alias("pos"), F.get("lines", a["pos"]).alias("line")))).alias("x"))
+    return found.select("x.lid", "rid", "th", "x.pos", "x.line", letter_parity(F.col("x.line")).alias("sig"))
 
 
-def _with_few(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
-    """df joined with a table in the shared folder that usually is small."""
-    return df.join(F.broadcast(few) if few.count() <= BROADCAST_LINES else few, key, how)
+def _with_few(df: DataFrame, few: DataFrame, key: str | list[str], how: str, counted: DataFrame | None = None) -> DataFrame:
+    """df joined with a table that usually is small: itself, or the table with as many rows, in the shared folder."""
+    return df.join(F.broadcast(few) if (few if counted is None else counted).count() <= BROADCAST_LINES else few, key, how)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
@@ -217,19 +232,18 @@ def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
     return pairs.where(_blocks_alive(F.col("line1"), F.col("line2"), max_edits)).where(within_edits(F.col("line1"), F.col("line2"), max_edits))
 
 
-def _decided(distinct: DataFrame, own: Column, max_edits: int) -> DataFrame | None:
+def _decided(members: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame | None:
     """lid of lines that are near an earlier one, of those that share a segment with more than HOT others; None if there are none.
 
     In a round the earliest PIVOTS of a segment's undecided lines meet all of its undecided lines, so the pairs are at most
     PIVOTS for a line and segment. What is not found here is found by the join of all.
     """
-    hot = written(distinct.select(F.explode(own).alias("k")).groupBy("k").count().where(F.col("count") > HOT).select("k"), "hot")
+    hot = members.where(F.col("n") > HOT).drop("n")
     if hot.isEmpty():
         return None
-    keyed = _with_few(distinct.select("lid", F.explode(own).alias("k")), hot, "k", "left_semi")
-    members = written(keyed, "hot_members")
-    lines = written(_with_few(distinct, written(members.select("lid").distinct(), "hot_ids"), "lid", "left_semi"), "hot_lines")
-    left = members.join(lines.drop("line"), "lid")
+    lines = texts.join(written(hot.select("lid").distinct(), "hot_ids"), "lid", "left_semi")
+    lines = written(lines, "hot_lines")
+    left = hot.join(lines.drop("line"), "lid")
     decided = None
     for k in range(ROUNDS):
         nth = F.row_number().over(Window.partitionBy("k").orderBy(*PLACE))
