@@ -60,18 +60,22 @@ def split_front_matter(text: Column) -> tuple[Column, Column]:
     return F.map_from_entries(F.array_distinct(entries)), F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
 
 
-def split_sections(docs: DataFrame, pattern: str = r"#\s+", least: int = WHOLE) -> DataFrame:
-    """doc_id, section_index, title, content: long texts at their top headings, others whole.
+def section_parts(text: Column, pattern: str = r"#\s+", least: int = WHOLE) -> Column:
+    """Array of the sections of a text: a long one at its top headings, others whole, blank ones too.
 
-    What stands before the first heading goes to the first section; empty sections go.
+    What stands before the first heading goes to the first section. A line ends at a line feed, as it does for the reference and in
+    SQL, not at the other characters that Java takes for the end of one.
     """
-    heads = F.split("text", rf"(?m)(?=^{pattern})")
-    long = (F.length("text") > least) & F.col("text").rlike(rf"(?m)^{pattern}")
-    parts = docs.withColumn("parts", F.when(long, heads).otherwise(F.array("text"))).withColumn("lead", ~F.element_at("parts", 1).rlike(rf"^{pattern}") & (F.size("parts") > 1))
-    joined = F.when(F.col("lead"), F.concat(F.array(F.concat(F.element_at("parts", 1), F.get("parts", F.lit(1)))), F.slice("parts", F.lit(3), F.size("parts")))).otherwise(F.col("parts"))
-    kept = F.filter(joined, lambda x: F.trim(x) != "")
-    out = parts.select("doc_id", F.posexplode(kept).alias("i", "content"))
-    return out.select("doc_id", (F.col("i") + 1).alias("section_index"), F.trim(F.regexp_extract("content", r"(?m)^#{1,6}\s+(.+)$", 1)).alias("title"), "content")
+    parts = F.split(text, rf"(?md)(?=^{pattern})")
+    lead = (F.size(parts) > 1) & ~F.element_at(parts, 1).rlike(rf"\A{pattern}")
+    joined = F.when(lead, F.concat(F.array(F.concat(F.element_at(parts, 1), F.get(parts, F.lit(1)))), F.slice(parts, F.lit(3), F.size(parts)))).otherwise(parts)
+    return F.when(F.length(text) > least, joined).otherwise(F.array(text))
+
+
+def split_sections(docs: DataFrame, pattern: str = r"#\s+", least: int = WHOLE) -> DataFrame:
+    """doc_id, section_index, title, content: the sections of section_parts."""
+    out = docs.select("doc_id", F.posexplode(section_parts(F.col("text"), pattern, least)).alias("i", "content"))
+    return out.select("doc_id", (F.col("i") + 1).alias("section_index"), F.trim(F.regexp_extract("content", r"(?md)^#{1,6}\s+(.+)$", 1)).alias("title"), "content")
 
 
 def split_any_heading(docs: DataFrame, width: int = PART) -> DataFrame:
