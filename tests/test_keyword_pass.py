@@ -3,6 +3,7 @@
 import re
 
 from tidepool.operators import retrieval as R
+from tidepool.plans.catalog import QUERIES
 
 
 def test_pairs_stay_in_their_task(spark):
@@ -13,3 +14,12 @@ def test_pairs_stay_in_their_task(spark):
     dealt = [x for x in re.findall(r"(?<!Broadcast)Exchange (\w+\([^)]*\))", values._jdf.queryExecution().executedPlan().toString())]
     assert [x for x in dealt if "(page_slug" not in x] == [] and len(dealt) == 1
     assert values.count() == sum(1 for i in range(50) for q in range(8) if q < i % 9)
+
+
+def test_texts_of_other_types_are_not_shuffled(spark, monkeypatch):
+    """What typed_ask deals by page: the texts of one type in seven."""
+    dealt = []
+    monkeypatch.setattr(R, "_dealt", lambda df, deal=R._dealt: (dealt.append(df), deal(df))[1])
+    assert QUERIES["typed_ask"](spark, "/root/testdata/sf0.001").count() > 0
+    plan = dealt[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and dealt[0].count() * 6 < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

@@ -35,8 +35,7 @@ _KEYWORD = f"""{_TOKENS}, k as (select query_id, page_slug, round(sum(1 + ln(tf)
 @query(f"with {_KEYWORD} select * from (select query_id, page_slug, round(score * weight, 6) as score, row_number() over (partition by query_id order by round(score * weight, 9) desc, page_slug) as rank from k join w using (page_slug)) where rank <= 5")
 def keyword_only_ask(t: Tables) -> DataFrame:
     """Default mode: sum of 1 + ln(tf), weighted by the state of procedures."""
-    pages = t.pages().drop("text", "title").join(_corpus(t), "page_slug").withColumn("title", F.lit(None).cast("string"))
-    return retrieval.ask(pages, t.questions(), top=5).select("query_id", "page_slug", F.round("score", 6).alias("score"), "rank")
+    return retrieval.ask(t.pages(plain=True), t.questions(), top=5).select("query_id", "page_slug", F.round("score", 6).alias("score"), "rank")
 
 
 @query("select query_id, vec_id, round(distance, 6) as distance, rank from (select q.vec_id as query_id, v.vec_id, list_distance(q.embedding::double[], v.embedding::double[]) as distance, row_number() over (partition by q.vec_id order by round(list_distance(q.embedding::double[], v.embedding::double[]), 9), v.vec_id) as rank from (select * from embeddings where vec_id % 20 = 0) q, embeddings v) where rank <= 10")

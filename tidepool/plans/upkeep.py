@@ -32,8 +32,7 @@ def found_active(t: Tables) -> DataFrame:
 @query(f"with {_KEYWORD} select * from (select query_id, page_slug, round(score * weight, 6) as score, row_number() over (partition by query_id order by round(score * weight, 9) desc, page_slug) as rank from k join w using (page_slug) where doc_id % 7 = 1) where rank <= 3")
 def typed_ask(t: Tables) -> DataFrame:
     """Questions over the pages of one type."""
-    pages = t.pages().drop("text", "title").join(_corpus(t), "page_slug").withColumn("title", F.lit(None).cast("string"))
-    return retrieval.ask(pages, t.questions(), top=3, page_type="project").select("query_id", "page_slug", F.round("score", 6).alias("score"), "rank")
+    return retrieval.ask(t.pages(plain=True), t.questions(), top=3, page_type="project").select("query_id", "page_slug", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {_KEYWORD} select query_id, page_slug, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, 'pages/' || list_extract(['entity','project','concept','event','experience','conversation','procedure'], (doc_id % 7 + 1)::int) || '/' || page_slug || '.md') as rank from k join w using (page_slug)) where rank <= 5")

@@ -20,15 +20,16 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def pages(self) -> DataFrame:
+    def pages(self, plain: bool = False) -> DataFrame:
+        """Documents as pages; plain: the text alone, without a title and a link."""
         d, k = self.table("documents").where("text is not null"), F.col("doc_id")
         kind = F.get(F.array(*map(F.lit, PAGE_TYPES)), (k % 7).cast("int"))
         slug = F.concat(F.lit("doc-"), k.cast("string"))
         status = F.get(F.array(F.lit("raw"), F.lit("tested"), F.lit("stable")), (k % 3).cast("int"))
         return d.select(
             k, slug.alias("page_slug"), kind.alias("page_type"), F.when(k % 7 == 0, (1 + k % 3).cast("int")).alias("tier"), F.when(k % 7 == 6, status).alias("status"),
-            F.concat(F.lit("pages/"), kind, F.lit("/"), slug, F.lit(".md")).alias("relative_path"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
-            F.concat("text", F.lit(" [[doc-"), (k * 7 % 2000).cast("string"), F.lit("]]")).alias("text"),
+            F.concat(F.lit("pages/"), kind, F.lit("/"), slug, F.lit(".md")).alias("relative_path"), (F.lit(None).cast("string") if plain else F.substring(F.substring_index("text", "\n", 1), 1, 60)).alias("title"),
+            F.col("text") if plain else F.concat("text", F.lit(" [[doc-"), (k * 7 % 2000).cast("string"), F.lit("]]")).alias("text"),
         )
 
     def timeline(self) -> DataFrame:
