@@ -23,3 +23,8 @@ def test_texts_of_other_types_are_not_shuffled(spark, monkeypatch):
     assert QUERIES["typed_ask"](spark, "/root/testdata/sf0.001").count() > 0
     plan = dealt[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and dealt[0].count() * 6 < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_no_functions_over_the_terms_of_each_pair(spark):
+    """Questions and pages meet in joins by number, not by comparing two arrays of words for each pair."""
+    assert "lambda" not in QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
